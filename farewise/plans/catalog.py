@@ -83,7 +83,7 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
 
 def active_zones(spark: SparkSession, sf: str, zone_df: DataFrame) -> DataFrame:
     """Zones that at least one cleaned trip picks up in."""
-    used = trips(spark, sf).groupBy("pulocationid").agg()
+    used = trips(spark, sf).select("pulocationid").distinct()
     return zone_df.join(used, zone_df["locationid"] == used["pulocationid"], "left_semi")
 
 
@@ -186,7 +186,7 @@ def q_zones_project(spark, sf):
         "try_cast(locationid AS bigint) AS locationid_pu", "zone AS zone_pu",
         "the_geom AS geometry", "borough AS borough_pu",
     )
-    used = trips(spark, sf).groupBy("pulocationid").agg()
+    used = trips(spark, sf).select("pulocationid").distinct()
     return z.join(used, z["locationid_pu"] == used["pulocationid"], "left_semi")
 
 
