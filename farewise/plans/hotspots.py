@@ -8,8 +8,9 @@ Plan (the only distributed work is one scan and one aggregate):
 2. join to zone points (bounded: one row per zone, broadcast behind a size
    probe), optional borough filter, drop zones without a point.
 3. ``groupBy(long, lat)`` → weighted zone points, checkpointed to reliable
-   storage on one sorted partition: k-means iterates over at most
-   #zones rows, deterministically, and never re-reads trips.
+   storage (the only pass over trips), then laid out on one sorted
+   partition: k-means iterates over at most #zones rows, deterministically,
+   and never re-reads trips.
 4. weighted k-means (weight = trips at the point) has the same objective as
    k-means over the trips themselves.
 5. per-cluster member means, haversine distance to the user, top ``top_n``.
@@ -39,7 +40,7 @@ from farewise.session import cut_lineage, has_at_most
 
 HOTSPOT_SCHEMA = T.StructType(
     [
-        T.StructField("rank", T.IntegerType()),
+        T.StructField("rank", T.IntegerType(), nullable=False),
         T.StructField("centroid_long", T.DoubleType()),
         T.StructField("centroid_lat", T.DoubleType()),
         T.StructField("avg_revenue", T.DoubleType()),
@@ -96,12 +97,15 @@ def weighted_points(
 
 
 def prepare_points(stats: DataFrame) -> DataFrame:
-    """Zone points ready for fitting: one sorted partition when bounded,
-    materialised to the checkpoint folder."""
+    """Zone points ready for fitting.
+
+    The aggregate is materialised once to the checkpoint folder (the only pass
+    over trips); a bounded result is then laid out on one partition sorted by
+    point, so the fit is deterministic whatever the upstream partitioning."""
+    stats = cut_lineage(stats)
     if has_at_most(stats, SINGLE_PARTITION_FIT_ROWS):
         stats = stats.repartition(1).sortWithinPartitions("long", "lat")
-    stats = stats.withColumn("w", F.col("n").cast("double"))
-    return cut_lineage(assemble_features(stats))
+    return assemble_features(stats.withColumn("w", F.col("n").cast("double")))
 
 
 def fit_and_assign(
