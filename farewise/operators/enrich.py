@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
+from farewise.operators.joins import (
+    DEFAULT_MAX_BROADCAST_ROWS,
+    join_dimension,
+    materialize_dimension,
+)
 
 ZONE_COLUMNS = ("locationid", "zone", "borough", "long", "lat")
 
@@ -18,7 +22,7 @@ def attach_zones(
 ) -> DataFrame:
     """Left join on ``pulocationid = locationid``: trips without a zone keep
     null zone columns."""
-    dim = zone_pts.select(*ZONE_COLUMNS)
+    dim = materialize_dimension(zone_pts.select(*ZONE_COLUMNS))
     joined = join_dimension(
         trips, dim, trips["pulocationid"] == dim["locationid"], how, max_broadcast_rows
     )

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
+from farewise.operators.joins import (
+    DEFAULT_MAX_BROADCAST_ROWS,
+    join_dimension,
+    materialize_dimension,
+)
 
 
 def trips_per_hour(trips: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def pickups_per_zone(
 ) -> DataFrame:
     """Trips per zone name, including the null group of trips without a zone."""
     per_loc = trips.groupBy("pulocationid").agg(F.count(F.lit(1)).alias("n"))
-    dim = zone_pts.select("locationid", "zone")
+    dim = materialize_dimension(zone_pts.select("locationid", "zone"))
     joined = join_dimension(
         per_loc, dim, per_loc["pulocationid"] == dim["locationid"], "left", max_broadcast_rows
     )

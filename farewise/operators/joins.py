@@ -1,20 +1,27 @@
 """Dimension joins with a checked broadcast.
 
-A side is broadcast only after a probe proves it has at most
-``max_broadcast_rows`` rows (the probe reads at most that many rows + 1).
-Beyond the bound the join is left to the planner: a shuffle join, with AQE
-splitting skewed partitions of the large side."""
+A derived dimension (e.g. zone points parsed from WKT) is first landed in the
+checkpoint folder, so the probe, the broadcast and any retry read a stored
+table instead of re-running its plan.  It is broadcast only after a probe
+proves it has at most ``max_broadcast_rows`` rows (the probe reads at most
+that many rows + 1).  Beyond the bound the join is left to the planner: a
+shuffle join, with AQE splitting skewed partitions of the large side."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.session import has_at_most
+from farewise.session import cut_lineage, has_at_most
 
 DEFAULT_MAX_BROADCAST_ROWS = 250_000
 
 
+def materialize_dimension(df: DataFrame) -> DataFrame:
+    """Land a dimension table (bounded by the dimension, not by the facts)."""
+    return cut_lineage(df)
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
@@ -26,5 +33,7 @@ def join_dimension(
     how: str = "left",
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``fact`` joined to a dimension ``dim``; ``dim`` is broadcast when small."""
+    """``fact`` joined to a dimension ``dim``; ``dim`` is broadcast when small.
+
+    ``on`` may reference ``dim``'s columns: the landed table keeps them."""
     return fact.join(maybe_broadcast(dim, max_broadcast_rows), on=on, how=how)

@@ -2,12 +2,14 @@
 
 Plan (the only distributed work is one scan and one aggregate):
 
-1. trips in the ±window → ``groupBy(pulocationid)``: trips, sum of totals,
-   sum of tips.  Partial aggregation runs before the shuffle, so the exchange
-   carries at most (tasks × locations) rows however skewed the locations are.
-2. join to zone points (bounded: one row per zone, broadcast behind a size
-   probe), optional borough filter, drop zones without a point.
-3. ``groupBy(long, lat)`` → weighted zone points, checkpointed to reliable
+1. trips in the ±window, joined map-side to the broadcast zone points (the
+   zone table is broadcast only behind a row-count probe; optional borough
+   filter; zones without a point dropped).  Beyond the probe's bound trips
+   are first reduced to one row per location and then shuffle-joined.
+2. ``groupBy(long, lat)``: trips, sum of totals, sum of tips.  Partial
+   aggregation runs before the shuffle, so the exchange carries at most
+   (tasks × zone points) rows however skewed the locations are.
+3. the weighted zone points are checkpointed to reliable
    storage (the only pass over trips), then laid out on one sorted
    partition: k-means iterates over at most #zones rows, deterministically,
    and never re-reads trips.
@@ -34,7 +36,11 @@ from farewise.operators.cluster import (
     joined_cluster_stats,
 )
 from farewise.operators.enrich import filter_borough, with_point
-from farewise.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
+from farewise.operators.joins import (
+    DEFAULT_MAX_BROADCAST_ROWS,
+    join_dimension,
+    materialize_dimension,
+)
 from farewise.operators.window import time_window
 from farewise.session import cut_lineage, has_at_most
 
@@ -70,6 +76,18 @@ def zone_window_stats(
     """Weighted zone points of the trips in the window:
     ``long, lat, n, sum_total, sum_tip``."""
     windowed = time_window(trips, time, window_minutes, wrap_midnight)
+    pts = _points(zone_pts, borough)
+    if has_at_most(pts, max_broadcast_rows):
+        # Map-side: every task looks trips up in the broadcast zone table and
+        # pre-aggregates per point; one shuffle of at most tasks x points rows.
+        joined = windowed.join(F.broadcast(pts), windowed["pulocationid"] == pts["locationid"])
+        return joined.groupBy("long", "lat").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("total_amount").alias("sum_total"),
+            F.sum("tip_amount").alias("sum_tip"),
+        )
+    # A zone table too large to broadcast: shrink trips to one row per location
+    # first, so the shuffle join moves locations, not trips.
     per_loc = windowed.groupBy("pulocationid").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("total_amount").alias("sum_total"),
@@ -78,6 +96,12 @@ def zone_window_stats(
     return weighted_points(per_loc, zone_pts, borough, max_broadcast_rows)
 
 
+def _points(zone_pts: DataFrame, borough: str | None) -> DataFrame:
+    return materialize_dimension(
+        with_point(filter_borough(zone_pts.select("locationid", "borough", "long", "lat"), borough))
+    )
+
+
 def weighted_points(
     per_loc: DataFrame,
     zone_pts: DataFrame,
@@ -85,7 +109,7 @@ def weighted_points(
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Per-location sums joined to zone points and summed per point."""
-    pts = with_point(filter_borough(zone_pts.select("locationid", "borough", "long", "lat"), borough))
+    pts = _points(zone_pts, borough)
     joined = join_dimension(
         per_loc, pts, per_loc["pulocationid"] == pts["locationid"], "inner", max_broadcast_rows
     )
