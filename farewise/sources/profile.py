@@ -25,7 +25,7 @@ def schema_profile(df: DataFrame, sample_rows: int = 10) -> DataFrame:
 
 def schema_text(df: DataFrame) -> str:
     """The tree ``printSchema`` prints, as a string."""
-    return df._jdf.schema().treeString()
+    return df.schema.treeString()
 
 
 def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,8 @@
 * ``positional_union``: the positional ``UNION ALL`` of several frames
   (first frame's names win), kept for frames that are known to line up.
 * ``load_trips``: distributed full refresh of the curated store, partitioned by
-  pickup hour and sorted by minute of day inside each file.
+  pickup hour (rebalanced so files are few and large) and sorted by minute of
+  day inside each file.
 * ``read_store``: the curated store, or any other format/connector.
 """
 
@@ -59,14 +60,23 @@ def read_trip_files(
 
 
 def load_trips(
-    trips: DataFrame, target: str, mode: str = "overwrite", clean: bool = True
+    trips: DataFrame,
+    target: str,
+    mode: str = "overwrite",
+    clean: bool = True,
+    rebalance: bool = True,
 ) -> str:
     """Write trips (cleaned unless ``clean`` is False) to the curated store.
 
-    The write is distributed: every task writes its own files into at most 24
-    hour folders; rows are sorted by minute of day so a window filter skips
-    row groups by their min/max statistics."""
+    The write is distributed.  ``rebalance`` hash-distributes rows by pickup
+    hour with AQE sizing the output (busy hours are split into several tasks,
+    quiet ones coalesced), so each task writes a few large files into one hour
+    folder instead of every task writing a small file into all 24.  Rows are
+    sorted by minute of day inside each file so a window filter skips row
+    groups by their min/max statistics."""
     curated = clean_trips(normalize_columns(trips)) if clean else trips
+    if rebalance:
+        curated = curated.hint("rebalance", CURATED_PARTITION)
     (
         curated.sortWithinPartitions(CURATED_PARTITION, "pickup_minute")
         .write.mode(mode)
