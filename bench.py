@@ -84,10 +84,12 @@ def main():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    from farewise.session import checkpoint_dir
+
+    if checkpoint_dir(spark) is None:
         import tempfile
 
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="farewise-bench-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="farewise-bench-"))
 
     from farewise.plans.catalog import QUERIES
 

@@ -30,7 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
-    base = spark.conf.get(CHECKPOINT_CONF, None) or checkpoint_dir(spark)
+    base = checkpoint_dir(spark)
     if not base:
         raise RuntimeError(
             f"{CHECKPOINT_CONF} is not set; set it to a folder every executor can reach"

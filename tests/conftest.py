@@ -25,8 +25,10 @@ def spark():
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     # Tests set their own checkpoint folder only where the session names none.
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="farewise-ckpt-"))
+    from farewise.session import checkpoint_dir
+
+    if checkpoint_dir(session) is None:
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="farewise-ckpt-"))
     yield session
 
 
