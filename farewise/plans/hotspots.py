@@ -120,16 +120,17 @@ def weighted_points(
     )
 
 
-def prepare_points(stats: DataFrame) -> DataFrame:
-    """Zone points ready for fitting.
+def prepare_points(stats: DataFrame) -> tuple[DataFrame, int]:
+    """Zone points ready for fitting, and their number.
 
     The aggregate is materialised once to the checkpoint folder (the only pass
     over trips); a bounded result is then laid out on one partition sorted by
     point, so the fit is deterministic whatever the upstream partitioning."""
     stats = cut_lineage(stats)
-    if has_at_most(stats, SINGLE_PARTITION_FIT_ROWS):
+    n_points = stats.count()  # reads the small materialised table
+    if n_points <= SINGLE_PARTITION_FIT_ROWS:
         stats = stats.repartition(1).sortWithinPartitions("long", "lat")
-    return assemble_features(stats.withColumn("w", F.col("n").cast("double")))
+    return assemble_features(stats.withColumn("w", F.col("n").cast("double"))), n_points
 
 
 def fit_and_assign(
@@ -137,8 +138,8 @@ def fit_and_assign(
 ) -> tuple[DataFrame, object] | tuple[None, None]:
     """Fit weighted k-means on zone points; return (points with ``cluster``,
     model), or (None, None) when there is no point."""
-    points = prepare_points(stats)
-    if points.isEmpty():
+    points, n_points = prepare_points(stats)
+    if n_points == 0:
         return None, None
     model = fit_kmeans(points, k=k, seed=seed, weight_col="w")
     return assign_clusters(points, model), model
