@@ -37,7 +37,15 @@ HEADLINE = [
 
 
 def trip_level_hotspots(spark, sf):
-    """Reference-shaped flagship: k-means over trips, not over zone points."""
+    """Reference-shaped flagship on the fixture tables."""
+    from farewise.plans import catalog as cat
+
+    return trip_level_hotspots_from(cat.trips(spark, sf), cat.zones(spark, sf))
+
+
+def trip_level_hotspots_from(trips, zones):
+    """k-means fitted on every trip of the window (not on zone points), then
+    three aggregates joined on the cluster label; same native expressions."""
     from pyspark.ml.clustering import KMeans
     from pyspark.sql import functions as F
 
@@ -46,9 +54,8 @@ def trip_level_hotspots(spark, sf):
     from farewise.operators.cluster import assemble_features
     from farewise.operators.enrich import attach_zones
     from farewise.operators.window import time_window
-    from farewise.plans import catalog as cat
 
-    w = attach_zones(time_window(cat.trips(spark, sf), "15:00:00"), cat.zones(spark, sf))
+    w = attach_zones(time_window(trips, "15:00:00"), zones)
     pts = assemble_features(w)
     model = KMeans(k=5, seed=42).fit(pts.select("features"))
     t = model.transform(pts)
