@@ -17,7 +17,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, or None."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return spark.conf.get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -131,3 +131,15 @@ def test_curated_store_prunes_and_pushes(spark, tmp_dir):
     assert "GreaterThanOrEqual(pickup_minute,870)" in plan
     assert "ReadSchema: struct<pulocationid:bigint,pickup_minute:int>" in plan
     assert q.count() == time_window(cat.trips(spark, SF_SMALL), "15:00:00").count()
+
+
+def test_result_does_not_depend_on_session_time_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        a = [tuple(r) for r in cat.q_hotspots(spark, SF_SMALL).collect()]
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        b = [tuple(r) for r in cat.q_hotspots(spark, SF_SMALL).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert a == b
