@@ -77,6 +77,7 @@ def joined_cluster_stats(assigned: DataFrame, cluster_col: str = "cluster") -> D
 
 
 def model_centres(model: KMeansModel, spark) -> DataFrame:
-    """The fitted centres (at most ``k`` rows) as ``center_long, center_lat``."""
-    rows = [(float(c[0]), float(c[1])) for c in model.clusterCenters()]
-    return spark.createDataFrame(rows, "center_long double, center_lat double")
+    """The fitted centres as ``cluster, center_long, center_lat`` (at most ``k``
+    rows, so building them on the driver is bounded by a parameter)."""
+    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster int, center_long double, center_lat double")

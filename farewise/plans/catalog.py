@@ -20,7 +20,7 @@ from farewise.fixtures import USER_LAT, USER_LONG, raw_trips, raw_zones
 from farewise.functions.geo import haversine_miles, register_sql_functions
 from farewise.functions.price import expected_price
 from farewise.operators.clean import clean_trips, drop_incomplete
-from farewise.operators.cluster import assemble_features
+from farewise.operators.cluster import assemble_features, model_centres
 from farewise.operators.enrich import attach_zones, filter_borough, with_point
 from farewise.operators.explore import (
     best_pickup_locations,
@@ -307,17 +307,15 @@ def q_assemble_features(spark, sf):
 
 def q_kmeans_clusters(spark, sf):
     assigned, model = fit_and_assign(_stats(spark, sf))
-    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    centres = spark.createDataFrame(rows, "cluster int, center_long double, center_lat double")
+    centres = model_centres(model, spark)
     used = assigned.groupBy("cluster").agg(F.sum("n").cast("bigint").alias("trips"))
     return rounded(centres.join(used, "cluster").drop("cluster"))
 
 
 def q_assign_nearest_center(spark, sf):
     """Every trip of the window to its nearest centre (trip-level transform)."""
-    assigned, model = fit_and_assign(_stats(spark, sf))
-    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    centres = spark.createDataFrame(rows, "cluster int, center_long double, center_lat double")
+    _, model = fit_and_assign(_stats(spark, sf))
+    centres = model_centres(model, spark)
     pts = assemble_features(windowed_zone_trips(spark, sf))
     labelled = model.copy().setPredictionCol("cluster").transform(pts)
     out = join_dimension(labelled, centres, "cluster", "inner")

@@ -59,9 +59,10 @@ HOTSPOT_SCHEMA = T.StructType(
 
 CLUSTER_COLUMNS = ("centroid_long", "centroid_lat", "avg_revenue", "avg_tip", "trips")
 
-# Zone-point tables up to this size are fitted on one sorted partition
-# (deterministic result); larger ones keep their partitioning.
-SINGLE_PARTITION_FIT_ROWS = 1_000_000
+# Zone-point tables up to this size (a few MB) are fitted on one sorted
+# partition, which makes the result deterministic; larger ones keep their
+# partitioning and the fit stays distributed.
+SINGLE_PARTITION_FIT_ROWS = 100_000
 
 
 def zone_window_stats(
