@@ -94,7 +94,7 @@ def zone_window_stats(
         F.sum("total_amount").alias("sum_total"),
         F.sum("tip_amount").alias("sum_tip"),
     )
-    return weighted_points(per_loc, zone_pts, borough, max_broadcast_rows)
+    return _sum_per_point(per_loc, pts, max_broadcast_rows)
 
 
 def _points(zone_pts: DataFrame, borough: str | None) -> DataFrame:
@@ -110,7 +110,10 @@ def weighted_points(
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Per-location sums joined to zone points and summed per point."""
-    pts = _points(zone_pts, borough)
+    return _sum_per_point(per_loc, _points(zone_pts, borough), max_broadcast_rows)
+
+
+def _sum_per_point(per_loc: DataFrame, pts: DataFrame, max_broadcast_rows: int) -> DataFrame:
     joined = join_dimension(
         per_loc, pts, per_loc["pulocationid"] == pts["locationid"], "inner", max_broadcast_rows
     )
