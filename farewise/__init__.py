@@ -13,7 +13,13 @@ from farewise.plans.hotspots import (  # noqa: F401
     nearest_clusters,
     zone_window_stats,
 )
-from farewise.sources.trips import clean_trips, load_trips, read_trip_files  # noqa: F401
+from farewise.sources.trips import (  # noqa: F401
+    clean_trips,
+    load_trip_files,
+    load_trips,
+    read_store,
+    read_trip_files,
+)
 from farewise.sources.zones import read_zones_csv, zone_points  # noqa: F401
 
 __all__ = [
@@ -21,8 +27,10 @@ __all__ = [
     "clean_trips",
     "cluster_stats",
     "hotspots",
+    "load_trip_files",
     "load_trips",
     "nearest_clusters",
+    "read_store",
     "read_trip_files",
     "read_zones_csv",
     "zone_points",

@@ -86,6 +86,14 @@ def load_trips(
     return target
 
 
+def load_trip_files(
+    spark: SparkSession, paths: list[str], target: str, fmt: str = "parquet"
+) -> str:
+    """First-time set-up from a list of monthly files: read them all (case
+    drift handled), clean, and replace the curated store at ``target``."""
+    return load_trips(read_trip_files(spark, paths, fmt), target, mode="overwrite")
+
+
 def read_store(
     spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options: str
 ) -> DataFrame:

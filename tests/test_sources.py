@@ -67,3 +67,16 @@ def test_streaming_ingest_is_incremental_and_exactly_once(spark, tmp_dir):
     q.awaitTermination(120)
     cols = ["trip_id", "pickup_hour", "pickup_minute", "total_amount"]
     assert _rows(read_store(spark, dst), cols) == _rows(clean_trips(raw), cols)
+
+
+def test_load_trip_files_from_monthly_paths(spark, tmp_dir):
+    from farewise.sources.trips import load_trip_files
+
+    raw = raw_trips(spark, SF_SMALL)
+    day = F.dayofmonth("tpep_pickup_datetime")
+    a, b = raw.filter(day <= 15), raw.filter(day > 15)
+    a.write.parquet(f"{tmp_dir}/m1")
+    b.toDF(*[c.upper() for c in b.columns]).write.parquet(f"{tmp_dir}/m2")
+    target = load_trip_files(spark, [f"{tmp_dir}/m1", f"{tmp_dir}/m2"], f"{tmp_dir}/curated")
+    cols = ["trip_id", "pickup_hour", "pickup_minute", "passenger_count"]
+    assert _rows(read_store(spark, target), cols) == _rows(clean_trips(raw), cols)
