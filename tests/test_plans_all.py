@@ -1,0 +1,23 @@
+"""Plan rules for every registered query: no cross/nested-loop joins, no
+Python evaluation in the plan, whole-stage codegen around the scans."""
+
+import pytest
+
+import __spark_entry__ as entry
+from farewise.plans.explain import plan_text
+
+from conftest import SF_SMALL
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+             "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_plan_rules(spark, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    df.collect()  # AQE shows the final plan, with its codegen spans, once executed
+    plan = plan_text(df, "formatted")
+    for op in FORBIDDEN:
+        assert op not in plan, f"{name} uses {op}"
+    if "Scan parquet" in plan:
+        assert "codegen id" in plan, f"{name} has no codegen span"
