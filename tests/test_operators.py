@@ -3,7 +3,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 
 from farewise.operators.clean import clean_trips, drop_incomplete
 from farewise.operators.enrich import attach_zones, filter_borough, with_point
