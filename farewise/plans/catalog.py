@@ -162,7 +162,7 @@ def q_preview_limit(spark, sf):
 def q_zones_csv(spark, sf):
     """Zones written as a headered CSV and read back as strings."""
     path = scratch_path(spark, "zones-csv")
-    raw_zones(spark, sf).coalesce(1).write.option("header", True).csv(path)
+    raw_zones(spark, sf).write.option("header", True).csv(path)
     return rounded(active_zones(spark, sf, zone_points(read_zones_csv(spark, path))))
 
 

@@ -143,3 +143,14 @@ def test_result_does_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert a == b
+
+
+def test_every_point_is_assigned_to_its_nearest_centre(spark):
+    from farewise.plans.hotspots import fit_and_assign
+
+    stats = zone_window_stats(cat.trips(spark, SF_CHECK), cat.zones(spark, SF_CHECK), "08:15:00")
+    assigned, model = fit_and_assign(stats)
+    centres = [tuple(c) for c in model.clusterCenters()]
+    for r in assigned.select("long", "lat", "cluster").collect():
+        d = [(r["long"] - cx) ** 2 + (r["lat"] - cy) ** 2 for cx, cy in centres]
+        assert d[r["cluster"]] == pytest.approx(min(d), abs=1e-15)
