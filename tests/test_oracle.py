@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB twin (row count, column names,
-order-insensitive values), at sf0.001 — the driver repeats this at sf0.01."""
+order-insensitive values), at sf0.001 — the driver repeats this at sf0.01 —
+and against the plan rules: no cross or nested-loop joins, no Python
+evaluation, whole-stage codegen around the scans."""
 
 import datetime as dt
 import math
@@ -9,7 +11,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from farewise.plans.explain import plan_text
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+             "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
@@ -43,6 +48,11 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
+    plan = plan_text(df, "formatted")  # the final AQE plan, after execution
+    for op in FORBIDDEN:
+        assert op not in plan, f"{name} uses {op}"
+    if "Scan parquet" in plan:
+        assert "codegen id" in plan, f"{name} has no codegen span"
     cur = duck.execute(ORACLES[name])
     o_cols, o_rows = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
