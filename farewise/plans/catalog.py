@@ -361,6 +361,14 @@ def q_hotspots_late_wrap(spark, sf):
     return rounded(_hotspots(spark, sf, "23:45:00", wrap=True))
 
 
+def q_hotspots_trip_level(spark, sf):
+    """The flagship with k-means fitted on every trip of the window."""
+    return rounded(
+        hotspots(trips(spark, sf), zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG,
+                 fit_on="trips")
+    )
+
+
 def q_hotspots_json(spark, sf):
     return hotspots_json(rounded(_hotspots(spark, sf)))
 

@@ -20,6 +20,7 @@ Plan (the only distributed work is one scan and one aggregate):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,23 +205,80 @@ def hotspots(
     top_n: int = 3,
     wrap_midnight: bool = False,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    fit_on: str = "zones",
 ) -> DataFrame:
     """Hotspots near (lat, long) at ``time``: rows of ``HOTSPOT_SCHEMA``.
 
     ``trips`` are cleaned trips (``clean_trips`` or the curated store);
     ``zone_pts`` come from ``zone_points``.  No trip in the window gives an
-    empty result with the same schema."""
+    empty result with the same schema.
+
+    ``fit_on="zones"`` (default) fits weighted k-means on the zone points of
+    the window (one pass over trips).  ``fit_on="trips"`` fits on every trip
+    of the window, as the original program does: same objective, but k-means‖
+    draws its initial centres from trips rather than from distinct points,
+    so on data without clear clusters it may settle in another local optimum.
+    It costs a pass over the windowed trips per k-means step."""
+    if fit_on == "trips":
+        clusters = trip_level_cluster_stats(
+            trips, zone_pts, time, borough, window_minutes, wrap_midnight, k, seed,
+            max_broadcast_rows,
+        )
+        return _hotspot_rows(clusters, lat, long, top_n)
+    if fit_on != "zones":
+        raise ValueError(f"fit_on must be 'zones' or 'trips', got {fit_on!r}")
     stats = zone_window_stats(
         trips, zone_pts, time, borough, window_minutes, wrap_midnight, max_broadcast_rows
     )
     return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n)
 
 
+def trip_level_cluster_stats(
+    trips: DataFrame,
+    zone_pts: DataFrame,
+    time: str,
+    borough: str | None = None,
+    window_minutes: int = 30,
+    wrap_midnight: bool = False,
+    k: int = DEFAULT_K,
+    seed: int = DEFAULT_SEED,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Cluster statistics from k-means fitted on every trip of the window.
+
+    The windowed trips with their points are persisted for the iterations and
+    released once the (at most ``k``-row) cluster table is checkpointed."""
+    windowed = time_window(trips, time, window_minutes, wrap_midnight)
+    pts = _points(zone_pts, borough)
+    joined = join_dimension(
+        windowed, pts, windowed["pulocationid"] == pts["locationid"], "inner", max_broadcast_rows
+    )
+    points = assemble_features(joined.select("long", "lat", "total_amount", "tip_amount"))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if points.isEmpty():
+            return _empty(trips, CLUSTER_SCHEMA)
+        model = fit_kmeans(points, k=k, seed=seed)
+        per_cluster = assign_clusters(points, model).groupBy("cluster").agg(
+            F.avg("long").alias("centroid_long"),
+            F.avg("lat").alias("centroid_lat"),
+            F.avg("total_amount").alias("avg_revenue"),
+            F.avg("tip_amount").alias("avg_tip"),
+            F.count(F.lit(1)).alias("trips"),
+        )
+        return cut_lineage(per_cluster.select(*CLUSTER_COLUMNS))
+    finally:
+        points.unpersist()
+
+
 def hotspots_from_points(
     stats: DataFrame, lat: float, long: float, *, k: int = DEFAULT_K,
     seed: int = DEFAULT_SEED, top_n: int = 3,
 ) -> DataFrame:
-    clusters = cluster_stats(stats, k, seed)
+    return _hotspot_rows(cluster_stats(stats, k, seed), lat, long, top_n)
+
+
+def _hotspot_rows(clusters: DataFrame, lat: float, long: float, top_n: int) -> DataFrame:
     near = nearest_clusters(clusters, lat, long, top_n)
     return near.select(
         F.col("rank").cast("int").alias("rank"),

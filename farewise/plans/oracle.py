@@ -241,6 +241,7 @@ SELECT rank, round(centroid_long, {D}) AS centroid_long, round(centroid_lat, {D}
     "hotspots_midnight": _hotspots("00:10:00"),
     "hotspots_late_wrap": _hotspots("23:45:00", wrap=True),
     "hotspots_minute_stats": _hotspots(),
+    "hotspots_trip_level": _hotspots(),
     "hotspots_json": BASE + _window() + _clusters() + f"""
 , h AS ({_hotspot_select()})
 SELECT rank, to_json(struct_pack(centroid_long := centroid_long, centroid_lat := centroid_lat,

@@ -154,3 +154,16 @@ def test_every_point_is_assigned_to_its_nearest_centre(spark):
     for r in assigned.select("long", "lat", "cluster").collect():
         d = [(r["long"] - cx) ** 2 + (r["lat"] - cy) ** 2 for cx, cy in centres]
         assert d[r["cluster"]] == pytest.approx(min(d), abs=1e-15)
+
+
+def test_trip_level_fit_agrees_on_separable_data(spark):
+    trips, zones = cat.trips(spark, SF_SMALL), cat.zones(spark, SF_SMALL)
+    a = [tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+         for r in hotspots(trips, zones, "15:00", 40.70, -73.95).collect()]
+    b = [tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+         for r in hotspots(trips, zones, "15:00", 40.70, -73.95, fit_on="trips").collect()]
+    assert a == b
+    empty = hotspots(trips, zones, "15:00", 40.70, -73.95, borough="nowhere", fit_on="trips")
+    assert empty.count() == 0 and empty.schema == HOTSPOT_SCHEMA
+    with pytest.raises(ValueError):
+        hotspots(trips, zones, "15:00", 40.70, -73.95, fit_on="points")
