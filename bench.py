@@ -5,10 +5,13 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 
 Every query is evaluated completely (``noop`` sink: all rows produced, none
-collected); each is run twice after a warm-up and the faster run is kept.
+collected); each is run three times after a warm-up and the fastest run is kept.
 ``baseline`` holds the same flagship answered the way the original program
 shapes it (k-means fitted on every trip of the window, three aggregates joined
 on the cluster label), measured in the same session, for comparison.
+``scaled_x10`` times the flagship both ways on the trips replicated ten times
+inside Spark (``BENCH_SCALE_REP``; 1 skips it), where volume rather than job
+overhead decides.
 """
 
 from __future__ import annotations
@@ -70,6 +73,46 @@ def trip_level_hotspots_from(trips, zones):
     )
 
 
+def replicated_events(spark, sf, rep):
+    """The sf ``events`` table replicated ``rep`` times inside Spark (ids kept
+    unique), landed under the checkpoint folder."""
+    from pyspark.sql import functions as F
+
+    from farewise.fixtures import read_table
+    from farewise.session import scratch_path
+
+    ev = read_table(spark, sf, "events")
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rep - 1).cast("bigint")))
+    big = (ev.withColumn("copy", copy)
+           .withColumn("event_id", F.col("event_id") + F.col("copy") * F.lit(10**9).cast("bigint"))
+           .drop("copy"))
+    path = scratch_path(spark, f"events-x{rep}")
+    big.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def scaled_flagship(spark, sf, rep, timed):
+    """The flagship three ways on ``rep`` × the trips: zone-level over raw
+    trips, zone-level over the curated store, trip-level shape."""
+    from farewise.fixtures import TRIPS_FX, USER_LAT, USER_LONG
+    from farewise.operators.clean import clean_trips
+    from farewise.plans import catalog as cat
+    from farewise.plans.hotspots import hotspots
+    from farewise.session import scratch_path
+    from farewise.sources.trips import load_trips, read_store
+
+    raw = spark.sql(TRIPS_FX, events=replicated_events(spark, sf, rep))
+    trips, zones = clean_trips(raw), cat.zones(spark, sf)
+    curated = load_trips(raw, scratch_path(spark, f"curated-x{rep}"))
+    return {
+        "hotspots": timed(lambda sp, _: hotspots(trips, zones, "15:00:00", USER_LAT, USER_LONG)),
+        "hotspots_curated": timed(
+            lambda sp, _: hotspots(read_store(sp, curated), zones, "15:00:00", USER_LAT, USER_LONG)
+        ),
+        "hotspots_trip_level": timed(lambda sp, _: trip_level_hotspots_from(trips, zones)),
+    }
+
+
 def _run(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -105,7 +148,7 @@ def main():
 
     def timed(make):
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t0 = time.perf_counter()
             _run(make(spark, sf_dir))
             dt = time.perf_counter() - t0
@@ -130,6 +173,8 @@ def main():
                                             "15:00:00", USER_LAT, USER_LONG))
     )
     baseline = {"hotspots_trip_level": timed(trip_level_hotspots)}
+    rep = int(os.environ.get("BENCH_SCALE_REP", "10"))
+    scaled = scaled_flagship(spark, sf_dir, rep, timed) if rep > 1 else {}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -139,6 +184,7 @@ def main():
                 "unit": "sec",
                 "queries": results,
                 "baseline": baseline,
+                f"scaled_x{rep}": scaled,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
             }

@@ -20,19 +20,12 @@ sys.path.insert(0, ROOT)
 
 def main():
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", "16").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     import bench
-    from farewise.fixtures import TRIPS_FX, USER_LAT, USER_LONG, read_table
-    from farewise.operators.clean import clean_trips
-    from farewise.plans import catalog as cat
-    from farewise.plans.hotspots import hotspots
-    from farewise.session import scratch_path
-    from farewise.sources.trips import load_trips, read_store
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
@@ -46,22 +39,9 @@ def main():
         return time.perf_counter() - t0
 
     for rep in [int(x) for x in sys.argv[1:]] or [10]:
-        ev = read_table(spark, sf, "events")
-        copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rep - 1).cast("bigint")))
-        big = (ev.withColumn("copy", copy)
-               .withColumn("event_id", F.col("event_id") + F.col("copy") * F.lit(10**9).cast("bigint"))
-               .drop("copy"))
-        path = scratch_path(spark, f"events-x{rep}")
-        big.write.parquet(path)
-        events = spark.read.parquet(path)
-        raw = spark.sql(TRIPS_FX, events=events)
-        trips, zones = clean_trips(raw), cat.zones(spark, sf)
-        curated = load_trips(raw, scratch_path(spark, f"curated-x{rep}"))
-        a = timed(lambda: hotspots(trips, zones, "15:00:00", USER_LAT, USER_LONG))
-        c = timed(lambda: hotspots(read_store(spark, curated), zones, "15:00:00", USER_LAT, USER_LONG))
-        b = timed(lambda: bench.trip_level_hotspots_from(trips, zones))
-        print(f"x{rep}: {events.count()} events; zone-level {a:.2f}s, zone-level on curated "
-              f"{c:.2f}s, trip-level {b:.2f}s", flush=True)
+        t = bench.scaled_flagship(spark, sf, rep, lambda make: round(timed(lambda: make(spark, sf)), 2))
+        print(f"x{rep}: zone-level {t['hotspots']}s, zone-level on curated "
+              f"{t['hotspots_curated']}s, trip-level {t['hotspots_trip_level']}s", flush=True)
 
 
 if __name__ == "__main__":
