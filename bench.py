@@ -54,7 +54,7 @@ def trip_level_hotspots_from(trips, zones):
 
     from farewise.fixtures import USER_LAT, USER_LONG
     from farewise.functions.geo import haversine_miles
-    from farewise.operators.cluster import assemble_features
+    from farewise.operators.kmeans import assemble_features
     from farewise.operators.enrich import attach_zones
     from farewise.operators.window import time_window
 

@@ -20,7 +20,7 @@ from farewise.fixtures import USER_LAT, USER_LONG, raw_trips, raw_zones
 from farewise.functions.geo import haversine_miles, register_sql_functions
 from farewise.functions.price import expected_price
 from farewise.operators.clean import clean_trips, drop_incomplete
-from farewise.operators.cluster import assemble_features, model_centres
+from farewise.operators.kmeans import assemble_features, model_centres
 from farewise.operators.enrich import attach_zones, filter_borough, with_point
 from farewise.operators.explore import (
     best_pickup_locations,

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from farewise.functions.geo import haversine_miles
 from farewise.functions.price import expected_price
-from farewise.operators.cluster import (
+from farewise.operators.kmeans import (
     DEFAULT_K,
     DEFAULT_SEED,
     assemble_features,
