@@ -33,7 +33,9 @@ def join_dimension(
     how: str = "left",
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``fact`` joined to a dimension ``dim``; ``dim`` is broadcast when small.
-
-    ``on`` may reference ``dim``'s columns: the landed table keeps them."""
+    """``fact`` joined to a dimension ``dim``; ``dim`` is broadcast when the
+    probe bounds its rows.  Callers pass a narrow projection of the dimension
+    (a handful of scalar columns), so the row bound is also a size bound of a
+    few tens of MB.  Land a derived dimension with ``materialize_dimension``
+    first and build ``on`` from the landed frame."""
     return fact.join(maybe_broadcast(dim, max_broadcast_rows), on=on, how=how)

@@ -43,8 +43,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to reliable storage so a lost executor does not
-    replay the scan that produced it.  Used only for bounded intermediate
-    tables (per-zone statistics) ahead of iterative algorithms."""
+    replay the plan that produced it.  Used for tables bounded by a dimension
+    or a parameter: per-zone-point statistics ahead of k-means, derived zone
+    tables ahead of a broadcast, the k-row cluster table."""
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
