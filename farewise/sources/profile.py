@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 
 def schema_profile(df: DataFrame, sample_rows: int = 10) -> DataFrame:
     """``(column_name, type_name)`` observed on a sample of ``sample_rows`` rows
-    (the sample size is the feature: a profile of a few records)."""
+    (the sample size is the feature: a profile of a few records).
+
+    The sample is taken with ``take``, which scans partitions incrementally
+    (one first, more only if needed), so profiling a huge table opens a few
+    file splits instead of one task per split; at most ``sample_rows`` rows
+    reach the driver."""
+    sample = df.sparkSession.createDataFrame(df.take(sample_rows), df.schema)
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column_name"), F.typeof(F.col(f"`{c}`")).alias("type_name"))
             for c in df.columns
         ]
     )
-    return (
-        df.limit(sample_rows)
-        .select(F.explode(pairs).alias("p"))
-        .select("p.column_name", "p.type_name")
-        .distinct()
-    )
+    return sample.select(F.explode(pairs).alias("p")).select("p.column_name", "p.type_name").distinct()
 
 
 def schema_text(df: DataFrame) -> str:
