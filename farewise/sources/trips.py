@@ -16,6 +16,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farewise.operators.clean import clean_trips
 
@@ -23,11 +24,23 @@ CURATED_PARTITION = "pickup_hour"
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
-    """Lower-case every column name; two names equal up to case are an error."""
-    lowered = [c.lower() for c in df.columns]
-    if len(set(lowered)) != len(lowered):
-        raise ValueError(f"column names collide when lower-cased: {df.columns}")
-    return df.toDF(*lowered)
+    """Lower-case every column name.
+
+    Columns whose names are equal up to case (a month carrying both
+    ``Airport_fee`` and ``airport_fee``) are merged into one: the first non-null
+    value in column order wins, and the type is their common type."""
+    groups: dict[str, list[int]] = {}
+    for i, c in enumerate(df.columns):
+        groups.setdefault(c.lower(), []).append(i)
+    if all(len(g) == 1 for g in groups.values()):
+        return df.toDF(*[c.lower() for c in df.columns])
+    # positional renaming first: names equal up to case are ambiguous otherwise
+    tmp = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    cols = [
+        (F.col(f"_c{g[0]}") if len(g) == 1 else F.coalesce(*[F.col(f"_c{i}") for i in g])).alias(name)
+        for name, g in groups.items()
+    ]
+    return tmp.select(*cols)
 
 
 def positional_union(frames: list[DataFrame]) -> DataFrame:

@@ -120,3 +120,16 @@ def test_zones_csv_keeps_commas_inside_wkt(spark, tmp_dir):
     assert pts[1]["n_vertices"] == 3
     assert math.isclose(pts[1]["long"], (-74.1 - 74.0 - 74.0) / 3)
     assert pts[2]["long"] is None and pts[2]["n_vertices"] == 0
+
+
+def test_normalize_merges_columns_equal_up_to_case(spark):
+    for sensitive in ("true", "false"):
+        spark.conf.set("spark.sql.caseSensitive", sensitive)
+        try:
+            df = spark.createDataFrame([(1, None, 2.5), (2, 1.25, None), (3, 4.0, 5.0)],
+                                       "id int, Airport_fee double, airport_fee double")
+            out = normalize_columns(df)
+            assert out.columns == ["id", "airport_fee"]
+            assert sorted(tuple(r) for r in out.collect()) == [(1, 2.5), (2, 1.25), (3, 4.0)]
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", "false")
