@@ -314,6 +314,17 @@ def zone_minute_stats(trips: DataFrame) -> DataFrame:
     )
 
 
+def add_minute_stats(landed: DataFrame, new_trips: DataFrame) -> DataFrame:
+    """Fold a new batch of cleaned trips (a newly loaded month) into landed
+    ``zone_minute_stats``: the statistics are additive, so history is not
+    re-read.  The caller writes the result to a new location and switches."""
+    keys = ["pulocationid", "pickup_minute"]
+    both = landed.select(*keys, "n", "sum_total", "sum_tip").unionByName(zone_minute_stats(new_trips))
+    return both.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("sum_total").alias("sum_total"), F.sum("sum_tip").alias("sum_tip")
+    )
+
+
 def hotspots_from_minute_stats(
     minute_stats: DataFrame,
     zone_pts: DataFrame,

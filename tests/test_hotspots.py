@@ -167,3 +167,20 @@ def test_trip_level_fit_agrees_on_separable_data(spark):
     assert empty.count() == 0 and empty.schema == HOTSPOT_SCHEMA
     with pytest.raises(ValueError):
         hotspots(trips, zones, "15:00", 40.70, -73.95, fit_on="points")
+
+
+def test_minute_stats_are_additive(spark, tmp_dir):
+    from farewise.plans.hotspots import add_minute_stats, zone_minute_stats
+
+    trips = cat.trips(spark, SF_SMALL)
+    day = F.dayofmonth("tpep_pickup_datetime")
+    path = f"{tmp_dir}/stats"
+    zone_minute_stats(trips.filter(day <= 15)).write.parquet(path)
+    merged = add_minute_stats(spark.read.parquet(path), trips.filter(day > 15))
+    whole = zone_minute_stats(trips)
+
+    def canon(df):
+        return sorted((r[0], r[1], r[2], round(r[3], 6), round(r[4], 6))
+                      for r in df.select("pulocationid", "pickup_minute", "n", "sum_total", "sum_tip").collect())
+
+    assert canon(merged) == canon(whole)
