@@ -184,3 +184,14 @@ def test_minute_stats_are_additive(spark, tmp_dir):
                       for r in df.select("pulocationid", "pickup_minute", "n", "sum_total", "sum_tip").collect())
 
     assert canon(merged) == canon(whole)
+
+
+def test_flagship_distributed_part_has_one_shuffle(spark, tmp_dir):
+    from farewise.sources.trips import load_trips, read_store
+
+    path = load_trips(cat.raw_trips(spark, SF_SMALL), f"{tmp_dir}/curated")
+    stats = zone_window_stats(read_store(spark, path), cat.zones(spark, SF_SMALL), "15:00:00")
+    plan = plan_text(stats, "simple")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("BroadcastExchange") == 1
+    assert "SortMergeJoin" not in plan
