@@ -105,11 +105,14 @@ def scaled_flagship(spark, sf, rep, timed):
     trips, zones = clean_trips(raw), cat.zones(spark, sf)
     curated = load_trips(raw, scratch_path(spark, f"curated-x{rep}"))
     return {
-        "hotspots": timed(lambda sp, _: hotspots(trips, zones, "15:00:00", USER_LAT, USER_LONG)),
+        "hotspots": timed(lambda sp, _: hotspots(trips, zones, "15:00:00", USER_LAT, USER_LONG),
+                          f"x{rep}.hotspots"),
         "hotspots_curated": timed(
-            lambda sp, _: hotspots(read_store(sp, curated), zones, "15:00:00", USER_LAT, USER_LONG)
+            lambda sp, _: hotspots(read_store(sp, curated), zones, "15:00:00", USER_LAT, USER_LONG),
+            f"x{rep}.hotspots_curated",
         ),
-        "hotspots_trip_level": timed(lambda sp, _: trip_level_hotspots_from(trips, zones)),
+        "hotspots_trip_level": timed(lambda sp, _: trip_level_hotspots_from(trips, zones),
+                                     f"x{rep}.hotspots_trip_level"),
     }
 
 
@@ -146,16 +149,22 @@ def main():
     _run(QUERIES["trips_per_hour"](spark, sf_dir))  # warm-up
     _run(QUERIES["hotspots"](spark, sf_dir))
 
-    def timed(make):
+    errors = {}
+
+    def timed(make, name=None):
         best = None
-        for _ in range(3):
-            t0 = time.perf_counter()
-            _run(make(spark, sf_dir))
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
+        try:
+            for _ in range(3):
+                t0 = time.perf_counter()
+                _run(make(spark, sf_dir))
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+        except Exception as ex:  # noqa: BLE001 - report, keep benchmarking the rest
+            errors[name or getattr(make, "__name__", "query")] = f"{type(ex).__name__}: {str(ex)[:200]}"
+            return None
         return round(best, 3)
 
-    results = {name: timed(QUERIES[name]) for name in HEADLINE}
+    results = {name: timed(QUERIES[name], name) for name in HEADLINE}
 
     # Production path: land the curated store once, then answer from it
     # (hour folders pruned, minute ranges pushed into the Parquet scan).
@@ -170,23 +179,30 @@ def main():
     results["load_trips"] = round(time.perf_counter() - t0, 3)
     results["hotspots_curated"] = timed(
         lambda sp, sf: cat.rounded(hotspots(read_store(sp, curated), cat.zones(sp, sf),
-                                            "15:00:00", USER_LAT, USER_LONG))
+                                            "15:00:00", USER_LAT, USER_LONG)),
+        "hotspots_curated",
     )
-    baseline = {"hotspots_trip_level": timed(trip_level_hotspots)}
+    baseline = {"hotspots_trip_level": timed(trip_level_hotspots, "hotspots_trip_level")}
     rep = int(os.environ.get("BENCH_SCALE_REP", "10"))
-    scaled = scaled_flagship(spark, sf_dir, rep, timed) if rep > 1 else {}
+    scaled = {}
+    if rep > 1:
+        try:
+            scaled = scaled_flagship(spark, sf_dir, rep, timed)
+        except Exception as ex:  # noqa: BLE001
+            errors[f"scaled_x{rep}"] = f"{type(ex).__name__}: {str(ex)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total",
-                "value": round(sum(results.values()), 3),
+                "value": round(sum(v for v in results.values() if v is not None), 3),
                 "unit": "sec",
                 "queries": results,
                 "baseline": baseline,
                 f"scaled_x{rep}": scaled,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
+                **({"errors": errors} if errors else {}),
             }
         )
     )

@@ -39,7 +39,7 @@ def main():
         return time.perf_counter() - t0
 
     for rep in [int(x) for x in sys.argv[1:]] or [10]:
-        t = bench.scaled_flagship(spark, sf, rep, lambda make: round(timed(lambda: make(spark, sf)), 2))
+        t = bench.scaled_flagship(spark, sf, rep, lambda make, *_: round(timed(lambda: make(spark, sf)), 2))
         print(f"x{rep}: zone-level {t['hotspots']}s, zone-level on curated "
               f"{t['hotspots_curated']}s, trip-level {t['hotspots_trip_level']}s", flush=True)
 
