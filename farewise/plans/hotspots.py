@@ -293,8 +293,14 @@ def _hotspot_rows(clusters: DataFrame, lat: float, long: float, top_n: int) -> D
 
 
 def hotspots_json(result: DataFrame) -> DataFrame:
-    """One JSON record per hotspot, in rank order: ``rank, data``."""
-    fields = [c for c in result.columns if c != "rank"]
+    """One JSON record per hotspot: ``rank, data``.  Doubles are written as
+    fixed-point numbers with 6 decimals (0.1 m in degrees, a millionth of a
+    dollar), never in exponent notation."""
+    fields = [
+        F.col(f.name).cast("decimal(20,6)").alias(f.name)
+        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        for f in result.schema.fields if f.name != "rank"
+    ]
     return result.select("rank", F.to_json(F.struct(*fields)).alias("data"))
 
 

@@ -244,7 +244,9 @@ SELECT rank, round(centroid_long, {D}) AS centroid_long, round(centroid_lat, {D}
     "hotspots_trip_level": _hotspots(),
     "hotspots_json": BASE + _window() + _clusters() + f"""
 , h AS ({_hotspot_select()})
-SELECT rank, to_json(struct_pack(centroid_long := centroid_long, centroid_lat := centroid_lat,
-       avg_revenue := avg_revenue, avg_tip := avg_tip, trips := trips,
-       distance_mi := distance_mi, expected_price := expected_price))::VARCHAR AS data FROM h""",
+SELECT rank, to_json(struct_pack(centroid_long := centroid_long::DECIMAL(20,6),
+       centroid_lat := centroid_lat::DECIMAL(20,6), avg_revenue := avg_revenue::DECIMAL(20,6),
+       avg_tip := avg_tip::DECIMAL(20,6), trips := trips,
+       distance_mi := distance_mi::DECIMAL(20,6), expected_price := expected_price))::VARCHAR AS data
+FROM h""",
 }
