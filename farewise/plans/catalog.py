@@ -307,6 +307,8 @@ def q_assemble_features(spark, sf):
 
 def q_kmeans_clusters(spark, sf):
     assigned, model = fit_and_assign(_stats(spark, sf))
+    if model is None:  # no trip in the window
+        return spark.createDataFrame([], "center_long double, center_lat double, trips bigint")
     centres = model_centres(model, spark)
     used = assigned.groupBy("cluster").agg(F.sum("n").cast("bigint").alias("trips"))
     return rounded(centres.join(used, "cluster").drop("cluster"))
@@ -315,6 +317,8 @@ def q_kmeans_clusters(spark, sf):
 def q_assign_nearest_center(spark, sf):
     """Every trip of the window to its nearest centre (trip-level transform)."""
     _, model = fit_and_assign(_stats(spark, sf))
+    if model is None:  # no trip in the window
+        return spark.createDataFrame([], "trip_id bigint, center_long double, center_lat double")
     centres = model_centres(model, spark)
     pts = assemble_features(windowed_zone_trips(spark, sf))
     labelled = model.copy().setPredictionCol("cluster").transform(pts)
