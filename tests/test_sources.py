@@ -80,3 +80,16 @@ def test_load_trip_files_from_monthly_paths(spark, tmp_dir):
     target = load_trip_files(spark, [f"{tmp_dir}/m1", f"{tmp_dir}/m2"], f"{tmp_dir}/curated")
     cols = ["trip_id", "pickup_hour", "pickup_minute", "passenger_count"]
     assert _rows(read_store(spark, target), cols) == _rows(clean_trips(raw), cols)
+
+
+def test_streaming_ingest_continuous_trigger(spark, tmp_dir):
+    raw = raw_trips(spark, SF_SMALL)
+    src, dst, ck = f"{tmp_dir}/landing", f"{tmp_dir}/curated", f"{tmp_dir}/ckpt"
+    raw.write.parquet(f"{src}/m1")
+    q = start_trip_ingest(spark, f"{src}/*", dst, ck, schema=raw.schema,
+                          available_now=False, poll="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert read_store(spark, dst).count() == clean_trips(raw).count()
