@@ -40,7 +40,7 @@ HEADLINE = [
 
 
 def trip_level_hotspots(spark, sf):
-    """Reference-shaped flagship on the fixture tables."""
+    """The flagship shaped as the original program computes it, on the fixture tables."""
     from farewise.plans import catalog as cat
 
     return trip_level_hotspots_from(cat.trips(spark, sf), cat.zones(spark, sf))
