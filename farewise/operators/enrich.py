@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from farewise.operators.joins import (
     DEFAULT_MAX_BROADCAST_ROWS,
-    join_dimension,
+    DEFAULT_SALT_BUCKETS,
     materialize_dimension,
+    salted_join,
 )
+from farewise.session import has_at_most
 
 ZONE_COLUMNS = ("locationid", "zone", "borough", "long", "lat")
 
@@ -19,14 +21,20 @@ def attach_zones(
     zone_pts: DataFrame,
     how: str = "left",
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    salt_buckets: int = DEFAULT_SALT_BUCKETS,
 ) -> DataFrame:
     """Left join on ``pulocationid = locationid``: trips without a zone keep
-    null zone columns."""
+    null zone columns.
+
+    The landed zone table is broadcast when the probe bounds it (the usual
+    case: a city has a few hundred zones).  Beyond the bound the join is a
+    salted shuffle join, so a pickup location holding a large share of the
+    trips is split over ``salt_buckets`` reducers."""
     dim = materialize_dimension(zone_pts.select(*ZONE_COLUMNS))
-    joined = join_dimension(
-        trips, dim, trips["pulocationid"] == dim["locationid"], how, max_broadcast_rows
-    )
-    return joined.drop(dim["locationid"])
+    if has_at_most(dim, max_broadcast_rows):
+        joined = trips.join(F.broadcast(dim), trips["pulocationid"] == dim["locationid"], how)
+        return joined.drop(dim["locationid"])
+    return salted_join(trips, dim, "pulocationid", "locationid", how, salt_buckets).drop("locationid")
 
 
 def _normalise_borough(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from farewise.session import cut_lineage, has_at_most
 
 DEFAULT_MAX_BROADCAST_ROWS = 250_000
+DEFAULT_SALT_BUCKETS = 16
 
 
 def materialize_dimension(df: DataFrame) -> DataFrame:
@@ -39,3 +40,24 @@ def join_dimension(
     few tens of MB.  Land a derived dimension with ``materialize_dimension``
     first and build ``on`` from the landed frame."""
     return fact.join(maybe_broadcast(dim, max_broadcast_rows), on=on, how=how)
+
+
+def salted_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    fact_key: str,
+    dim_key: str,
+    how: str = "left",
+    buckets: int = DEFAULT_SALT_BUCKETS,
+) -> DataFrame:
+    """Shuffle equi-join that splits hot keys: every fact row gets a salt in
+    ``[0, buckets)`` from a hash of its own columns (deterministic, so a retried
+    task sends each row to the same place), and each dimension row is repeated
+    once per salt.  A key holding a third of the facts is spread over
+    ``buckets`` reducers; each fact row still meets exactly one copy of each
+    matching dimension row, so inner and left joins are unchanged."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(buckets)).cast("int")
+    f = fact.withColumn("_salt", salt)
+    d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    joined = f.join(d, (f[fact_key] == d[dim_key]) & (f["_salt"] == d["_salt"]), how)
+    return joined.drop(f["_salt"]).drop(d["_salt"])

@@ -41,6 +41,7 @@ from farewise.operators.joins import (
     DEFAULT_MAX_BROADCAST_ROWS,
     join_dimension,
     materialize_dimension,
+    salted_join,
 )
 from farewise.operators.window import time_window
 from farewise.session import cut_lineage, has_at_most
@@ -250,9 +251,10 @@ def trip_level_cluster_stats(
     released once the (at most ``k``-row) cluster table is checkpointed."""
     windowed = time_window(trips, time, window_minutes, wrap_midnight)
     pts = _points(zone_pts, borough)
-    joined = join_dimension(
-        windowed, pts, windowed["pulocationid"] == pts["locationid"], "inner", max_broadcast_rows
-    )
+    if has_at_most(pts, max_broadcast_rows):
+        joined = windowed.join(F.broadcast(pts), windowed["pulocationid"] == pts["locationid"])
+    else:  # row-level join beyond the broadcast bound: split hot locations
+        joined = salted_join(windowed, pts, "pulocationid", "locationid", "inner")
     points = assemble_features(joined.select("long", "lat", "total_amount", "tip_amount"))
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:

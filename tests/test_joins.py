@@ -56,6 +56,8 @@ def test_left_join_shuffle_path_equals_broadcast(spark):
         plan = plan_text(big)
         assert "BroadcastHashJoin" not in plan
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert "xxhash64" in plan  # salted
+        assert big.columns == attach_zones(trips, zones).columns
         assert small == _sorted(big)
 
 
@@ -71,6 +73,24 @@ def test_window_stats_shuffle_path_equals_broadcast(spark):
         assert a == canon(b)
 
 
+def test_salted_join_spreads_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from farewise.operators.joins import salted_join
+
+    fact = spark.range(30000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
+    dim = spark.range(50).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    with no_auto_broadcast(spark):
+        out = salted_join(fact, dim, "k", "key", "left", buckets=8)
+        rows = out.select("id", "k", "v").collect()
+    assert len(rows) == 30000
+    assert all(r["v"] == r["k"] * 10 for r in rows)
+    # the hot key's rows are spread over all salt buckets
+    salts = fact.select(F.pmod(F.xxhash64("id", "k"), F.lit(8)).alias("s")).where("k = 0").distinct()
+    assert salts.count() == 8
+
+
 def test_hot_location_holding_a_third_of_trips(spark):
     """One pickup location holds a third of all trips: counts and cluster
     statistics stay exact (partial aggregation, no key shipped whole)."""
@@ -86,3 +106,17 @@ def test_hot_location_holding_a_third_of_trips(spark):
     assert sum(per_zone.values()) == 3000
     clusters = cluster_stats(zone_window_stats(trips, zones, "15:00"))
     assert sum(r["trips"] for r in clusters.collect()) == 3000
+
+
+def test_trip_level_fit_salted_path_equals_broadcast(spark):
+    from farewise.plans.hotspots import trip_level_cluster_stats
+
+    trips, zones = cat.trips(spark, SF_SMALL), cat.zones(spark, SF_SMALL)
+
+    def canon(df):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    a = canon(trip_level_cluster_stats(trips, zones, "15:00:00"))
+    with no_auto_broadcast(spark):
+        b = canon(trip_level_cluster_stats(trips, zones, "15:00:00", max_broadcast_rows=0))
+    assert a == b
