@@ -105,7 +105,7 @@ def scaled_flagship(spark, sf, rep, timed):
     trips, zones = clean_trips(raw), cat.zones(spark, sf)
     curated = load_trips(raw, scratch_path(spark, f"curated-x{rep}"))
     return {
-        "hotspots": timed(lambda sp, _: hotspots(trips, zones, "15:00:00", USER_LAT, USER_LONG),
+        "hotspots": timed(lambda sp, _: hotspots(raw, zones, "15:00:00", USER_LAT, USER_LONG, raw=True),
                           f"x{rep}.hotspots"),
         "hotspots_curated": timed(
             lambda sp, _: hotspots(read_store(sp, curated), zones, "15:00:00", USER_LAT, USER_LONG),

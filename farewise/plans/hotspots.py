@@ -43,7 +43,9 @@ from farewise.operators.joins import (
     materialize_dimension,
     salted_join,
 )
+from farewise.operators.clean import clean_trips
 from farewise.operators.window import time_window
+from farewise.sources.trips import normalize_columns
 from farewise.session import cut_lineage, has_at_most
 
 HOTSPOT_SCHEMA = T.StructType(
@@ -67,6 +69,19 @@ CLUSTER_COLUMNS = ("centroid_long", "centroid_lat", "avg_revenue", "avg_tip", "t
 SINGLE_PARTITION_FIT_ROWS = 100_000
 
 
+def windowed_trips(
+    trips: DataFrame, time: str, window_minutes: int = 30, wrap_midnight: bool = False,
+    raw: bool = False,
+) -> DataFrame:
+    """Trips in the time-of-day window.  With ``raw`` the input is uncleaned
+    trips: the cheap, selective window predicate is applied first and the
+    cleaning (all-column null/NaN check, casts) only to the rows inside the
+    window.  The filters commute, so the rows are the same either way."""
+    if raw:
+        return clean_trips(time_window(normalize_columns(trips), time, window_minutes, wrap_midnight))
+    return time_window(trips, time, window_minutes, wrap_midnight)
+
+
 def zone_window_stats(
     trips: DataFrame,
     zone_pts: DataFrame,
@@ -75,10 +90,11 @@ def zone_window_stats(
     window_minutes: int = 30,
     wrap_midnight: bool = False,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    raw: bool = False,
 ) -> DataFrame:
     """Weighted zone points of the trips in the window:
-    ``long, lat, n, sum_total, sum_tip``."""
-    windowed = time_window(trips, time, window_minutes, wrap_midnight)
+    ``long, lat, n, sum_total, sum_tip``.  ``raw``: see ``windowed_trips``."""
+    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw)
     pts = _points(zone_pts, borough)
     if has_at_most(pts, max_broadcast_rows):
         # Map-side: every task looks trips up in the broadcast zone table and
@@ -207,12 +223,14 @@ def hotspots(
     wrap_midnight: bool = False,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     fit_on: str = "zones",
+    raw: bool = False,
 ) -> DataFrame:
     """Hotspots near (lat, long) at ``time``: rows of ``HOTSPOT_SCHEMA``.
 
-    ``trips`` are cleaned trips (``clean_trips`` or the curated store);
-    ``zone_pts`` come from ``zone_points``.  No trip in the window gives an
-    empty result with the same schema.
+    ``trips`` are cleaned trips (``clean_trips`` or the curated store), or
+    uncleaned trips with ``raw=True`` (the window is then applied before the
+    cleaning; same rows, less work); ``zone_pts`` come from ``zone_points``.
+    No trip in the window gives an empty result with the same schema.
 
     ``fit_on="zones"`` (default) fits weighted k-means on the zone points of
     the window (one pass over trips).  ``fit_on="trips"`` fits on every trip
@@ -223,13 +241,13 @@ def hotspots(
     if fit_on == "trips":
         clusters = trip_level_cluster_stats(
             trips, zone_pts, time, borough, window_minutes, wrap_midnight, k, seed,
-            max_broadcast_rows,
+            max_broadcast_rows, raw,
         )
         return _hotspot_rows(clusters, lat, long, top_n)
     if fit_on != "zones":
         raise ValueError(f"fit_on must be 'zones' or 'trips', got {fit_on!r}")
     stats = zone_window_stats(
-        trips, zone_pts, time, borough, window_minutes, wrap_midnight, max_broadcast_rows
+        trips, zone_pts, time, borough, window_minutes, wrap_midnight, max_broadcast_rows, raw
     )
     return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n)
 
@@ -244,12 +262,13 @@ def trip_level_cluster_stats(
     k: int = DEFAULT_K,
     seed: int = DEFAULT_SEED,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    raw: bool = False,
 ) -> DataFrame:
     """Cluster statistics from k-means fitted on every trip of the window.
 
     The windowed trips with their points are persisted for the iterations and
     released once the (at most ``k``-row) cluster table is checkpointed."""
-    windowed = time_window(trips, time, window_minutes, wrap_midnight)
+    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw)
     pts = _points(zone_pts, borough)
     if has_at_most(pts, max_broadcast_rows):
         joined = windowed.join(F.broadcast(pts), windowed["pulocationid"] == pts["locationid"])

@@ -32,8 +32,9 @@ def main():
     trips, zones = cat.trips(spark, sf), cat.zones(spark, sf)
     curated = load_trips(raw_trips(spark, sf), scratch_path(spark, "plans-curated"))
     items = [
-        ("Hotspots, distributed part: window → broadcast zone join → partial/final aggregate by point",
-         zone_window_stats(trips, zones, "15:00:00")),
+        ("Hotspots, distributed part, raw trips (raw=True): window first → cleaning → broadcast "
+         "zone join → partial/final aggregate by point",
+         zone_window_stats(raw_trips(spark, sf), zones, "15:00:00", raw=True)),
         ("Hotspots over the curated store (partition pruning + pushed minute range)",
          zone_window_stats(read_store(spark, curated), zones, "15:00:00")),
         ("Top pickup zones: aggregate per location before the zone join", top_pickup_zones(trips, zones)),

@@ -195,3 +195,19 @@ def test_flagship_distributed_part_has_one_shuffle(spark, tmp_dir):
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("BroadcastExchange") == 1
     assert "SortMergeJoin" not in plan
+
+
+def test_raw_mode_equals_cleaned_input(spark):
+    raw, zones = cat.raw_trips(spark, SF_CHECK), cat.zones(spark, SF_CHECK)
+    for time, wrap in (("15:00:00", False), ("23:45:00", True), ("00:10", False)):
+        a = zone_window_stats(cat.trips(spark, SF_CHECK), zones, time, wrap_midnight=wrap)
+        b = zone_window_stats(raw, zones, time, wrap_midnight=wrap, raw=True)
+
+        def canon(df):
+            return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+        assert canon(a) == canon(b)
+    # the window predicate is evaluated before the all-column completeness check
+    plan = plan_text(zone_window_stats(raw, zones, "15:00:00", raw=True), "simple")
+    cond = plan.split("Filter (")[1].split("\n")[0]
+    assert cond.index("870") < cond.index("atleastnnonnulls")
