@@ -37,6 +37,7 @@ from farewise.plans.hotspots import (
     hotspots_from_minute_stats,
     hotspots_json,
     nearest_clusters,
+    windowed_trips,
     zone_minute_stats,
     zone_window_stats,
 )
@@ -88,7 +89,8 @@ def active_zones(spark: SparkSession, sf: str, zone_df: DataFrame) -> DataFrame:
 
 
 def windowed_zone_trips(spark, sf, time=DEFAULT_TIME, borough=None, wrap=False):
-    w = time_window(trips(spark, sf), time, wrap_midnight=wrap)
+    # window first, then cleaning (same rows; the completeness check runs on few rows)
+    w = windowed_trips(raw_trips(spark, sf), time, wrap_midnight=wrap, raw=True)
     return filter_borough(attach_zones(w, zones(spark, sf)), borough)
 
 
