@@ -2,10 +2,11 @@
 
 Plan (the only distributed work is one scan and one aggregate):
 
-1. trips in the ±window, joined map-side to the broadcast zone points (the
-   zone table is broadcast only behind a row-count probe; optional borough
-   filter; zones without a point dropped).  Beyond the probe's bound trips
-   are first reduced to one row per location and then shuffle-joined.
+1. trips in the ±window (over raw trips the window predicate runs before the
+   cleaning), joined map-side to the broadcast zone points (the zone table is
+   broadcast only behind a row-count probe; optional borough filter; zones
+   without a point dropped).  Beyond the probe's bound trips are first
+   reduced to one row per location and then shuffle-joined.
 2. ``groupBy(long, lat)``: trips, sum of totals, sum of tips.  Partial
    aggregation runs before the shuffle, so the exchange carries at most
    (tasks × zone points) rows however skewed the locations are.
