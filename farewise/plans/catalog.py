@@ -36,6 +36,7 @@ from farewise.plans.hotspots import (
     hotspots,
     hotspots_from_minute_stats,
     hotspots_json,
+    hotspots_reply,
     nearest_clusters,
     windowed_trips,
     zone_minute_stats,
@@ -381,6 +382,10 @@ def q_hotspots_json(spark, sf):
     return hotspots_json(rounded(_hotspots(spark, sf)))
 
 
+def q_hotspots_reply(spark, sf):
+    return hotspots_reply(rounded(_hotspots(spark, sf)))
+
+
 def q_hotspots_minute_stats(spark, sf):
     """The flagship answered from the landed per-zone, per-minute table."""
     path = scratch_path(spark, "zone-minute-stats")

@@ -326,6 +326,18 @@ def hotspots_json(result: DataFrame) -> DataFrame:
     return result.select("rank", F.to_json(F.struct(*fields)).alias("data"))
 
 
+def hotspots_reply(result: DataFrame) -> DataFrame:
+    """The whole answer as one JSON document, in the shape the original
+    service replies with: ``{"data": [[long, lat, avg revenue, avg tip], ...]}``
+    in rank order (``reply`` column, one row; ``{"data":[]}`` when empty).
+    Only the at most ``top_n`` result rows are gathered into that row."""
+    values = [F.col(c).cast("decimal(20,6)") for c in ("centroid_long", "centroid_lat", "avg_revenue", "avg_tip")]
+    ranked = F.struct(F.col("rank"), F.array(*values).alias("v"))
+    return result.agg(F.sort_array(F.collect_list(ranked)).alias("l")).select(
+        F.to_json(F.struct(F.col("l.v").alias("data"))).alias("reply")
+    )
+
+
 # ---------------------------------------------------------------------------
 # Many requests: land the additive per-zone, per-minute statistics once.
 

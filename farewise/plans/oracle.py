@@ -242,6 +242,11 @@ SELECT rank, round(centroid_long, {D}) AS centroid_long, round(centroid_lat, {D}
     "hotspots_late_wrap": _hotspots("23:45:00", wrap=True),
     "hotspots_minute_stats": _hotspots(),
     "hotspots_trip_level": _hotspots(),
+    "hotspots_reply": BASE + _window() + _clusters() + f"""
+, h AS ({_hotspot_select()})
+SELECT to_json(struct_pack(data := list([centroid_long::DECIMAL(20,6), centroid_lat::DECIMAL(20,6),
+       avg_revenue::DECIMAL(20,6), avg_tip::DECIMAL(20,6)] ORDER BY rank)))::VARCHAR AS reply
+FROM h""",
     "hotspots_json": BASE + _window() + _clusters() + f"""
 , h AS ({_hotspot_select()})
 SELECT rank, to_json(struct_pack(centroid_long := centroid_long::DECIMAL(20,6),

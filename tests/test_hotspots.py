@@ -211,3 +211,17 @@ def test_raw_mode_equals_cleaned_input(spark):
     plan = plan_text(zone_window_stats(raw, zones, "15:00:00", raw=True), "simple")
     cond = plan.split("Filter (")[1].split("\n")[0]
     assert cond.index("870") < cond.index("atleastnnonnulls")
+
+
+def test_reply_document(spark):
+    import json
+
+    from farewise.plans.hotspots import hotspots_reply
+
+    doc = json.loads(cat.q_hotspots_reply(spark, SF_SMALL).first()["reply"])
+    rows = cat.q_hotspots(spark, SF_SMALL).orderBy("rank").collect()
+    assert [[round(v, 6) for v in d] for d in doc["data"]] == [
+        [r["centroid_long"], r["centroid_lat"], r["avg_revenue"], r["avg_tip"]] for r in rows
+    ]
+    empty = hotspots(_trips(spark, [0, 1], h=3), _zones(spark, 2), "15:00", 40.7, -73.9)
+    assert json.loads(hotspots_reply(empty).first()["reply"]) == {"data": []}
