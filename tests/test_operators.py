@@ -133,3 +133,18 @@ def test_normalize_merges_columns_equal_up_to_case(spark):
             assert sorted(tuple(r) for r in out.collect()) == [(1, 2.5), (2, 1.25), (3, 4.0)]
         finally:
             spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def test_read_trip_files_one_scan_per_schema(spark, tmp_dir):
+    from farewise.plans.explain import plan_text
+
+    a = spark.createDataFrame([(1, 1.5)], "id int, airport_fee double")
+    b = spark.createDataFrame([(2, 2)], "ID int, Airport_fee int")
+    paths = []
+    for i, df in enumerate((a, b, a, a)):
+        paths.append(f"{tmp_dir}/s{i}")
+        df.write.parquet(paths[-1])
+    got = read_trip_files(spark, paths)
+    plan = plan_text(got, "simple")
+    assert plan.count("FileScan parquet") == 2  # three alike files in one scan, the odd one in another
+    assert got.count() == 4
