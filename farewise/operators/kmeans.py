@@ -11,6 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Number of clusters and random seed of the original fit (the
+# ±30-minute window, top 3 hotspots and top 10 tables are the keyword
+# defaults of ``time_window``, ``hotspots`` and the explore functions).
 DEFAULT_K = 5
 DEFAULT_SEED = 42
 
