@@ -3,14 +3,26 @@
 The library takes a caller-owned ``SparkSession`` and returns lazy
 ``DataFrame`` objects; it never creates, stops or collects from a session
 except where a value is bounded by a parameter (``k`` cluster centres, a
-size probe capped at a fixed row count).
+10-row profile sample, a size probe capped at a fixed row count).
 """
 
+from farewise.functions.geo import (  # noqa: F401
+    haversine_miles,
+    register_sql_functions,
+    vertex_center,
+    wkt_vertices,
+)
+from farewise.functions.price import expected_price  # noqa: F401
 from farewise.plans.hotspots import (  # noqa: F401
     HOTSPOT_SCHEMA,
+    add_minute_stats,
     cluster_stats,
     hotspots,
+    hotspots_from_minute_stats,
+    hotspots_json,
+    hotspots_reply,
     nearest_clusters,
+    zone_minute_stats,
     zone_window_stats,
 )
 from farewise.sources.trips import (  # noqa: F401
@@ -21,18 +33,30 @@ from farewise.sources.trips import (  # noqa: F401
     read_trip_files,
 )
 from farewise.sources.zones import read_zones_csv, zone_points  # noqa: F401
+from farewise.streaming.ingest import start_trip_ingest  # noqa: F401
 
 __all__ = [
     "HOTSPOT_SCHEMA",
+    "add_minute_stats",
     "clean_trips",
     "cluster_stats",
+    "expected_price",
+    "haversine_miles",
     "hotspots",
+    "hotspots_from_minute_stats",
+    "hotspots_json",
+    "hotspots_reply",
     "load_trip_files",
     "load_trips",
     "nearest_clusters",
     "read_store",
     "read_trip_files",
     "read_zones_csv",
+    "register_sql_functions",
+    "start_trip_ingest",
+    "vertex_center",
+    "wkt_vertices",
+    "zone_minute_stats",
     "zone_points",
     "zone_window_stats",
 ]
