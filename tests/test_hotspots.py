@@ -225,3 +225,15 @@ def test_reply_document(spark):
     ]
     empty = hotspots(_trips(spark, [0, 1], h=3), _zones(spark, 2), "15:00", 40.7, -73.9)
     assert json.loads(hotspots_reply(empty).first()["reply"]) == {"data": []}
+
+
+def test_minute_stats_path_with_borough_and_wrap(spark):
+    from farewise.plans.hotspots import hotspots_from_minute_stats, zone_minute_stats
+
+    trips, zones = cat.trips(spark, SF_CHECK), cat.zones(spark, SF_CHECK)
+    stats = zone_minute_stats(trips)
+    for time, borough, wrap in (("15:00", "asia", False), ("23:45", None, True), ("00:10", "The Europe", False)):
+        direct = cat.rounded(hotspots(trips, zones, time, 40.70, -73.95, borough, wrap_midnight=wrap))
+        landed = cat.rounded(hotspots_from_minute_stats(stats, zones, time, 40.70, -73.95, borough,
+                                                        wrap_midnight=wrap))
+        assert [tuple(r) for r in direct.collect()] == [tuple(r) for r in landed.collect()], (time, borough)
