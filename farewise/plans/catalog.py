@@ -359,7 +359,7 @@ def q_hotspots_borough(spark, sf):
 
 
 def q_hotspots_morning(spark, sf):
-    return rounded(_hotspots(spark, sf, "08:15:00"))
+    return rounded(_hotspots(spark, sf, "08:15"))  # HH:MM, as the request form sends it
 
 
 def q_hotspots_midnight(spark, sf):
