@@ -45,9 +45,12 @@ def start_trip_ingest(
     schema: StructType | None = None,
     available_now: bool = True,
     poll: str = "1 minute",
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the incremental load; returns the running ``StreamingQuery``."""
-    stream = trip_stream(spark, source_dir, schema)
+    """Start the incremental load; returns the running ``StreamingQuery``.
+    ``max_files_per_trigger`` bounds each micro-batch when a large backlog of
+    files has landed (``available_now`` still processes all of it, in batches)."""
+    stream = trip_stream(spark, source_dir, schema, max_files_per_trigger)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -86,10 +86,11 @@ def test_streaming_ingest_continuous_trigger(spark, tmp_dir):
     raw = raw_trips(spark, SF_SMALL)
     src, dst, ck = f"{tmp_dir}/landing", f"{tmp_dir}/curated", f"{tmp_dir}/ckpt"
     raw.write.parquet(f"{src}/m1")
+    raw.write.parquet(f"{src}/m2")
     q = start_trip_ingest(spark, f"{src}/*", dst, ck, schema=raw.schema,
-                          available_now=False, poll="1 second")
+                          available_now=False, poll="1 second", max_files_per_trigger=1)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert read_store(spark, dst).count() == clean_trips(raw).count()
+    assert read_store(spark, dst).count() == 2 * clean_trips(raw).count()
