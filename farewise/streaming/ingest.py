@@ -30,7 +30,10 @@ def trip_stream(
     so months whose column case drifts load into the same columns."""
     if schema is None:
         schema = normalize_columns(spark.read.parquet(source_dir)).schema
-    lower = StructType([f.__class__(f.name.lower(), f.dataType, f.nullable) for f in schema])
+    fields: dict[str, object] = {}
+    for f in schema:  # names equal up to case become one column (first wins)
+        fields.setdefault(f.name.lower(), f.__class__(f.name.lower(), f.dataType, f.nullable))
+    lower = StructType(list(fields.values()))
     reader = spark.readStream.schema(lower)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
