@@ -99,10 +99,12 @@ def windowed_zone_trips(spark, sf, time=DEFAULT_TIME, borough=None, wrap=False):
 
 
 def q_scan_parquet(spark, sf):
+    """Raw trips as scanned from the source table."""
     return raw_trips(spark, sf)
 
 
 def q_normalize_columns(spark, sf):
+    """Trips whose column case drifted, lower-cased back."""
     raw = raw_trips(spark, sf)
     shouted = raw.toDF(*[c.upper() if i % 2 else c.title() for i, c in enumerate(raw.columns)])
     return normalize_columns(shouted)
@@ -137,10 +139,12 @@ def q_union_all_months(spark, sf):
 
 
 def q_union_positional(spark, sf):
+    """The month frames unioned by position: first frame's names, widened types."""
     return positional_union(_month_frames(raw_trips(spark, sf)))
 
 
 def q_scan_curated(spark, sf):
+    """Trips loaded into the curated store and read back."""
     target = load_trips(raw_trips(spark, sf), scratch_path(spark, "curated"))
     return read_store(spark, target)
 
@@ -155,10 +159,12 @@ def q_load_roundtrip(spark, sf):
 
 
 def q_schema_profile(spark, sf):
+    """(column, type) seen on a 10-row sample of the raw trips."""
     return schema_profile(raw_trips(spark, sf), 10)
 
 
 def q_preview_limit(spark, sf):
+    """First 5 raw trips by id."""
     return preview(raw_trips(spark, sf), 5, ["trip_id"])
 
 
@@ -173,18 +179,22 @@ def q_zones_csv(spark, sf):
 
 
 def q_drop_incomplete(spark, sf):
+    """Raw trips without any null/NaN column (F1)."""
     return drop_incomplete(raw_trips(spark, sf))
 
 
 def q_typed_trips(spark, sf):
+    """Cleaned trips: typed counts and distances, time parts."""
     return trips(spark, sf)
 
 
 def q_pickup_dropoff_hour(spark, sf):
+    """Pickup and drop-off hour per trip."""
     return trips(spark, sf).select("trip_id", "pickup_hour", "dropoff_hour")
 
 
 def q_zones_project(spark, sf):
+    """Zone table projected and renamed, for zones with pickups."""
     z = raw_zones(spark, sf).selectExpr(
         "try_cast(locationid AS bigint) AS locationid_pu", "zone AS zone_pu",
         "the_geom AS geometry", "borough AS borough_pu",
@@ -194,6 +204,7 @@ def q_zones_project(spark, sf):
 
 
 def q_zone_vertices(spark, sf):
+    """Every WKT vertex of the zones with pickups."""
     v = active_zones(spark, sf, zone_vertices(raw_zones(spark, sf)))
     return v.select(
         "locationid", F.posexplode("vertices").alias("vertex_no", "xy")
@@ -201,26 +212,32 @@ def q_zone_vertices(spark, sf):
 
 
 def q_zone_centroids(spark, sf):
+    """Vertex-mean point of the zones with pickups."""
     return rounded(active_zones(spark, sf, zones(spark, sf)))
 
 
 def q_time_window_trips(spark, sf):
+    """The 12-column projection of trips within ±30 min of 15:00."""
     return rounded(windowed_zone_trips(spark, sf).select(*WINDOW_COLUMNS))
 
 
 def q_time_window_midnight(spark, sf):
+    """Window around 00:10 without wrapping midnight."""
     return rounded(windowed_zone_trips(spark, sf, "00:10:00").select(*WINDOW_COLUMNS))
 
 
 def q_time_window_wrap(spark, sf):
+    """Window around 23:45 wrapping midnight."""
     return rounded(windowed_zone_trips(spark, sf, "23:45:00", wrap=True).select(*WINDOW_COLUMNS))
 
 
 def q_borough_filter(spark, sf):
+    """Window trips in one borough, case-insensitive."""
     return rounded(windowed_zone_trips(spark, sf, borough=BOROUGH).select(*WINDOW_COLUMNS))
 
 
 def q_trips_left_join_zones(spark, sf):
+    """Every cleaned trip with its zone, null when it has none."""
     return rounded(
         attach_zones(trips(spark, sf), zones(spark, sf)).select(
             "trip_id", "pulocationid", "zone", "borough", "long", "lat"
@@ -229,12 +246,14 @@ def q_trips_left_join_zones(spark, sf):
 
 
 def q_trips_with_point(spark, sf):
+    """Window trips whose zone has a point."""
     return rounded(
         with_point(windowed_zone_trips(spark, sf)).select("trip_id", "pulocationid", "long", "lat")
     )
 
 
 def q_haversine_miles(spark, sf):
+    """Distance from each trip's zone point to the user."""
     t = with_point(attach_zones(trips(spark, sf), zones(spark, sf)))
     return rounded(
         t.select(
@@ -245,6 +264,7 @@ def q_haversine_miles(spark, sf):
 
 
 def q_sql_function_surface(spark, sf):
+    """The same distance through the registered SQL functions."""
     register_sql_functions(spark)
     df = spark.sql(
         """
@@ -265,6 +285,7 @@ def q_sql_function_surface(spark, sf):
 
 
 def q_expected_price(spark, sf):
+    """Expected price of every cluster."""
     c = cluster_stats(_stats(spark, sf))
     return rounded(
         c.select("centroid_long", "centroid_lat",
@@ -276,22 +297,27 @@ def q_expected_price(spark, sf):
 
 
 def q_trips_per_hour(spark, sf):
+    """Trips per pickup hour (A1)."""
     return trips_per_hour(trips(spark, sf))
 
 
 def q_trips_per_location(spark, sf):
+    """Trips per pickup location (A2)."""
     return trips_per_location(trips(spark, sf))
 
 
 def q_best_pickup_locations(spark, sf):
+    """Top 10 pickup locations by trips."""
     return best_pickup_locations(trips(spark, sf), 10)
 
 
 def q_top_pickup_zones(spark, sf):
+    """Top 10 zones by trips, the null zone included."""
     return top_pickup_zones(trips(spark, sf), zones(spark, sf), 10)
 
 
 def q_zone_minute_stats(spark, sf):
+    """Trips, revenue and tips per location and minute of day (§4.3)."""
     return rounded(zone_minute_stats(trips(spark, sf)))
 
 
@@ -304,12 +330,14 @@ def _stats(spark, sf, time=DEFAULT_TIME, borough=None):
 
 
 def q_assemble_features(spark, sf):
+    """Feature vectors of the window trips, as two columns (M1)."""
     pts = assemble_features(windowed_zone_trips(spark, sf))
     arr = vector_to_array("features")
     return rounded(pts.select("trip_id", arr[0].alias("x"), arr[1].alias("y")))
 
 
 def q_kmeans_clusters(spark, sf):
+    """Fitted k-means centres with their trips (M2)."""
     assigned, model = fit_and_assign(_stats(spark, sf))
     if model is None:  # no trip in the window
         return spark.createDataFrame([], "center_long double, center_lat double, trips bigint")
@@ -331,14 +359,17 @@ def q_assign_nearest_center(spark, sf):
 
 
 def q_cluster_avg(spark, sf):
+    """Per-cluster member-mean centre, average revenue and tip."""
     return rounded(cluster_stats(_stats(spark, sf)))
 
 
 def q_join_cluster_stats(spark, sf):
+    """The same statistics as three aggregates joined on the cluster."""
     return rounded(cluster_stats(_stats(spark, sf), joined=True))
 
 
 def q_nearest_clusters(spark, sf):
+    """The 3 clusters nearest to the user."""
     near = nearest_clusters(cluster_stats(_stats(spark, sf)), USER_LAT, USER_LONG, 3)
     return rounded(near.select("rank", "centroid_long", "centroid_lat", "distance_mi"))
 
@@ -351,22 +382,27 @@ def _hotspots(spark, sf, time=DEFAULT_TIME, borough=None, wrap=False):
 
 
 def q_hotspots(spark, sf):
+    """Flagship: the 3 hotspots nearest to the user at 15:00 (M4)."""
     return rounded(_hotspots(spark, sf))
 
 
 def q_hotspots_borough(spark, sf):
+    """Flagship restricted to one borough."""
     return rounded(_hotspots(spark, sf, borough=BOROUGH))
 
 
 def q_hotspots_morning(spark, sf):
+    """Flagship at 08:15."""
     return rounded(_hotspots(spark, sf, "08:15"))  # HH:MM, as the request form sends it
 
 
 def q_hotspots_midnight(spark, sf):
+    """Flagship at 00:10 (no midnight wrap)."""
     return rounded(_hotspots(spark, sf, "00:10:00"))
 
 
 def q_hotspots_late_wrap(spark, sf):
+    """Flagship at 23:45 with the window wrapping midnight."""
     return rounded(_hotspots(spark, sf, "23:45:00", wrap=True))
 
 
@@ -379,10 +415,12 @@ def q_hotspots_trip_level(spark, sf):
 
 
 def q_hotspots_json(spark, sf):
+    """Flagship rows as JSON records."""
     return hotspots_json(rounded(_hotspots(spark, sf)))
 
 
 def q_hotspots_reply(spark, sf):
+    """Flagship as one JSON reply document."""
     return hotspots_reply(rounded(_hotspots(spark, sf)))
 
 
