@@ -95,6 +95,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (all columns, also clashing ones) whose place ``_row`` is in ``kept``."""
-    return docs.join(kept, "_row", "left_semi")
+def text_of(docs: DataFrame, text_col: str) -> Column:
+    """The text column under the positional names (c0, c1, ...) that ``staying`` uses."""
+    return F.col(f"c{position(docs.columns, text_col)}")
+
+
+def staying(docs: DataFrame, kept: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, key) in ``kept``, with all its columns.
+    ``key``: an expression over positional names; it tells rows with one id apart."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def keyed(df, id_):
+        return df.withColumns({"_i": F.coalesce(id_.cast("long"), F.lit(0)), "_n": id_.isNull()})
+
+    rows = keyed(plain.withColumn("_k", key), F.col(f"c{position(names, id_col)}"))
+    marks = keyed(kept.withColumnRenamed("key", "_k"), F.col("doc_id")).select("_i", "_n", "_k").distinct()
+    on = ["_i", "_n", "_k"]
+    # the keys of the join are those of the second step: no further shuffle
+    return rows.join(marks, on, "left_semi").dropDuplicates(on).select(*plain.columns).toDF(*names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import attach, land, parts, pick, position
+from farewise.llm.common import attach, land, parts, pick, staying, text_of
 
 RADIX = 8
 WHITE = r"[\x20\x09-\x0D]+"
@@ -99,20 +99,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept")
-    return keep_rows(docs, kept, id_col, text_col)
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ``docs`` whose (id, normalised text) is among ``kept``; one row for each."""
-    names = docs.columns
-    i, t = position(names, id_col), position(names, text_col)
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    sha = F.sha2(normalised(F.col(f"c{t}")), 256)
-    marks = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    stay = plain.withColumn("_s", sha).join(
-        marks, F.col(f"c{i}").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi"
-    )
-    # rows repeated with one id and text: any one of them
-    stay = stay.dropDuplicates([f"c{i}", "_s"]).drop("_s")
-    return stay.toDF(*names)
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select("doc_id", F.col("text_sha256").alias("key"))
+    return staying(docs, kept, id_col, F.sha2(normalised(text_of(docs, text_col)), 256))

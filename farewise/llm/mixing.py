@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import attach, in_order, land, pick
+from farewise.llm.common import attach, in_order, land, pick, position
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -72,8 +72,6 @@ def mix(
     whole = [F.struct(*[F.col(f"c{i}") for i in range(len(names))]).alias("row")] if keep else []
     base = docs.toDF(*[f"c{i}" for i in range(len(names))]) if keep else pick(docs, id=id_col, text=text_col, source=source_col)
     if keep:
-        from farewise.llm.common import position
-
         base = base.select(
             F.col(f"c{position(names, id_col)}").alias("id"), F.col(f"c{position(names, text_col)}").alias("text"),
             F.col(f"c{position(names, source_col)}").alias("source"), *whole,

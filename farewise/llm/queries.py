@@ -17,6 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def q_op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    from farewise.llm.html import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def q_op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     from farewise.llm.simhash import near_duplicates
@@ -45,6 +52,13 @@ def q_op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def q_op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by co-trained content and metadata views."""
+    from farewise.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def q_op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, equal texts together."""
     from farewise.llm.sharding import shard
@@ -53,10 +67,12 @@ def q_op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": q_op1_html,
     "op4_simhash": q_op4_simhash,
     "op5_packing": q_op5_packing,
     "op6_mixing": q_op6_mixing,
     "op8_exact_dedup": q_op8_exact_dedup,
+    "op9_quality": q_op9_quality,
     "op10_sharding": q_op10_sharding,
 }
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import attach, land, pick, position
+from farewise.llm.common import attach, land, pick, staying, text_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -65,15 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the 64 bits as a signed long) of every row."""
+    """id, hash (of the text), fp (the 64 bits as a signed long) of every row."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fps.view(np.int64))], names=["id", "hash", "fp"])
 
-    slim = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return slim.mapInArrow(per_batch, "id long, fp long")
+    slim = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    return slim.mapInArrow(per_batch, "id long, hash long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -229,7 +229,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id; also
+    root (the component's smallest fingerprint) and text_hash."""
     rows = land(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = land(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "nodes")
     stars = components(links(nodes.select("fp"), max_bits, block))
@@ -239,16 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = land(named, "named")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     of_fp = attach(named.select("fp", "copies", "root"), of_root, ["root"], "members", nodes.count())
-    out = attach(rows, land(of_fp.select("fp", "copies", "component_id"), "components"), ["fp"], "copies", rows.count())
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = land(of_fp.select("fp", "copies", "root", "component_id"), "components")
+    out = attach(rows, of_fp, ["fp"], "copies", rows.count())
+    return out.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        "root", F.col("hash").alias("text_hash"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns; one row of repeated ids."""
+    """One row of ``docs`` for each component, the one that names it, with all its columns.
+    (Of several rows with that id, the one whose text hash is smallest.)"""
     found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    names = docs.columns
-    i = f"c{position(names, id_col)}"
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    kept = plain.join(stay, plain[i].eqNullSafe(stay["_id"]), "left_semi")
-    return kept.dropDuplicates([i]).toDF(*names)
+    names_it = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = names_it.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("key"))
+    return staying(docs, kept.select("doc_id", "key"), id_col, F.xxhash64(text_of(docs, text_col)))
