@@ -24,6 +24,13 @@ def q_op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def q_op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and base scores of all documents."""
+    from farewise.llm.lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def q_op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     from farewise.llm.simhash import near_duplicates
@@ -68,6 +75,7 @@ def q_op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": q_op1_html,
+    "op3_lm": q_op3_lm,
     "op4_simhash": q_op4_simhash,
     "op5_packing": q_op5_packing,
     "op6_mixing": q_op6_mixing,
