@@ -282,7 +282,7 @@ def _sides(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _ask(depth: int, buckets: int):
-    def ask(key, table: pa.Table) -> pa.Table:
+    def ask(key, table):
         block = key[0].as_py()
         held = table.column("held_out").to_pylist()
         words = [words_of(t) for t in table.column("text").to_pylist()]
@@ -319,7 +319,7 @@ def _bucket_counts(table: pa.Table) -> tuple[dict[bytes, int], list[list[bytes]]
 
 
 def _tops(depth: int):
-    def tops(key, table: pa.Table) -> pa.Table:
+    def tops(key, table):
         if key[0].as_py() == WORD:
             total, _ = _bucket_counts(table)
             rows = [[-1], [0.0], [0.0], [0.0], [sum(n > 0 for n in total.values())], [sum(total.values())]]
@@ -334,7 +334,7 @@ def _tops(depth: int):
 
 
 def _answer(depth: int, upper):
-    def answer(key, table: pa.Table) -> pa.Table:
+    def answer(key, table):
         if key[0].as_py() == WORD:
             total, lists = _bucket_counts(table)
             out = [_planes(np.fromiter(map(total.__getitem__, ws), dtype=np.int64, count=len(ws))) for ws in lists]
@@ -348,7 +348,7 @@ def _answer(depth: int, upper):
 
 
 def _score(depth: int, buckets: int):
-    def score(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(key, docs, answers):
         held = docs.column("held_out").to_pylist()
         words = [words_of(t) for t in docs.column("text").to_pylist()]
         got = {(r["kind"], r["bucket"]): r["answer"] for r in answers.select(["kind", "bucket", "answer"]).to_pylist()}
