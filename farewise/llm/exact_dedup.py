@@ -30,6 +30,7 @@ from farewise.llm.common import attach, land, parts, pick, staying, text_of
 RADIX = 8
 WHITE = r"[\x20\x09-\x0D]+"
 RUN = "part long, sha string, chk long, id long, n long"
+ENTRY = pa.schema([("part", pa.int64()), ("sha", pa.string()), ("chk", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
 
 def normalised(text):
@@ -41,11 +42,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of one partition, sorted by (part, sha, chk): adjacent equal keys become one."""
     keys, carry = ["part", "sha", "chk"], None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_arrays(batch.columns, schema=ENTRY)
         if carry is not None:
             table = pa.concat_tables([carry, table])
         out = table.group_by(keys, use_threads=False).aggregate([("id", "min"), ("n", "sum")])
-        out = out.select([*keys, "id_min", "n_sum"]).rename_columns([*keys, "id", "n"])
+        out = pa.Table.from_arrays(out.select([*keys, "id_min", "n_sum"]).columns, schema=ENTRY)
         if out.num_rows > 1:
             yield from out.slice(0, out.num_rows - 1).to_batches()
         carry = out.slice(max(0, out.num_rows - 1))
