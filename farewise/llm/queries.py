@@ -52,6 +52,13 @@ def q_op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def q_op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named or quoted in all documents."""
+    from farewise.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def q_op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts (white space aside) of all documents."""
     from farewise.llm.exact_dedup import exact_duplicates
@@ -79,6 +86,7 @@ QUERIES = {
     "op4_simhash": q_op4_simhash,
     "op5_packing": q_op5_packing,
     "op6_mixing": q_op6_mixing,
+    "op7_licenses": q_op7_licenses,
     "op8_exact_dedup": q_op8_exact_dedup,
     "op9_quality": q_op9_quality,
     "op10_sharding": q_op10_sharding,
