@@ -24,6 +24,14 @@ def q_op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def q_op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for every document whose id is divisible by 20."""
+    from farewise.llm.search import every_nth, top_k
+
+    docs = _table(spark, sf_dir, "documents")
+    return top_k(docs, every_nth(docs))
+
+
 def q_op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context-tree and base scores of all documents."""
     from farewise.llm.lm import score_documents
@@ -82,6 +90,7 @@ def q_op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": q_op1_html,
+    "op2_search": q_op2_search,
     "op3_lm": q_op3_lm,
     "op4_simhash": q_op4_simhash,
     "op5_packing": q_op5_packing,
