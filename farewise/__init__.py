@@ -1,9 +1,11 @@
 """farewise: pickup-hotspot analytics on Spark DataFrames.
 
-The library takes a caller-owned ``SparkSession`` and returns lazy
-``DataFrame`` objects; it never creates, stops or collects from a session
-except where a value is bounded by a parameter (``k`` cluster centres, a
-10-row profile sample, a size probe capped at a fixed row count).
+The library takes a caller-owned ``SparkSession`` and returns ``DataFrame``
+objects; it never creates or stops a session.  Joins, windows and counts are
+lazy.  What fits k-means (``hotspots`` and the cluster statistics) runs its one
+pass over trips when called, and lands the zone points it fits on; loads write
+when called.  Only values bounded by a parameter reach the driver (``k`` cluster
+centres, a 10-row profile sample, the files of one micro-batch).
 """
 
 from farewise.functions.geo import (  # noqa: F401

@@ -27,6 +27,18 @@ def parse_time_of_day(value: str) -> int:
     return hours * 60 + minutes
 
 
+def wall_clock(ts: Column | str, zone: str = "UTC") -> Column:
+    """An instant (``TIMESTAMP``) as the local time (``TIMESTAMP_NTZ``) in
+    ``zone``.  Counts microseconds from the epoch, so the session time zone
+    plays no part."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    seconds = (F.unix_micros(c).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    zero = F.lit(0)
+    utc = epoch + F.make_dt_interval(zero, zero, zero, seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
 def minute_of_day(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.hour(c) * 60 + F.minute(c)

@@ -1,12 +1,32 @@
 """Cleaning of raw trips: drop incomplete rows, type the two numeric columns,
-derive the time parts every later query filters or groups on."""
+derive the time parts every later query filters or groups on.
+
+Times are local times without a zone (``TIMESTAMP_NTZ``).  A source that delivers
+instants (``TIMESTAMP``) is converted under a named zone, never under the
+session's, so hours and windows do not depend on who asks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.functions.timeofday import minute_of_day
+from pyspark.sql import types as T
+
+from farewise.functions.timeofday import minute_of_day, wall_clock
+
+TIME_COLUMNS = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
+SOURCE_ZONE = "UTC"
+
+
+def to_wall_clock(df: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
+    """Trip times that are instants become local times in ``zone``."""
+    instants = [f.name for f in df.schema if f.name in TIME_COLUMNS and isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: wall_clock(c, zone) for c in instants}) if instants else df
+
+
+def is_clean(df: DataFrame) -> bool:
+    """Whether ``df`` went through ``clean_trips`` (it then has ``pickup_minute``)."""
+    return "pickup_minute" in df.columns
 
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -39,6 +59,7 @@ def add_time_parts(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_trips(df: DataFrame) -> DataFrame:
-    """Raw (lower-case) trips → cleaned trips with time parts."""
-    return add_time_parts(cast_trip_types(drop_incomplete(df)))
+def clean_trips(df: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
+    """Raw (lower-case) trips → cleaned trips with time parts; ``zone``: that of
+    times delivered as instants."""
+    return add_time_parts(cast_trip_types(drop_incomplete(to_wall_clock(df, zone))))

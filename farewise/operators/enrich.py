@@ -5,36 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.operators.joins import (
-    DEFAULT_MAX_BROADCAST_ROWS,
-    DEFAULT_SALT_BUCKETS,
-    materialize_dimension,
-    salted_join,
-)
-from farewise.session import has_at_most
+from farewise.operators.joins import join_dimension
 
 ZONE_COLUMNS = ("locationid", "zone", "borough", "long", "lat")
 
 
 def attach_zones(
-    trips: DataFrame,
-    zone_pts: DataFrame,
-    how: str = "left",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    salt_buckets: int = DEFAULT_SALT_BUCKETS,
+    trips: DataFrame, zone_pts: DataFrame, how: str = "left", salt_buckets: int | None = None
 ) -> DataFrame:
-    """Left join on ``pulocationid = locationid``: trips without a zone keep
-    null zone columns.
-
-    The landed zone table is broadcast when the probe bounds it (the usual
-    case: a city has a few hundred zones).  Beyond the bound the join is a
-    salted shuffle join, so a pickup location holding a large share of the
-    trips is split over ``salt_buckets`` reducers."""
-    dim = materialize_dimension(zone_pts.select(*ZONE_COLUMNS))
-    if has_at_most(dim, max_broadcast_rows):
-        joined = trips.join(F.broadcast(dim), trips["pulocationid"] == dim["locationid"], how)
-        return joined.drop(dim["locationid"])
-    return salted_join(trips, dim, "pulocationid", "locationid", how, salt_buckets).drop("locationid")
+    """Join on ``pulocationid = locationid``; ``left`` (default) keeps trips
+    without a zone with null zone columns, ``inner`` drops them.  Lazy: no job
+    runs here.  ``salt_buckets``: see ``join_dimension``."""
+    dim = zone_pts.select(*ZONE_COLUMNS)
+    return join_dimension(trips, dim, "pulocationid", "locationid", how, salt_buckets)
 
 
 def _normalise_borough(c: Column) -> Column:

@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.operators.joins import (
-    DEFAULT_MAX_BROADCAST_ROWS,
-    join_dimension,
-    materialize_dimension,
-)
+from farewise.operators.joins import join_dimension
 
 
 def trips_per_hour(trips: DataFrame) -> DataFrame:
@@ -35,15 +31,11 @@ def best_pickup_locations(trips: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def pickups_per_zone(
-    trips: DataFrame, zone_pts: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
-) -> DataFrame:
+def pickups_per_zone(trips: DataFrame, zone_pts: DataFrame) -> DataFrame:
     """Trips per zone name, including the null group of trips without a zone."""
     per_loc = trips.groupBy("pulocationid").agg(F.count(F.lit(1)).alias("n"))
-    dim = materialize_dimension(zone_pts.select("locationid", "zone"))
-    joined = join_dimension(
-        per_loc, dim, per_loc["pulocationid"] == dim["locationid"], "left", max_broadcast_rows
-    )
+    dim = zone_pts.select("locationid", "zone")
+    joined = join_dimension(per_loc, dim, "pulocationid", "locationid", "left")
     return joined.groupBy("zone").agg(F.sum("n").alias("count"))
 
 

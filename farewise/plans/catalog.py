@@ -1,10 +1,7 @@
 """Named query plans over the fixture tables: ``name -> f(spark, sf_dir)``.
 
 Trips come from ``events`` and zones from ``nation JOIN region`` (see
-``farewise.fixtures``), so every plan's work grows with the trip table.  Plans
-that are about zones alone look at the zones that trips use (a semi join
-against the distinct pickup locations), which is also what a caller of the
-library asks for.  Computed doubles are rounded to 6 decimals so results
+``farewise.fixtures``).  Computed doubles are rounded to 6 decimals so results
 compare across engines."""
 
 from __future__ import annotations
@@ -28,7 +25,6 @@ from farewise.operators.explore import (
     trips_per_hour,
     trips_per_location,
 )
-from farewise.operators.joins import join_dimension
 from farewise.operators.window import time_window
 from farewise.plans.hotspots import (
     cluster_stats,
@@ -83,15 +79,9 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     return zone_points(raw_zones(spark, sf))
 
 
-def active_zones(spark: SparkSession, sf: str, zone_df: DataFrame) -> DataFrame:
-    """Zones that at least one cleaned trip picks up in."""
-    used = trips(spark, sf).select("pulocationid").distinct()
-    return zone_df.join(used, zone_df["locationid"] == used["pulocationid"], "left_semi")
-
-
 def windowed_zone_trips(spark, sf, time=DEFAULT_TIME, borough=None, wrap=False):
     # window first, then cleaning (same rows; the completeness check runs on few rows)
-    w = windowed_trips(raw_trips(spark, sf), time, wrap_midnight=wrap, raw=True)
+    w = windowed_trips(raw_trips(spark, sf), time, wrap_midnight=wrap)
     return filter_borough(attach_zones(w, zones(spark, sf)), borough)
 
 
@@ -172,7 +162,7 @@ def q_zones_csv(spark, sf):
     """Zones written as a headered CSV and read back as strings."""
     path = scratch_path(spark, "zones-csv")
     raw_zones(spark, sf).write.option("header", True).csv(path)
-    return rounded(active_zones(spark, sf, zone_points(read_zones_csv(spark, path))))
+    return rounded(zone_points(read_zones_csv(spark, path)))
 
 
 # --- projections, filters, scalar functions ----------------------------------
@@ -194,26 +184,24 @@ def q_pickup_dropoff_hour(spark, sf):
 
 
 def q_zones_project(spark, sf):
-    """Zone table projected and renamed, for zones with pickups."""
-    z = raw_zones(spark, sf).selectExpr(
+    """Zone table projected and renamed."""
+    return raw_zones(spark, sf).selectExpr(
         "try_cast(locationid AS bigint) AS locationid_pu", "zone AS zone_pu",
         "the_geom AS geometry", "borough AS borough_pu",
     )
-    used = trips(spark, sf).select("pulocationid").distinct()
-    return z.join(used, z["locationid_pu"] == used["pulocationid"], "left_semi")
 
 
 def q_zone_vertices(spark, sf):
-    """Every WKT vertex of the zones with pickups."""
-    v = active_zones(spark, sf, zone_vertices(raw_zones(spark, sf)))
+    """Every WKT vertex of every zone."""
+    v = zone_vertices(raw_zones(spark, sf))
     return v.select(
         "locationid", F.posexplode("vertices").alias("vertex_no", "xy")
     ).select("locationid", "vertex_no", F.get("xy", 0).alias("x"), F.get("xy", 1).alias("y"))
 
 
 def q_zone_centroids(spark, sf):
-    """Vertex-mean point of the zones with pickups."""
-    return rounded(active_zones(spark, sf, zones(spark, sf)))
+    """Vertex-mean point of every zone."""
+    return rounded(zones(spark, sf))
 
 
 def q_time_window_trips(spark, sf):
@@ -296,6 +284,17 @@ def q_expected_price(spark, sf):
 # --- aggregates and top-k ----------------------------------------------------
 
 
+def q_hotspots_instants(spark, sf):
+    """Flagship over trips whose times are instants, local time of Kolkata."""
+    raw = raw_trips(spark, sf)
+    # the same instants whatever the session zone: local UTC times, counted from the epoch
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = lambda c: F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c)))
+    times = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
+    instants = raw.withColumns({c: instant(c) for c in times})
+    return rounded(hotspots(instants, zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG, zone="Asia/Kolkata"))
+
+
 def q_trips_per_hour(spark, sf):
     """Trips per pickup hour (A1)."""
     return trips_per_hour(trips(spark, sf))
@@ -326,7 +325,7 @@ def q_zone_minute_stats(spark, sf):
 
 def _stats(spark, sf, time=DEFAULT_TIME, borough=None):
     # raw trips: the window is applied before the cleaning (same rows, less work)
-    return zone_window_stats(raw_trips(spark, sf), zones(spark, sf), time, borough, raw=True)
+    return zone_window_stats(raw_trips(spark, sf), zones(spark, sf), time, borough)
 
 
 def q_assemble_features(spark, sf):
@@ -354,7 +353,7 @@ def q_assign_nearest_center(spark, sf):
     centres = model_centres(model, spark)
     pts = assemble_features(windowed_zone_trips(spark, sf))
     labelled = model.copy().setPredictionCol("cluster").transform(pts)
-    out = join_dimension(labelled, centres, "cluster", "inner")
+    out = labelled.join(F.broadcast(centres), "cluster")  # at most k rows
     return rounded(out.select("trip_id", "center_long", "center_lat"))
 
 
@@ -377,7 +376,7 @@ def q_nearest_clusters(spark, sf):
 def _hotspots(spark, sf, time=DEFAULT_TIME, borough=None, wrap=False):
     return hotspots(
         raw_trips(spark, sf), zones(spark, sf), time, USER_LAT, USER_LONG, borough,
-        wrap_midnight=wrap, raw=True,
+        wrap_midnight=wrap,
     )
 
 
@@ -410,7 +409,7 @@ def q_hotspots_trip_level(spark, sf):
     """The flagship with k-means fitted on every trip of the window."""
     return rounded(
         hotspots(raw_trips(spark, sf), zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG,
-                 fit_on="trips", raw=True)
+                 fit_on="trips")
     )
 
 

@@ -1,19 +1,17 @@
 """Flagship query: the pickup hotspots nearest to a position at a time of day.
 
-Plan (the only distributed work is one scan and one aggregate):
+Plan (the only distributed work is one scan and two small shuffles):
 
 1. trips in the ±window (over raw trips the window predicate runs before the
-   cleaning), joined map-side to the broadcast zone points (the zone table is
-   broadcast only behind a row-count probe; optional borough filter; zones
-   without a point dropped).  Beyond the probe's bound trips are first
-   reduced to one row per location and then shuffle-joined.
-2. ``groupBy(long, lat)``: trips, sum of totals, sum of tips.  Partial
-   aggregation runs before the shuffle, so the exchange carries at most
-   (tasks × zone points) rows however skewed the locations are.
-3. the weighted zone points are checkpointed to reliable
-   storage (the only pass over trips), then laid out on one sorted
-   partition: k-means iterates over at most #zones rows, deterministically,
-   and never re-reads trips.
+   cleaning), reduced to one row per pickup location.  Partial aggregation runs
+   before the shuffle, so the exchange carries at most (tasks × locations) rows
+   however skewed the locations are.
+2. those rows joined to the zone points (optional borough filter; zones without
+   a point dropped) and summed per point; Spark picks the join by byte size.
+3. the weighted zone points are checkpointed to reliable storage (the only pass
+   over trips) and laid out by a hash of the point on ``FIT_PARTITIONS`` sorted
+   partitions, the same at every size and for every upstream layout: k-means
+   iterates over at most #zones rows, deterministically, and never re-reads trips.
 4. weighted k-means (weight = trips at the point) has the same objective as
    k-means over the trips themselves.
 5. per-cluster member means, haversine distance to the user, top ``top_n``.
@@ -38,16 +36,11 @@ from farewise.operators.kmeans import (
     joined_cluster_stats,
 )
 from farewise.operators.enrich import filter_borough, with_point
-from farewise.operators.joins import (
-    DEFAULT_MAX_BROADCAST_ROWS,
-    join_dimension,
-    materialize_dimension,
-    salted_join,
-)
-from farewise.operators.clean import clean_trips
+from farewise.operators.joins import join_dimension
+from farewise.operators.clean import SOURCE_ZONE, clean_trips, is_clean, to_wall_clock
 from farewise.operators.window import time_window
 from farewise.sources.trips import normalize_columns
-from farewise.session import cut_lineage, has_at_most
+from farewise.session import cut_lineage
 
 HOTSPOT_SCHEMA = T.StructType(
     [
@@ -64,22 +57,23 @@ HOTSPOT_SCHEMA = T.StructType(
 
 CLUSTER_COLUMNS = ("centroid_long", "centroid_lat", "avg_revenue", "avg_tip", "trips")
 
-# Zone-point tables up to this size (a few MB) are fitted on one sorted
-# partition, which makes the result deterministic; larger ones keep their
-# partitioning and the fit stays distributed.
-SINGLE_PARTITION_FIT_ROWS = 100_000
+# Partitions the zone points are fitted on.  Part of the answer's definition: the
+# order in which k-means sees points is that of this layout.
+FIT_PARTITIONS = 4
 
 
 def windowed_trips(
     trips: DataFrame, time: str, window_minutes: int = 30, wrap_midnight: bool = False,
-    raw: bool = False,
+    raw: bool | None = None, zone: str = SOURCE_ZONE,
 ) -> DataFrame:
-    """Trips in the time-of-day window.  With ``raw`` the input is uncleaned
-    trips: the cheap, selective window predicate is applied first and the
-    cleaning (all-column null/NaN check, casts) only to the rows inside the
-    window.  The filters commute, so the rows are the same either way."""
-    if raw:
-        return clean_trips(time_window(normalize_columns(trips), time, window_minutes, wrap_midnight))
+    """Cleaned trips in the time-of-day window.  Uncleaned trips (recognised by
+    the missing ``pickup_minute``; ``raw`` overrides) are cleaned here: the cheap,
+    selective window predicate is applied first and the cleaning (all-column
+    null/NaN check, casts) only to the rows inside the window.  The filters
+    commute, so the rows are the same either way."""
+    if raw if raw is not None else not is_clean(trips):
+        local = to_wall_clock(normalize_columns(trips), zone)
+        return clean_trips(time_window(local, time, window_minutes, wrap_midnight))
     return time_window(trips, time, window_minutes, wrap_midnight)
 
 
@@ -90,52 +84,29 @@ def zone_window_stats(
     borough: str | None = None,
     window_minutes: int = 30,
     wrap_midnight: bool = False,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    raw: bool = False,
+    raw: bool | None = None,
+    zone: str = SOURCE_ZONE,
 ) -> DataFrame:
     """Weighted zone points of the trips in the window:
     ``long, lat, n, sum_total, sum_tip``.  ``raw``: see ``windowed_trips``."""
-    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw)
-    pts = _points(zone_pts, borough)
-    if has_at_most(pts, max_broadcast_rows):
-        # Map-side: every task looks trips up in the broadcast zone table and
-        # pre-aggregates per point; one shuffle of at most tasks x points rows.
-        joined = windowed.join(F.broadcast(pts), windowed["pulocationid"] == pts["locationid"])
-        return joined.groupBy("long", "lat").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("total_amount").alias("sum_total"),
-            F.sum("tip_amount").alias("sum_tip"),
-        )
-    # A zone table too large to broadcast: shrink trips to one row per location
-    # first, so the shuffle join moves locations, not trips.
+    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw, zone)
     per_loc = windowed.groupBy("pulocationid").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("total_amount").alias("sum_total"),
         F.sum("tip_amount").alias("sum_tip"),
     )
-    return _sum_per_point(per_loc, pts, max_broadcast_rows)
+    return weighted_points(per_loc, zone_pts, borough)
 
 
 def _points(zone_pts: DataFrame, borough: str | None) -> DataFrame:
-    return materialize_dimension(
-        with_point(filter_borough(zone_pts.select("locationid", "borough", "long", "lat"), borough))
-    )
+    return with_point(filter_borough(zone_pts.select("locationid", "borough", "long", "lat"), borough))
 
 
 def weighted_points(
-    per_loc: DataFrame,
-    zone_pts: DataFrame,
-    borough: str | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    per_loc: DataFrame, zone_pts: DataFrame, borough: str | None = None
 ) -> DataFrame:
     """Per-location sums joined to zone points and summed per point."""
-    return _sum_per_point(per_loc, _points(zone_pts, borough), max_broadcast_rows)
-
-
-def _sum_per_point(per_loc: DataFrame, pts: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    joined = join_dimension(
-        per_loc, pts, per_loc["pulocationid"] == pts["locationid"], "inner", max_broadcast_rows
-    )
+    joined = join_dimension(per_loc, _points(zone_pts, borough), "pulocationid", "locationid", "inner")
     return joined.groupBy("long", "lat").agg(
         F.sum("n").alias("n"),
         F.sum("sum_total").alias("sum_total"),
@@ -143,26 +114,23 @@ def _sum_per_point(per_loc: DataFrame, pts: DataFrame, max_broadcast_rows: int)
     )
 
 
-def prepare_points(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Zone points ready for fitting, and their number.
+def prepare_points(stats: DataFrame, fit_partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Zone points ready for fitting.
 
     The aggregate is materialised once to the checkpoint folder (the only pass
-    over trips); a bounded result is then laid out on one partition sorted by
-    point, so the fit is deterministic whatever the upstream partitioning."""
-    stats = cut_lineage(stats)
-    n_points = stats.count()  # reads the small materialised table
-    if n_points <= SINGLE_PARTITION_FIT_ROWS:
-        stats = stats.repartition(1).sortWithinPartitions("long", "lat")
-    return assemble_features(stats.withColumn("w", F.col("n").cast("double"))), n_points
+    over trips), then laid out by point on ``fit_partitions`` sorted partitions,
+    so the fit does not depend on the upstream partitioning or on the size."""
+    laid_out = cut_lineage(stats).repartition(fit_partitions, "long", "lat").sortWithinPartitions("long", "lat")
+    return assemble_features(laid_out.withColumn("w", F.col("n").cast("double")))
 
 
 def fit_and_assign(
-    stats: DataFrame, k: int = DEFAULT_K, seed: int = DEFAULT_SEED
+    stats: DataFrame, k: int = DEFAULT_K, seed: int = DEFAULT_SEED, fit_partitions: int = FIT_PARTITIONS
 ) -> tuple[DataFrame, object] | tuple[None, None]:
     """Fit weighted k-means on zone points; return (points with ``cluster``,
     model), or (None, None) when there is no point."""
-    points, n_points = prepare_points(stats)
-    if n_points == 0:
+    points = prepare_points(stats, fit_partitions)
+    if points.isEmpty():
         return None, None
     model = fit_kmeans(points, k=k, seed=seed, weight_col="w")
     return assign_clusters(points, model), model
@@ -222,15 +190,16 @@ def hotspots(
     window_minutes: int = 30,
     top_n: int = 3,
     wrap_midnight: bool = False,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     fit_on: str = "zones",
-    raw: bool = False,
+    raw: bool | None = None,
+    zone: str = SOURCE_ZONE,
 ) -> DataFrame:
     """Hotspots near (lat, long) at ``time``: rows of ``HOTSPOT_SCHEMA``.
 
-    ``trips`` are cleaned trips (``clean_trips`` or the curated store), or
-    uncleaned trips with ``raw=True`` (the window is then applied before the
-    cleaning; same rows, less work); ``zone_pts`` come from ``zone_points``.
+    ``trips`` are cleaned trips (``clean_trips`` or the curated store) or
+    uncleaned ones, which are recognised and cleaned inside the window;
+    ``zone`` is that of times delivered as instants; ``zone_pts`` come from
+    ``zone_points``.
     No trip in the window gives an empty result with the same schema.
 
     ``fit_on="zones"`` (default) fits weighted k-means on the zone points of
@@ -241,14 +210,13 @@ def hotspots(
     It costs a pass over the windowed trips per k-means step."""
     if fit_on == "trips":
         clusters = trip_level_cluster_stats(
-            trips, zone_pts, time, borough, window_minutes, wrap_midnight, k, seed,
-            max_broadcast_rows, raw,
+            trips, zone_pts, time, borough, window_minutes, wrap_midnight, k, seed, raw, zone,
         )
         return _hotspot_rows(clusters, lat, long, top_n)
     if fit_on != "zones":
         raise ValueError(f"fit_on must be 'zones' or 'trips', got {fit_on!r}")
     stats = zone_window_stats(
-        trips, zone_pts, time, borough, window_minutes, wrap_midnight, max_broadcast_rows, raw
+        trips, zone_pts, time, borough, window_minutes, wrap_midnight, raw, zone
     )
     return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n)
 
@@ -262,19 +230,19 @@ def trip_level_cluster_stats(
     wrap_midnight: bool = False,
     k: int = DEFAULT_K,
     seed: int = DEFAULT_SEED,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    raw: bool = False,
+    raw: bool | None = None,
+    zone: str = SOURCE_ZONE,
+    salt_buckets: int | None = None,
 ) -> DataFrame:
     """Cluster statistics from k-means fitted on every trip of the window.
 
     The windowed trips with their points are persisted for the iterations and
-    released once the (at most ``k``-row) cluster table is checkpointed."""
-    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw)
+    released once the (at most ``k``-row) cluster table is checkpointed.  That
+    is about 4% of the trip table for ±30 minutes: at 100 TB use the zone-level
+    default, which carries one row per zone."""
+    windowed = windowed_trips(trips, time, window_minutes, wrap_midnight, raw, zone)
     pts = _points(zone_pts, borough)
-    if has_at_most(pts, max_broadcast_rows):
-        joined = windowed.join(F.broadcast(pts), windowed["pulocationid"] == pts["locationid"])
-    else:  # row-level join beyond the broadcast bound: split hot locations
-        joined = salted_join(windowed, pts, "pulocationid", "locationid", "inner")
+    joined = join_dimension(windowed, pts, "pulocationid", "locationid", "inner", salt_buckets)
     points = assemble_features(joined.select("long", "lat", "total_amount", "tip_amount"))
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -346,7 +314,10 @@ def zone_minute_stats(trips: DataFrame) -> DataFrame:
     """``pulocationid, pickup_minute, n, sum_total, sum_tip``.
 
     Bounded by locations × 1440 rows and additive, so any window is a filter
-    and a re-sum of it; the trip scan happens once for all requests."""
+    and a re-sum of it; the trip scan happens once for all requests.  Uncleaned
+    trips are cleaned first."""
+    if not is_clean(trips):
+        trips = clean_trips(normalize_columns(trips))
     return trips.groupBy("pulocationid", "pickup_minute").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("total_amount").alias("sum_total"),

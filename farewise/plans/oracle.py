@@ -52,7 +52,6 @@ _ZONES = f"""
               THEN list_sum(list_transform(vertices, lambda p: p[2])) / len(vertices) END AS lat,
          CAST(len(vertices) AS INTEGER) AS n_vertices
   FROM zone_v)
-, used AS (SELECT DISTINCT pulocationid FROM clean)
 """
 
 BASE = duckdb_views() + _COMPLETE + _CLEAN + _ZONES
@@ -149,7 +148,15 @@ def _profile() -> str:
     )
 
 
+def _hotspots_instants() -> str:
+    """The flagship over local times of UTC+05:30."""
+    base = BASE.replace("ts AS tpep_pickup_datetime", "ts + INTERVAL '330' MINUTE AS tpep_pickup_datetime")
+    base = base.replace("ts + INTERVAL '17' MINUTE", "ts + INTERVAL '347' MINUTE")
+    return base + _window() + _clusters() + _hotspot_select()
+
+
 ORACLES: dict[str, str] = {
+    "hotspots_instants": _hotspots_instants(),
     # sources
     "scan_parquet": duckdb_views() + _RAW_SELECT,
     "normalize_columns": duckdb_views() + _RAW_SELECT,
@@ -163,7 +170,7 @@ SELECT trip_id, pickup_hour, pickup_minute, CAST(pickup_minute - 900 AS INTEGER)
     "preview_limit": duckdb_views() + " SELECT * FROM trips ORDER BY trip_id LIMIT 5",
     "zones_csv": BASE + f"""
 SELECT locationid, zone, borough, round(long, {D}) AS long, round(lat, {D}) AS lat, n_vertices
-FROM zone_pts WHERE locationid IN (SELECT pulocationid FROM used)""",
+FROM zone_pts""",
     # projections, filters, scalar functions
     "drop_incomplete": duckdb_views() + _COMPLETE + " SELECT * FROM complete",
     "typed_trips": BASE + " SELECT * FROM clean",
@@ -171,14 +178,14 @@ FROM zone_pts WHERE locationid IN (SELECT pulocationid FROM used)""",
     "zones_project": BASE + """
 SELECT TRY_CAST(locationid AS BIGINT) AS locationid_pu, zone AS zone_pu,
        the_geom AS geometry, borough AS borough_pu
-FROM zones WHERE TRY_CAST(locationid AS BIGINT) IN (SELECT pulocationid FROM used)""",
+FROM zones""",
     "zone_vertices": BASE + """
 SELECT locationid, CAST(i - 1 AS INTEGER) AS vertex_no, vertices[i][1] AS x, vertices[i][2] AS y
 FROM (SELECT locationid, vertices, generate_subscripts(vertices, 1) AS i
-      FROM zone_v WHERE locationid IN (SELECT pulocationid FROM used)) q""",
+      FROM zone_v) q""",
     "zone_centroids": BASE + f"""
 SELECT locationid, zone, borough, round(long, {D}) AS long, round(lat, {D}) AS lat, n_vertices
-FROM zone_pts WHERE locationid IN (SELECT pulocationid FROM used)""",
+FROM zone_pts""",
     "time_window_trips": BASE + _window() + _WINDOW_SELECT,
     "time_window_midnight": BASE + _window("00:10:00") + _WINDOW_SELECT,
     "time_window_wrap": BASE + _window("23:45:00", wrap=True) + _WINDOW_SELECT,

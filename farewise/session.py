@@ -1,15 +1,13 @@
-"""Session-level helpers: checkpoint directory, reliable lineage cuts, size probes.
+"""Session-level helpers: checkpoint directory and reliable lineage cuts.
 
 The library never creates a session.  It reads ``spark.checkpoint.dir`` from the
-caller's session; only when that is unset does it fall back to persisting
-(correct, but the lineage is not cut).
+caller's session and raises where a step needs it and it is unset.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -44,17 +42,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to reliable storage so a lost executor does not
     replay the plan that produced it.  Used for tables bounded by a dimension
-    or a parameter: per-zone-point statistics ahead of k-means, derived zone
-    tables ahead of a broadcast, the k-row cluster table."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Reads no more than ``max_rows + 1`` rows whatever the size of ``df``, so it
-    is a safe guard in front of a broadcast.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+    or a parameter: per-zone-point statistics ahead of k-means, the k-row
+    cluster table.  With ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    Spark deletes the files once the result is no longer referenced."""
+    if not checkpoint_dir(df.sparkSession):
+        raise RuntimeError(
+            f"{CHECKPOINT_CONF} is not set; set it to a folder every executor can reach"
+        )
+    return df.checkpoint(eager=True)

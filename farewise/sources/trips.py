@@ -5,22 +5,31 @@
   group is one scan, groups are lower-cased and unioned by name (types widen).
 * ``positional_union``: the positional ``UNION ALL`` of several frames
   (first frame's names win), kept for frames that are known to line up.
-* ``load_trips``: distributed full refresh of the curated store, partitioned by
-  pickup hour (rebalanced so files are few and large) and sorted by minute of
-  day inside each file.
+* ``load_trips``: distributed refresh of the curated store, whole or by month.
 * ``read_store``: the curated store, or any other format/connector.
+
+The store's folders are ``pickup_month / pickup_hour / load``: a month reloads
+alone, a time of day prunes hours, and each load (the full one, or one batch of
+the incremental load) has folders of its own, which a retry replaces.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.operators.clean import clean_trips
+from farewise.operators.clean import SOURCE_ZONE, clean_trips
 
-CURATED_PARTITION = "pickup_hour"
+MONTH, HOUR, LOAD = "pickup_month", "pickup_hour", "load"
+STORE_FOLDERS = (MONTH, HOUR, LOAD)
+FULL_LOAD = "full"
+# Tasks that the trips of one hour of one month are split into.
+HOUR_SPLITS = 16
+SCHEMA_READERS = 16
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -54,6 +63,15 @@ def union_by_name(frames: list[DataFrame], allow_missing: bool = False) -> DataF
     )
 
 
+def _schema_of(spark: SparkSession, path: str, fmt: str) -> str:
+    try:
+        return spark.read.format(fmt).load(path).schema.json()
+    except AnalysisException as e:
+        if e.getCondition() == "COLUMN_ALREADY_EXISTS":
+            raise ValueError(f"{path}: has columns whose names are equal up to case: {e.getMessageParameters()}") from e
+        raise
+
+
 def read_trip_files(
     spark: SparkSession, paths: list[str], fmt: str = "parquet", allow_missing: bool = False
 ) -> DataFrame:
@@ -61,42 +79,63 @@ def read_trip_files(
 
     Paths are grouped by their exact schema so that the usual case (every month
     alike) is a single scan over all files; only months that differ become
-    separate scans in the union."""
+    separate scans in the union.  Schemas are read ``SCHEMA_READERS`` at a time.
+    A file with two columns equal up to case is an error that names both."""
     if not paths:
         raise ValueError("no trip files given")
+    with ThreadPoolExecutor(SCHEMA_READERS) as pool:
+        keys = list(pool.map(lambda p: _schema_of(spark, p, fmt), paths))
     groups: dict[str, list[str]] = {}
-    for p in paths:
-        key = spark.read.format(fmt).load(p).schema.json()
+    for key, p in zip(keys, paths):
         groups.setdefault(key, []).append(p)
     frames = [normalize_columns(spark.read.format(fmt).load(group)) for group in groups.values()]
     return union_by_name(frames, allow_missing)
 
 
+def _laid_out(curated: DataFrame, load: str, splits: int) -> DataFrame:
+    """Curated trips with their folders, each hour of a month split by a hash of
+    the row over up to ``splits`` tasks (also without AQE), sorted by minute so
+    a window filter skips row groups by their statistics."""
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in curated.columns]), F.lit(splits))
+    rows = curated.withColumns(
+        {MONTH: F.date_format("tpep_pickup_datetime", "yyyy-MM"), LOAD: F.lit(load), "_share": share}
+    )
+    return rows.repartition(MONTH, HOUR, "_share").sortWithinPartitions(MONTH, HOUR, "pickup_minute").drop("_share")
+
+
 def load_trips(
     trips: DataFrame,
     target: str,
     mode: str = "overwrite",
     clean: bool = True,
-    rebalance: bool = True,
+    zone: str = SOURCE_ZONE,
+    splits: int = HOUR_SPLITS,
 ) -> str:
     """Write trips (cleaned unless ``clean`` is False) to the curated store.
 
-    The write is distributed.  ``rebalance`` hash-distributes rows by pickup
-    hour with AQE sizing the output (busy hours are split into several tasks,
-    quiet ones coalesced), so each task writes a few large files into one hour
-    folder instead of every task writing a small file into all 24.  Rows are
-    sorted by minute of day inside each file so a window filter skips row
-    groups by their min/max statistics."""
-    curated = clean_trips(normalize_columns(trips)) if clean else trips
-    if rebalance:
-        curated = curated.hint("rebalance", CURATED_PARTITION)
+    ``mode="overwrite"`` replaces the store; ``mode="months"`` replaces only the
+    months that ``trips`` has (one write for each) and leaves the others alone."""
+    if mode not in ("overwrite", "months"):
+        raise ValueError(f"mode must be 'overwrite' or 'months', got {mode!r}")
+    curated = clean_trips(normalize_columns(trips), zone) if clean else trips
+    rows = _laid_out(curated, FULL_LOAD, splits)
+    if mode == "overwrite":
+        rows.write.mode("overwrite").partitionBy(*STORE_FOLDERS).parquet(target)
+        return target
+    months = curated.select(F.date_format("tpep_pickup_datetime", "yyyy-MM").alias("m")).distinct()
+    for (month,) in sorted(months.collect()):  # one row per month of the reload
+        one = rows.filter(F.col(MONTH) == month).drop(MONTH)
+        one.write.mode("overwrite").partitionBy(HOUR, LOAD).parquet(f"{target}/{MONTH}={month}")
+    return target
+
+
+def append_load(trips: DataFrame, target: str, load: str, zone: str = SOURCE_ZONE, splits: int = HOUR_SPLITS) -> None:
+    """Add trips to the store as the load ``load``; writing the same load again replaces it."""
+    rows = _laid_out(clean_trips(normalize_columns(trips), zone), load, splits)
     (
-        curated.sortWithinPartitions(CURATED_PARTITION, "pickup_minute")
-        .write.mode(mode)
-        .partitionBy(CURATED_PARTITION)
-        .parquet(target)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*STORE_FOLDERS).parquet(target)
     )
-    return target
 
 
 def load_trip_files(
@@ -110,7 +149,9 @@ def load_trip_files(
 def read_store(
     spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """The stored trips.  The default is the curated Parquet store; a
-    document-store or any other connector is only another ``fmt``/``options``."""
+    """The stored trips.  The default is the curated Parquet store (without the
+    folder columns that are not trip data); a document-store or any other
+    connector is only another ``fmt``/``options``."""
     reader = spark.read.format(fmt).options(**options)
-    return reader.load(path) if path is not None else reader.load()
+    stored = reader.load(path) if path is not None else reader.load()
+    return stored.drop(MONTH, LOAD) if fmt == "parquet" else stored

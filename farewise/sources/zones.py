@@ -11,7 +11,8 @@ from farewise.sources.trips import normalize_columns
 
 def read_zones_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headered CSV, every column read as a string (no schema inference pass);
-    quoted WKT keeps its commas.  Column names are lower-cased."""
+    quoted WKT keeps its commas and line breaks, for which each file is one task:
+    fit for a dimension, not for facts.  Column names are lower-cased."""
     return normalize_columns(
         spark.read.option("header", True).option("inferSchema", False)
         .option("multiLine", True).csv(path)

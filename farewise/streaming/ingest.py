@@ -1,43 +1,30 @@
 """Incremental load of the curated trip store with Structured Streaming.
 
-New monthly trip files landing in a folder are picked up by the file source,
-cleaned with the same expressions as the batch load and appended to the
-curated store (partitioned by pickup hour).  The file sink's commit log and
-the checkpoint make the load exactly-once: a restarted or retried query
-neither skips nor duplicates a file.  ``available_now`` processes what has
-landed and stops, which suits a scheduled job; otherwise the query keeps
-running and polls every ``poll``.
+The stream carries only the paths of the trip files landing in a folder.  Each
+micro-batch reads its files with the batch reader (column case and types may
+drift between them), cleans them and adds them to the store as one load, in
+folders of its own.  The query's checkpoint remembers which files a batch holds;
+a batch that is run again replaces its own folders, so every file is in the
+store once.  Full and incremental loads share one layout, and readers see both.
+
+The checkpoint lies beside the store (``<target>_ingest``) unless another is
+named: a later run goes on where the last one ended.  After a full refresh that
+already holds the landed files, start with a checkpoint of your own choosing.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-
-from farewise.operators.clean import clean_trips
-from farewise.session import scratch_path
-from farewise.sources.trips import CURATED_PARTITION, normalize_columns
-
 
-def trip_stream(
-    spark: SparkSession, source_dir: str, schema: StructType | None = None,
-    max_files_per_trigger: int | None = None,
-) -> DataFrame:
-    """Cleaned trips from the files landing in ``source_dir``.
+from farewise.operators.clean import SOURCE_ZONE
+from farewise.sources.trips import append_load, read_trip_files
 
-    Column names are matched case-insensitively against a lower-case schema,
-    so months whose column case drifts load into the same columns."""
-    if schema is None:
-        schema = normalize_columns(spark.read.parquet(source_dir)).schema
-    fields: dict[str, object] = {}
-    for f in schema:  # names equal up to case become one column (first wins)
-        fields.setdefault(f.name.lower(), f.__class__(f.name.lower(), f.dataType, f.nullable))
-    lower = StructType(list(fields.values()))
-    reader = spark.readStream.schema(lower)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return clean_trips(normalize_columns(reader.parquet(source_dir)))
+MAX_FILES = 1000
+# Fixed value: the columns of Spark's binary file source; only the path is read.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def start_trip_ingest(
@@ -45,20 +32,28 @@ def start_trip_ingest(
     source_dir: str,
     target_dir: str,
     checkpoint_location: str | None = None,
-    schema: StructType | None = None,
     available_now: bool = True,
     poll: str = "1 minute",
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = MAX_FILES,
+    zone: str = SOURCE_ZONE,
+    pattern: str = "*.parquet",
 ) -> StreamingQuery:
     """Start the incremental load; returns the running ``StreamingQuery``.
-    ``max_files_per_trigger`` bounds each micro-batch when a large backlog of
-    files has landed (``available_now`` still processes all of it, in batches)."""
-    stream = trip_stream(spark, source_dir, schema, max_files_per_trigger)
-    writer = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(CURATED_PARTITION)
-        .option("checkpointLocation", checkpoint_location or scratch_path(spark, "ingest-ckpt"))
+    ``max_files_per_trigger`` bounds each micro-batch, and with it the paths that
+    reach the driver (``available_now`` still takes all files, in batches)."""
+    checkpoint = checkpoint_location or f"{target_dir.rstrip('/')}_ingest"
+    # loads of different checkpoints never share a name
+    prefix = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:12]
+
+    def add(files: DataFrame, batch: int) -> None:
+        paths = [r["path"] for r in files.collect()]
+        if paths:
+            append_load(read_trip_files(spark, paths), target_dir, f"{prefix}-{batch}", zone)
+
+    files = (
+        spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir).select("path")
     )
+    writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=poll)
-    return writer.start(target_dir)
+    return writer.start()

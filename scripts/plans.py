@@ -32,9 +32,9 @@ def main():
     trips, zones = cat.trips(spark, sf), cat.zones(spark, sf)
     curated = load_trips(raw_trips(spark, sf), scratch_path(spark, "plans-curated"))
     items = [
-        ("Hotspots, distributed part, raw trips (raw=True): window first → cleaning → broadcast "
+        ("Hotspots, distributed part, raw trips: window first → cleaning → broadcast "
          "zone join → partial/final aggregate by point",
-         zone_window_stats(raw_trips(spark, sf), zones, "15:00:00", raw=True)),
+         zone_window_stats(raw_trips(spark, sf), zones, "15:00:00")),
         ("Hotspots over the curated store (partition pruning + pushed minute range)",
          zone_window_stats(read_store(spark, curated), zones, "15:00:00")),
         ("Top pickup zones: aggregate per location before the zone join", top_pickup_zones(trips, zones)),
@@ -48,7 +48,7 @@ def main():
     saved = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
         spark.conf.set(k, "-1")
-    salted = plan_text(attach_zones(trips, zones, max_broadcast_rows=0))
+    salted = plan_text(attach_zones(trips, zones, salt_buckets=16))
     for k, v in saved.items():
         if v is None:
             spark.conf.unset(k)

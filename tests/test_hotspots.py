@@ -186,14 +186,15 @@ def test_minute_stats_are_additive(spark, tmp_dir):
     assert canon(merged) == canon(whole)
 
 
-def test_flagship_distributed_part_has_one_shuffle(spark, tmp_dir):
+def test_flagship_shuffles_only_sums_per_location_and_point(spark, tmp_dir):
     from farewise.sources.trips import load_trips, read_store
 
     path = load_trips(cat.raw_trips(spark, SF_SMALL), f"{tmp_dir}/curated")
     stats = zone_window_stats(read_store(spark, path), cat.zones(spark, SF_SMALL), "15:00:00")
     plan = plan_text(stats, "simple")
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("BroadcastExchange") == 1
+    # partial sums per location, then per point; trips are never shuffled
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Exchange hashpartitioning(pulocationid" in plan and "Exchange hashpartitioning(long" in plan
     assert "SortMergeJoin" not in plan
 
 
@@ -201,14 +202,14 @@ def test_raw_mode_equals_cleaned_input(spark):
     raw, zones = cat.raw_trips(spark, SF_CHECK), cat.zones(spark, SF_CHECK)
     for time, wrap in (("15:00:00", False), ("23:45:00", True), ("00:10", False)):
         a = zone_window_stats(cat.trips(spark, SF_CHECK), zones, time, wrap_midnight=wrap)
-        b = zone_window_stats(raw, zones, time, wrap_midnight=wrap, raw=True)
+        b = zone_window_stats(raw, zones, time, wrap_midnight=wrap)
 
         def canon(df):
             return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
 
         assert canon(a) == canon(b)
     # the window predicate is evaluated before the all-column completeness check
-    plan = plan_text(zone_window_stats(raw, zones, "15:00:00", raw=True), "simple")
+    plan = plan_text(zone_window_stats(raw, zones, "15:00:00"), "simple")
     cond = plan.split("Filter (")[1].split("\n")[0]
     assert cond.index("870") < cond.index("atleastnnonnulls")
 
@@ -237,3 +238,83 @@ def test_minute_stats_path_with_borough_and_wrap(spark):
         landed = cat.rounded(hotspots_from_minute_stats(stats, zones, time, 40.70, -73.95, borough,
                                                         wrap_midnight=wrap))
         assert [tuple(r) for r in direct.collect()] == [tuple(r) for r in landed.collect()], (time, borough)
+
+
+def test_uncleaned_trips_are_recognised(spark):
+    """Null amounts: the default answer is that over cleaned trips, not sum / count(*)."""
+    raw = cat.raw_trips(spark, SF_CHECK)
+    holed = raw.withColumn("total_amount", F.when(F.col("trip_id") % 3 != 0, F.col("total_amount")))
+    zones = cat.zones(spark, SF_CHECK)
+    default = hotspots(holed, zones, "15:00", 40.7, -73.95)
+    cleaned = hotspots(clean_trips(holed), zones, "15:00", 40.7, -73.95)
+
+    def canon(df):
+        return [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.orderBy("rank").collect()]
+
+    assert canon(default) == canon(cleaned) and len(canon(default)) == 3
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    zones = cat.zones(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    answers, hours = [], []
+    try:
+        for session in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            answers.append([tuple(r) for r in cat.q_hotspots_instants(spark, SF_SMALL).orderBy("rank").collect()])
+            raw = cat.raw_trips(spark, SF_SMALL).limit(50)
+            epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            instants = raw.withColumn(
+                "tpep_pickup_datetime",
+                F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("tpep_pickup_datetime"))),
+            )
+            got = clean_trips(instants, "America/New_York").select("trip_id", "pickup_hour", "pickup_minute")
+            hours.append(sorted(tuple(r) for r in got.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert answers[0] == answers[1] and hours[0] == hours[1]
+
+
+def _spread_points(spark, n):
+    """Weighted points without any clusters."""
+    import random
+
+    rnd = random.Random(7)
+    rows = [(rnd.random(), rnd.random(), rnd.randint(1, 9), 1.0, 1.0) for _ in range(n)]
+    return spark.createDataFrame(rows, "long double, lat double, n bigint, sum_total double, sum_tip double")
+
+
+def test_clusters_do_not_depend_on_the_upstream_layout(spark):
+    from farewise.plans.hotspots import fit_and_assign
+
+    points = _spread_points(spark, 300)
+
+    def centres(df):
+        return [tuple(c) for c in fit_and_assign(df)[1].clusterCenters()]
+
+    first = centres(points.repartition(1))
+    assert centres(points.repartition(7)) == first
+    assert centres(points.repartition(13, "lat").sortWithinPartitions("lat")) == first
+
+
+def test_cost_is_near_an_independent_lloyd_run(spark):
+    import numpy as np
+
+    from farewise.plans.hotspots import fit_and_assign
+
+    points = _spread_points(spark, 2000)
+    rows = np.array([tuple(r)[:3] for r in points.collect()])
+    x, w = rows[:, :2], rows[:, 2]
+
+    def cost(c):
+        return (((x[:, None] - c[None]) ** 2).sum(-1).min(1) * w).sum()
+
+    def lloyd(seed):
+        c = x[np.random.default_rng(seed).choice(len(x), 5, replace=False)]
+        for _ in range(50):
+            near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            c = np.array([np.average(x[near == k], axis=0, weights=w[near == k]) for k in range(5)])
+        return cost(c)
+
+    fitted = cost(np.array(fit_and_assign(points)[1].clusterCenters()))
+    assert fitted <= 1.1 * min(lloyd(s) for s in range(5))

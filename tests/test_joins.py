@@ -1,12 +1,13 @@
-"""Dimension joins beyond the broadcast bound: the shuffle paths give the same
-answers as the broadcast paths, and a hot key stays correct."""
+"""Dimension joins: shuffled, salted and broadcast joins give the same answers, a
+hot key stays correct, and nothing runs before an action."""
 
 import contextlib
 import datetime as dt
 
+import pytest
+
 from farewise.operators.enrich import attach_zones
 from farewise.operators.explore import pickups_per_zone
-from farewise.operators.joins import maybe_broadcast
 from farewise.plans import catalog as cat
 from farewise.plans.explain import plan_text
 from farewise.plans.hotspots import cluster_stats, zone_window_stats
@@ -41,18 +42,11 @@ def _sorted(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_probe_bounds_broadcast(spark):
-    df = spark.range(10)
-    assert "broadcast" in plan_text(spark.range(100).join(maybe_broadcast(df, 10), "id"), "extended").lower()
-    plan = plan_text(spark.range(100).join(maybe_broadcast(df, 9), "id"), "extended")
-    assert "ResolvedHint (strategy=broadcast)" not in plan
-
-
 def test_left_join_shuffle_path_equals_broadcast(spark):
     trips, zones = cat.trips(spark, SF_SMALL), cat.zones(spark, SF_SMALL)
     small = _sorted(attach_zones(trips, zones))
     with no_auto_broadcast(spark):
-        big = attach_zones(trips, zones, max_broadcast_rows=0)
+        big = attach_zones(trips, zones, salt_buckets=8)
         plan = plan_text(big)
         assert "BroadcastHashJoin" not in plan
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
@@ -68,7 +62,7 @@ def test_window_stats_shuffle_path_equals_broadcast(spark):
 
     a = canon(zone_window_stats(trips, zones, "15:00:00"))
     with no_auto_broadcast(spark):
-        b = zone_window_stats(trips, zones, "15:00:00", max_broadcast_rows=0)
+        b = zone_window_stats(trips, zones, "15:00:00")
         assert "BroadcastHashJoin" not in plan_text(b)
         assert a == canon(b)
 
@@ -82,7 +76,7 @@ def test_salted_join_spreads_a_hot_key(spark):
         F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
     dim = spark.range(50).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
     with no_auto_broadcast(spark):
-        out = salted_join(fact, dim, "k", "key", "left", buckets=8)
+        out = salted_join(fact, dim, "k", "key", "left", 8)
         rows = out.select("id", "k", "v").collect()
     assert len(rows) == 30000
     assert all(r["v"] == r["k"] * 10 for r in rows)
@@ -118,5 +112,27 @@ def test_trip_level_fit_salted_path_equals_broadcast(spark):
 
     a = canon(trip_level_cluster_stats(trips, zones, "15:00:00"))
     with no_auto_broadcast(spark):
-        b = canon(trip_level_cluster_stats(trips, zones, "15:00:00", max_broadcast_rows=0))
+        b = canon(trip_level_cluster_stats(trips, zones, "15:00:00", salt_buckets=8))
     assert a == b
+
+
+@pytest.mark.parametrize("how", ["right", "full", "left_anti", "cross"])
+def test_joins_that_keep_dimension_rows_are_refused(spark, how):
+    trips, zones = cat.trips(spark, SF_SMALL), cat.zones(spark, SF_SMALL)
+    with pytest.raises(ValueError):
+        attach_zones(trips, zones, how=how)
+    with pytest.raises(ValueError):
+        attach_zones(trips, zones, how=how, salt_buckets=4)
+
+
+def test_attaching_zones_runs_no_job(spark):
+    trips, zones = cat.trips(spark, SF_SMALL), cat.zones(spark, SF_SMALL)
+    group = "attach-zones-is-lazy"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        attach_zones(trips, zones)
+        pickups_per_zone(trips, zones)
+        zone_window_stats(trips, zones, "15:00:00")
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -11,6 +11,8 @@ from farewise.operators.window import time_window
 from farewise.sources.trips import normalize_columns, positional_union, read_trip_files
 from farewise.sources.zones import read_zones_csv, zone_points
 
+from conftest import SF_SMALL
+
 TRIP_SCHEMA = (
     "trip_id bigint, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, "
     "passenger_count double, trip_distance double, pulocationid bigint, dolocationid bigint, "
@@ -148,3 +150,18 @@ def test_read_trip_files_one_scan_per_schema(spark, tmp_dir):
     plan = plan_text(got, "simple")
     assert plan.count("FileScan parquet") == 2  # three alike files in one scan, the odd one in another
     assert got.count() == 4
+
+
+def test_zone_queries_return_zones_without_trips(spark):
+    from farewise.plans import catalog as cat
+    from farewise.plans.explain import plan_text
+
+    zones = spark.read.parquet(f"{SF_SMALL}/nation.parquet").count()
+    used = cat.trips(spark, SF_SMALL).select("pulocationid").distinct().count()
+    assert used < zones
+    for q in (cat.q_zones_project, cat.q_zone_centroids, cat.q_zones_csv):
+        assert q(spark, SF_SMALL).count() == zones
+    vertices = cat.q_zone_vertices(spark, SF_SMALL)
+    assert vertices.select("locationid").distinct().count() == zones
+    for q in (cat.q_zones_project, cat.q_zone_centroids, cat.q_zone_vertices):
+        assert "events.parquet" not in plan_text(q(spark, SF_SMALL))
