@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,7 +30,7 @@ def q_op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from farewise.llm.search import every_nth, top_k
 
     docs = _table(spark, sf_dir, "documents")
-    return top_k(docs, every_nth(docs))
+    return top_k(docs, every_nth(docs)).withColumn("score", F.round("score", 6))
 
 
 def q_op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +102,31 @@ QUERIES = {
     "op10_sharding": q_op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES = {
+    "op2_search": f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')) AS w
+  FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY doc_id, w),
+len AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+n AS (SELECT count(*) AS n, (SELECT sum(dl) FROM len) / count(*) AS mean FROM documents),
+idf AS (SELECT w, ln(1 + (n.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY w, n.n),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(idf.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len.dl / n.mean))), 8) AS score
+  FROM tf q JOIN idf ON idf.w = q.w JOIN tf d ON d.w = q.w JOIN len ON len.doc_id = d.doc_id, n
+  WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, d.doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+    "op8_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+}

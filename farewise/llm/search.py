@@ -238,7 +238,7 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
             dfs = df.values.to_numpy().astype(np.float64)
             block.append((q, t.values.to_numpy(), np.log1p((n - dfs + 0.5) / (dfs + 0.5))))
         shared = spark.sparkContext.broadcast(block)
-        best = index.mapInArrow(_searcher(shared, words / max(1, n), k), FOUND)
+        best = index.mapInArrow(_searcher(shared, (words or 0) / max(1, n or 0), k), FOUND)
         w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
         found.append(land(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "found"))
         shared.unpersist()
