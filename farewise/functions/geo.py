@@ -51,7 +51,7 @@ def haversine_miles(
     s_lat = F.sin((la2 - la1) * 0.5)
     s_lon = F.sin((lo2 - lo1) * 0.5)
     d = s_lat * s_lat + F.cos(la1) * F.cos(la2) * s_lon * s_lon
-    return F.lit(2.0 * EARTH_RADIUS_MI) * F.asin(F.sqrt(d))
+    return F.lit(2.0 * EARTH_RADIUS_MI) * F.asin(F.sqrt(F.least(F.lit(1.0), d)))
 
 
 def _sql_literal(pattern: str) -> str:
@@ -76,10 +76,10 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         f"""CREATE OR REPLACE TEMPORARY FUNCTION haversine_mi(
                 lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE)
             RETURNS DOUBLE
-            RETURN {2.0 * EARTH_RADIUS_MI!r} * asin(sqrt(
+            RETURN {2.0 * EARTH_RADIUS_MI!r} * asin(sqrt(least(1.0D,
                 sin((radians(lat2) - radians(lat1)) * 0.5) * sin((radians(lat2) - radians(lat1)) * 0.5)
                 + cos(radians(lat1)) * cos(radians(lat2))
-                  * sin((radians(lon2) - radians(lon1)) * 0.5) * sin((radians(lon2) - radians(lon1)) * 0.5)))""",
+                  * sin((radians(lon2) - radians(lon1)) * 0.5) * sin((radians(lon2) - radians(lon1)) * 0.5))))""",
     ]
     for stmt in statements:
         spark.sql(stmt)
