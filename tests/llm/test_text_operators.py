@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from conftest_paths import SF_CHECK, SF_SMALL
+from tables import SF_CHECK, SF_SMALL
 from edge import ROWS, documents, edge_docs, empty_docs
 from farewise.llm.html import extract_main_text, main_text
 from farewise.llm.licenses import CONTAINMENT, collision_probability, scan
