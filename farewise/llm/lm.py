@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ POSITIONS_AT_ONCE = 1 << 21
 END = b"\n"
 
 ASK = "kind int, bucket long, block long, items binary, counts binary"
-ANSWER = "kind int, bucket long, block long, answer binary"
+ANSWER = "kind int, block long, items binary, answer binary"
 TOPS = "node long, total double, ones double, below double, words long, tokens long"
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, n_bytes long"
@@ -64,15 +65,17 @@ def grams_of(datas: list[bytes], depth: int) -> np.ndarray:
     """One number per byte of the ``datas`` in turn: the ``depth`` bytes before it, most
     recent first, then the byte itself.  Before its first byte a text has end bytes."""
     pad = END * depth
-    buffer = np.frombuffer(b"".join(x for d in datas for x in (pad, d)), dtype=np.uint8)
+    raw = b"".join([bytes(8), *(x for d in datas for x in (pad, d))])
+    buffer = np.frombuffer(raw, dtype=np.uint8)[8:]
+    # the 8 bytes before each byte as one number, the most recent one in front
+    before = np.ndarray((len(buffer),), "<u8", raw, 0, (1,))
+    out = (before >> np.uint64(8 * (8 - depth))) << np.uint64(8)
+    out |= buffer
     lengths = np.fromiter(map(len, datas), dtype=np.int64, count=len(datas)) + depth
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     own = np.ones(len(buffer), dtype=bool)
     own[(starts[:, None] + np.arange(depth)[None, :]).ravel()] = False
-    out = buffer[depth:].astype(np.int64)
-    for back in range(1, depth + 1):
-        out |= buffer[depth - back: len(buffer) - back].astype(np.int64) << (8 * (depth + 1 - back))
-    return out[own[depth:]]
+    return out.view(np.int64)[own]
 
 
 def batches_of(datas: list[bytes]) -> Iterator[list[bytes]]:
@@ -261,15 +264,11 @@ def block_grams(datas: list[bytes], held: list[bool], depth: int) -> tuple[np.nd
 
 def block_words(words: list[list[bytes]], held: list[bool]) -> tuple[list[bytes], np.ndarray]:
     """A block's sorted distinct words and their counts in its training texts."""
-    counts: dict[bytes, int] = {}
+    counts: Counter[bytes] = Counter()
     for ws, h in zip(words, held):
-        if h:
-            for w in ws:
-                counts.setdefault(w, 0)
-        else:
-            for w in ws:
-                counts[w] = counts.get(w, 0) + 1
-    names = sorted(counts)
+        if not h:
+            counts.update(ws)
+    names = sorted(set().union(counts, *(ws for ws, h in zip(words, held) if h)))
     return names, np.fromiter(map(counts.__getitem__, names), dtype=np.int64, count=len(names))
 
 
@@ -342,38 +341,41 @@ def _answer(depth: int, upper):
             tree, keys = _bucket_tree(table, depth)
             p = tree.log2_probabilities(upper.value).astype("<f4")
             out = [p[np.searchsorted(tree.keys[0], k)].tobytes() for k in keys]
-        return table.select(["kind", "bucket", "block"]).append_column("answer", pa.array(out, pa.binary()))
+        return table.select(["kind", "block", "items"]).append_column("answer", pa.array(out, pa.binary()))
 
     return answer
 
 
-def _score(depth: int, buckets: int):
+def _score(depth: int):
     def score(key, docs, answers):
-        held = docs.column("held_out").to_pylist()
-        words = [words_of(t) for t in docs.column("text").to_pylist()]
-        got = {(r["kind"], r["bucket"]): r["answer"] for r in answers.select(["kind", "bucket", "answer"]).to_pylist()}
-        names, _ = block_words(words, held)
-        known = np.zeros(len(names), dtype=np.int64)
-        for b, at in _sides(_word_buckets(names, buckets)):
-            known[at] = _numbers(got[WORD, b])
-        logs = dict(zip(names, np.log10(known + 0.1).tolist()))
-        seen = {w for w, n in zip(names, known.tolist()) if n > 0}
-        base = [math.fsum(map(logs.__getitem__, ws)) for ws in words]
-        n_known = [sum(map(seen.__contains__, ws)) for ws in words]
-        n_tokens = list(map(len, words))
-        del names, known, logs, seen
-        datas = [b" ".join(ws) + END for ws in words]
-        del words
-        keys, _ = block_grams(datas, held, depth)
-        p = np.zeros(len(keys))
-        for b, at in _sides(_gram_bucket(keys, depth, buckets)):
-            p[at] = np.frombuffer(got[GRAM, b], dtype="<f4")
-        place = pd.Index(keys)
+        logs: dict[bytes, float] = {}
+        keys, p = [], []
+        rows = zip(*(answers.column(c).to_pylist() for c in ("kind", "items", "answer")))
+        for kind, items, answer in rows:
+            if kind == WORD:
+                logs.update(zip(items.split(b" "), np.log10(_numbers(answer) + 0.1).tolist()))
+            else:
+                keys.append(_unpack_keys(items))
+                p.append(np.frombuffer(answer, dtype="<f4").astype(np.float64))
+        keys, p = np.concatenate(keys), np.concatenate(p)
+        order = np.argsort(keys)
+        keys, p = keys[order], p[order]
+        unknown = math.log10(0.1)
+        base, n_known, n_tokens, datas = [], [], [], []
+        for text in docs.column("text").to_pylist():
+            words = words_of(text)
+            found = list(map(logs.__getitem__, words))
+            base.append(sum(found))
+            n_known.append(len(found) - found.count(unknown))
+            n_tokens.append(len(words))
+            datas.append(b" ".join(words) + END)
+        del logs
         scores: list[float] = []
         for some in batches_of(datas):
             sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            scores.extend(np.add.reduceat(p[place.get_indexer(grams_of(some, depth))], starts).tolist())
+            codes, distinct = pd.factorize(grams_of(some, depth))
+            scores.extend(np.add.reduceat(p[np.searchsorted(keys, distinct)][codes], starts).tolist())
         return pa.table({
             "doc_id": docs.column("id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
@@ -412,7 +414,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = int(words["words"].sum()) + (n_train > 0)
     upper = spark.sparkContext.broadcast(Upper(*(grams[c].to_numpy() for c in ("node", "total", "ones", "below"))))
     answers = asked.groupBy("kind", "bucket").applyInArrow(_answer(depth, upper), ANSWER)
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, buckets), SCORES)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth), SCORES)
     # the end of each text is a token too; its count is that of the training texts
     tokens = F.col("n_tokens") + 1
     share = math.log10(train_tokens + 0.1 * (vocabulary + 1))
