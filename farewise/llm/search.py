@@ -1,18 +1,18 @@
 """Exact top-k search: BM25 over a sharded inverted index with block-max WAND pruning.
 
 Documents are dealt into shards of about ``SHARD_DOCS``; each shard's inverted
-index (terms, postings, term frequencies, lengths; documents ordered by length)
-is written once.  Document frequencies and the mean length are those of the whole
+index (terms, postings, term frequencies, lengths; documents ordered by their
+commonest word and their length) is written once.  Document frequencies and the mean length are those of the whole
 table, so scores of different shards compare, and the best ``k`` of all shards'
 best ``k`` are the exact answer.
 
 Within a shard, terms in at least a 1/FREQUENT share of its documents keep the
 largest contribution per block of ``BLOCK`` documents.  For a query the other
 terms' postings are added up; a document can reach at most that sum plus its
-block's maxima.  The ``k`` documents with the largest bounds are scored first,
-which gives a threshold (kept from shard to shard within a task); only documents
-whose bound reaches it are scored in full.  Nothing else is left out, so the
-answer is that of scoring everything.
+block's maxima.  The documents with the largest bounds are scored first, which
+gives a threshold (kept from shard to shard within a task); then the next ones, until no
+bound reaches it.  Nothing else is left out, so the answer is that of scoring
+everything.
 
 Queries are taken in blocks of at most about ``QUERY_BYTES``, each sent to all
 tasks; the index is read once for each block.
@@ -38,8 +38,10 @@ from farewise.llm.common import land, pick, union_all
 K = 10
 K1, B = 1.2, 0.75
 SHARD_DOCS = 8192
-FREQUENT = 24
-BLOCK = 64
+FREQUENT = 4
+BLOCK = 16
+# Documents that are scored in full at first; twice as many each time after.
+AT_ONCE = 64
 QUERY_BYTES = 64 << 20
 QUERY_EVERY = 20
 SEED = 42
@@ -58,11 +60,14 @@ def build_index(ids: list[int | None], texts: list[str | None]) -> dict:
     from xxhash import xxh64_intdigest
 
     words = [_terms_of(t) for t in texts]
-    order = sorted(range(len(ids)), key=lambda i: (len(words[i]), ids[i] is not None, ids[i] or 0))
+    bags = [Counter(w) for w in words]
+    # like documents together: blocks of one language and of one length have tight maxima
+    common = [max(b, key=b.get) if b else b"" for b in bags]
+    order = sorted(range(len(ids)), key=lambda i: (common[i], len(words[i]), ids[i] is not None, ids[i] or 0))
     number: dict[bytes, int] = {}
     at, doc, tf = [], [], []
     for d, i in enumerate(order):
-        counts = Counter(words[i])
+        counts = bags[i]
         at.extend([number.setdefault(w, len(number)) for w in counts])
         tf.extend(counts.values())
         doc.extend([d] * len(counts))
@@ -119,23 +124,26 @@ class Shard:
         sums = np.bincount(self.postings[where], self.part[where] * np.repeat(weights[rare], sizes), minlength=self.n)
         columns, w = column[~rare], weights[~rare]
         bound = sums + (w @ self.most[columns])[self.block] + 1e-7
-
-        def full(docs):
-            return np.round(sums[docs] + self.dense[np.ix_(docs, columns)] @ w, 8)
-
-        first = np.argpartition(-bound, k - 1)[:k] if self.n > k else np.arange(self.n)
-        scores = full(first)
-        if self.n <= k:
-            docs = first
-        else:
-            least = max(least, scores.min())
-            docs = np.flatnonzero(bound >= least)
-            scores = full(docs)
-        good = scores > 0
-        docs, scores = docs[good], scores[good]
-        if len(docs) > k:
-            best = np.lexsort((self.ids[docs], -scores))[:k]
-            docs, scores = docs[best], scores[best]
+        all_weights = np.zeros(self.dense.shape[1])
+        all_weights[columns] = w
+        # best bounds first, a few at a time: the threshold rises, and ends the search
+        docs, scores = np.empty(0, dtype=np.int64), np.empty(0)
+        left, at_once = np.flatnonzero(bound >= max(least, 1e-7)), AT_ONCE
+        while len(left):
+            if len(left) > at_once:
+                near = np.argpartition(-bound[left], at_once)
+                now, left = left[near[:at_once]], left[near[at_once:]]
+            else:
+                now, left = left, left[:0]
+            got = np.round(sums[now] + self.dense[now] @ all_weights, 8)
+            docs, scores = np.concatenate([docs, now[got > 0]]), np.concatenate([scores, got[got > 0]])
+            if len(docs) > k:
+                best = np.lexsort((self.ids[docs], -scores))[:k]
+                docs, scores = docs[best], scores[best]
+            if len(docs) == k:
+                least = max(least, scores.min())
+            left = left[bound[left] >= least]
+            at_once *= 2
         return docs, scores
 
 
