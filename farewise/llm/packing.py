@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,13 @@ END_ID = 2
 SLACK = 4
 FAN_IN = 8
 ITEMS_PER_TASK = 200_000
-# Distinct spans of text whose ids a Python worker keeps.
-CACHE_SPANS = 400_000
+# Distinct spans of text whose ids a Python worker keeps in a generation.
+CACHE_SPANS = 250_000
 ENCODE_AT_ONCE = 20_000
+# Characters of text that are cut into spans at once (a longer text is taken alone),
+# and rows that are taken out of an Arrow batch at once.
+TEXT_AT_ONCE = 1 << 21
+ROWS_AT_ONCE = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,33 +63,85 @@ _SPLIT = re.compile(r"(?<=\S) ")
 
 
 def spans(text: str) -> list[str]:
-    """``text`` cut before each space that follows a non-space.
+    """``text`` cut at each space that follows a non-space; the space belongs to the
+    span after it and is left out.
 
     A byte-level pre-tokenizer never joins a non-space with a space after it, and
     looks ahead only from white space; every span ends in a non-space (or ends
     the text), so the ids of a text are those of its spans one after another."""
-    words = text.split(" ") if not _SPACED.search(text) and text[:1] != " " else _SPLIT.split(text)
-    return [words[0], *[" " + w for w in words[1:]]]
+    return text.split(" ") if not _SPACED.search(text) and text[:1] != " " else _SPLIT.split(text)
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Keeps the ids of spans (without stops at their end), in two generations: when
+    the young one is full it becomes the old one, and what is used again moves back."""
 
     def __init__(self, path: str, cache_spans: int = CACHE_SPANS):
-        self.tokenizer, self.most, self.known = _tokenizer(path), cache_spans, {}
+        self.tokenizer, self.most = _tokenizer(path), cache_spans
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}  # runs of full stops and commas
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), ENCODE_AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False):
+                ids = array("I", e.ids)
+                if sys.byteorder != "little":
+                    ids.byteswap()
+                yield ids.tobytes()
+
+    def _known(self, span: str) -> bytes | None:
+        ids = self.young.get(span)
+        if ids is None and (ids := self.old.get(span)) is not None:
+            self.young[span] = ids
+        return ids
+
+    def _table(self, found: set[str]) -> dict[str, bytes]:
+        """The ids of all spans of ``found``."""
+        table, new, ended = {}, set(), []
+        for s in found:
+            ids = self._known(s)
+            if ids is None:
+                word = s.rstrip(".,")
+                if len(word) < len(s) and word.isalpha():
+                    # a word and the stops after it are pre-tokens of their own
+                    ended.append((s, word))
+                    if self._known(word) is None:
+                        new.add(word)
+                else:
+                    new.add(s)
+            else:
+                table[s] = ids
+        fresh = dict(zip(new, self._ids([" " + s for s in new])))
+        self.young.update(fresh)
+        table.update(fresh)
+        for s, word in ended:
+            stops = s[len(word):]
+            if stops not in self.stops:
+                self.stops[stops] = next(self._ids([stops]))
+            table[s] = self.young[word] + self.stops[stops]
+        return table
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [spans(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        for i in range(0, len(new), ENCODE_AT_ONCE):
-            some = new[i: i + ENCODE_AT_ONCE]
-            for span, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[span] = np.array(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in cut]
+        if len(self.young) > self.most:
+            self.old, self.young, self.stops = self.young, {}, {}
+        get = self._table(set().union(*cut)).__getitem__
+        # a text's first span has no space before it
+        first = self._ids([c[0] for c in cut])
+        return [b"".join([f, *map(get, islice(c, 1, None))]) for f, c in zip(first, cut)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        held, n = [], 0
+        for t in texts:
+            held.append(t)
+            n += len(t)
+            if n >= TEXT_AT_ONCE:
+                yield from self.encode(held)
+                held, n = [], 0
+        yield from self.encode(held)
 
 
 @lru_cache(maxsize=1)
@@ -103,20 +162,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
+        for b in (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            rows: list[list] = [[] for _ in range(5)]
+            parts: list[bytes] = []
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for doc, data in zip(ids, encoder.encode([t or "" for t in texts])):
+            for doc, data in zip(ids, encoder.encode_all([t or "" for t in texts])):
                 data += end
                 for k, (start, n) in enumerate(_cut(len(data) // 4, capacity)):
                     part = data[4 * start: 4 * (start + n)]
-                    for column, value in zip(rows, (doc, k, start, n, zlib.crc32(part), part)):
+                    for column, value in zip(rows, (doc, k, start, n, zlib.crc32(part))):
                         column.append(value)
+                    if with_ids:
+                        parts.append(part)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(rows, types)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                data = np.frombuffer(b"".join(rows[5]), dtype="<u4").astype(np.int32)
+                data = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(rows[3])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(data)))
                 names.append("ids")

@@ -41,7 +41,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GOLAY_GENERATOR = 0b101011100011
 BLOCK = 4096
-HASHES_AT_ONCE = 1 << 16
+HASHES_AT_ONCE = 1 << 14
+ROWS_AT_ONCE = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, hash (of the text), fp (the 64 bits as a signed long) of every row."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fps.view(np.int64))], names=["id", "hash", "fp"])
 
