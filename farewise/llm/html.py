@@ -7,8 +7,10 @@ subtree with the largest sum is the content.  The least density on the way from
 it up to the body is the threshold: other subtrees whose density reaches it and
 whose sum reaches ``share`` of the best belong to the content too.  Where the
 content lies in an ``article``, that whole element is taken.  Elements that are
-no prose by their tag, role, class or id (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments) are neither candidates nor text.
+no prose by their tag or role (menus, headers, footers, scripts) or hidden are
+neither candidates nor text.  So are forms and elements with a class or id that
+names a sidebar, notice, advert, comment or the like, unless the page keeps its
+text in them (see ``settle_marks``); then density decides on them too.
 
 Defined cases: null, empty or tagless input gives its plain text (empty for
 null); an unfinished tag at the end is dropped; unclosed elements end where the
@@ -50,15 +52,25 @@ CLOSED_BY_SAME = {
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 # What marks an element as no prose.
 NO_PROSE_TAGS = frozenset(
-    "head nav footer aside form button select option input menu dialog object embed svg canvas audio video map".split()
+    "head nav footer aside button select option input menu dialog object embed svg canvas audio video map".split()
 ) | RAW
-NO_PROSE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+NO_PROSE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 NO_PROSE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
     "navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations widget pagination pager toolbar".split()
 )
+# A compound name counts only where its other words say nothing of their own ("share-buttons", not "has-share-buttons").
+NEUTRAL_WORDS = frozenset(
+    "area bar block box button buttons container icon icons inner item items left links list right section site slot "
+    "top bottom unit wrap wrapper posts".split()
+)
+# Texts by others, which may well be longer than the article they stand by, and be articles themselves.
+BY_OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply "
+    "replies cookie cookies consent gdpr newsletter related recommended".split()
+)
 NEVER_BY_NAME = frozenset("html body article main".split())
 
 _TOKEN = re.compile(
@@ -73,10 +85,11 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "prose", "chars", "link_chars", "tags", "link_tags", "own", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "prose", "chars", "link_chars", "tags", "link_tags", "own", "density", "sum", "marks",
+                 "said")
 
-    def __init__(self, tag: str, parent: Node | None, prose: bool):
-        self.tag, self.parent, self.prose, self.children = tag, parent, prose, []
+    def __init__(self, tag: str, parent: Node | None, prose: bool, marks: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.prose, self.children, self.marks, self.said = tag, parent, prose, [], marks, 0
         self.chars = self.link_chars = self.tags = self.link_tags = self.own = 0
         self.density = self.sum = 0.0
 
@@ -94,11 +107,25 @@ def _is_prose(tag: str, attributes: str, in_article: bool) -> bool:
             return False
         if name == "role" and value.lower() in NO_PROSE_ROLES:
             return False
-        if name in ("class", "id") and not NO_PROSE_WORDS.isdisjoint(w.lower() for w in _NAME_WORD.findall(value)):
-            return False
     return True
 
 
+def _marks(tag: str, attributes: str) -> frozenset[str]:
+    """The words by which an element may be no prose: of its whole class and id names, and "form"."""
+    found = {"form"} if tag == "form" else set()
+    if attributes and tag not in NEVER_BY_NAME:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values)
+            if name == "role" and value.lower() == "form":
+                found.add("form")
+            if name in ("class", "id"):
+                for token in value.split():
+                    words = {w.lower() for w in _NAME_WORD.findall(token) if not w.isdigit()}
+                    if words <= NO_PROSE_WORDS | NEUTRAL_WORDS:
+                        found |= words & NO_PROSE_WORDS
+    return frozenset(found)
+
+
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
     """The root, the text blocks (node, text) in page order, and all nodes, parents first."""
     root = Node("#root", None, True)
@@ -189,11 +216,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
             continue
         in_article = "article" in tags or "main" in tags
         prose = node.prose and _is_prose(tag, m[3], in_article)
-        if tag in INLINE and prose == node.prose:
+        marks = _marks(tag, m[3]) if prose else frozenset()
+        if tag in INLINE and prose == node.prose and not marks:
             stack.append(node)
         else:
             flush()
-            child = Node(tag, node, prose)
+            child = Node(tag, node, prose, marks)
             node.children.append(child)
             nodes.append(child)
             stack.append(child)
@@ -203,6 +231,71 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
     return root, blocks, nodes
 
 
+def settle_marks(nodes: list[Node]) -> None:
+    """Decides which marked elements are no prose, from the text outside of links that they hold.
+
+    A mark says nothing where the elements with it hold over half of the text of the
+    page (or of the article or main element they lie in), where all h1, article or main
+    elements of the page lie in marked elements (one that holds any is prose), and where
+    marks would leave no text.  Beside an article of the page's own, texts by others
+    stay out however long they are.  Comes before the counts of children are added to their parents."""
+    if not any(n.marks for n in nodes):
+        return
+    for n in nodes:
+        n.said = n.own - n.link_chars if n.prose else 0
+    for n in reversed(nodes):  # children before parents
+        if n.parent is not None:
+            n.parent.said += n.said
+    none: frozenset[str] = frozenset()
+    # by node: nearest article or main; marks from there down to it; all marks down to it
+    scope, words, under = {}, {}, {}
+    held: dict[tuple[int, str], int] = {}
+    for n in nodes:  # parents first
+        up = id(n.parent)
+        if n.parent is None or n.tag in ("article", "main"):
+            scope[id(n)], words[id(n)] = n, none
+        else:
+            scope[id(n)], words[id(n)] = scope[up], words[up]
+        above = under.get(up, none)
+        under[id(n)] = above if n.marks <= above else above | n.marks
+        if new := n.marks - words[id(n)]:
+            words[id(n)] = words[id(n)] | new
+            for w in new:
+                key = (id(scope[id(n)]), w)
+                held[key] = held.get(key, 0) + n.said
+    anchors = [n for n in nodes if n.prose and n.said and n.tag in ("h1", "article", "main")]
+    freed: set[tuple[int, str]] = set()
+    for kind in ("h1", "article", "main"):
+        some = [n for n in anchors if n.tag == kind]
+        if all(under[id(n)] for n in some):
+            for n in some:
+                while n is not None and (id(n), kind) not in freed:
+                    freed.add((id(n), kind))
+                    n = n.parent
+    placed = any(n.tag != "h1" and under[id(n)].isdisjoint(BY_OTHERS) for n in anchors)
+
+    def holds(n: Node) -> bool:
+        """Whether a mark of ``n`` stands."""
+        if (id(n), "h1") in freed or (id(n), "main") in freed:
+            return False
+        at = scope[id(n)]
+        for w in n.marks:
+            others = w in BY_OTHERS
+            if (id(n), "article") in freed and not others:
+                continue
+            if 2 * held.get((id(at), w), 0) <= at.said or (others and placed and at.parent is None):
+                return True
+        return False
+
+    out = {id(n) for n in nodes if n.marks and holds(n)}
+    prose = {}
+    for n in nodes:
+        prose[id(n)] = n.prose and id(n) not in out and (n.parent is None or prose[id(n.parent)])
+    if any(prose[id(n)] and n.own > n.link_chars for n in nodes):
+        for n in nodes:
+            n.prose = prose[id(n)]
+
+
 def composite_density(n: Node, body_ratio: float) -> float:
     """Characters per tag, times the log (to a base that grows with the link text) of
     characters per link character and tags per link tag; empty denominators count as 1."""
@@ -216,6 +309,7 @@ def composite_density(n: Node, body_ratio: float) -> float:
 def main_text(html: str | None, share: float = SHARE) -> str:
     """The main text of a page: its blocks joined by line breaks."""
     root, blocks, nodes = parse(html or "")
+    settle_marks(nodes)
     for n in reversed(nodes):  # children before parents
         if n.parent is not None:
             p = n.parent

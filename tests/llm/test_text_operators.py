@@ -62,6 +62,37 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+PROSE = "<p>The first long paragraph of the text, with enough words.</p><p>The second one, also with enough words.</p>"
+PLAIN = "The first long paragraph of the text, with enough words.\nThe second one, also with enough words."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<nav><a href=/>Home</a></nav><div class='content no-sidebar'>{PROSE}</div><div class='sidebar'><p>Other things</p></div>", PLAIN),
+        (f"<div class='elementor-widget'>{PROSE}</div><div class='ad'>Buy</div>", PLAIN),
+        (f"<div class='widget'>{PROSE}</div><div class='sidebar'>Recent</div>", PLAIN),
+        ("".join(f"<div class='widget'><p>{x}</p></div>" for x in PLAIN.split("\n")) + "<div class='ad'>Buy</div>", PLAIN),
+        (
+            f"<article><h1>Title</h1><div class='entry has-share-buttons'>{PROSE}</div><div class='share'>Share</div></article>",
+            f"Title\n{PLAIN}",
+        ),
+        (f"<article><h1>Title</h1><div class='share'>{PROSE}</div><div class='related'>More</div></article>", f"Title\n{PLAIN}"),
+        (
+            f"<form action=/p><div class='menu'>Home</div><div id=c>{PROSE}</div><div class='sidebar'><p>Other things</p></div>"
+            "</form><form><p>Sign up</p></form>",
+            PLAIN,
+        ),
+        (f"<div role=form class='alert'><main>{PROSE}</main></div><div class='sidebar'><p>Other things</p></div>", PLAIN),
+        # texts by others stay out beside an article, also where they are longer
+        (f"<article>{PROSE}</article><section class='comments'><article>{PROSE}</article><article>{PROSE}</article></section>", PLAIN),
+        (f"<article>{PROSE}</article><div class='ad'>{PROSE}{PROSE}</div>", PLAIN),
+    ],
+)
+def test_marks_give_way_to_the_text_of_the_page(body, text):
+    assert main_text(f"<html><body>{body}</body></html>") == text
+
+
 def test_deep_and_broken_pages_end():
     assert main_text("<div>" * 20_000 + "deep" + "</p>" * 5) == "deep"
     assert main_text("<a title=\"" * 2_000 + "x") is not None
