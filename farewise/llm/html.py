@@ -4,9 +4,9 @@ The page is read into a tree of its block elements.  For every node the
 composite text density is its characters per tag, scaled down as its share of
 link text grows; a node's density sum adds the densities of its children.  The
 subtree with the largest sum is the content.  The least density on the way from
-it up to the body is the threshold: other subtrees whose density reaches it and
-whose sum reaches ``share`` of the best belong to the content too.  Where the
-content lies in an ``article``, that whole element is taken.  Elements that are
+it up to the body is the threshold: all other subtrees whose density reaches it
+belong to the content too.  Of an ``article`` that holds content the whole element
+is taken.  Elements that are
 no prose by their tag or role (menus, headers, footers, scripts) or hidden are
 neither candidates nor text.  So are forms and elements with a class or id that
 names a sidebar, notice, advert, comment or the like, unless the page keeps its
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from farewise.llm.common import pick
 
-SHARE = 0.5
 # Log bases below this count as this: pages without any link have base 1.
 LEAST_BASE = 1.1
 
@@ -306,7 +305,7 @@ def composite_density(n: Node, body_ratio: float) -> float:
     return n.chars / max(1, n.tags) * max(0.0, math.log(ratio) / math.log(max(base, LEAST_BASE)))
 
 
-def main_text(html: str | None, share: float = SHARE) -> str:
+def main_text(html: str | None) -> str:
     """The main text of a page: its blocks joined by line breaks."""
     root, blocks, nodes = parse(html or "")
     settle_marks(nodes)
@@ -329,14 +328,18 @@ def main_text(html: str | None, share: float = SHARE) -> str:
     while n is not None:
         path.append(n)
         n = n.parent if n is not body else None
+    on_path = {id(n) for n in path}
     threshold = min(n.density for n in path)
     chosen = {id(best)}
     for n in candidates:
-        if n not in path and n.density >= threshold and n.sum >= share * best.sum:
+        if id(n) not in on_path and n.density >= threshold:
             chosen.add(id(n))
-    articles = [n for n in path if n.tag == "article"]
-    if articles:
-        chosen = {id(articles[-1])}
+    holding: set[int] = set()
+    for n in reversed(nodes):  # children before parents
+        if id(n) in chosen or id(n) in holding:
+            holding.add(id(n.parent))
+            if n.tag == "article":
+                chosen.add(id(n))
     inside: set[int] = set()
     for n in nodes:  # parents first
         if id(n) in chosen or (n.parent is not None and id(n.parent) in inside):
@@ -344,13 +347,12 @@ def main_text(html: str | None, share: float = SHARE) -> str:
     return "\n".join(text for node, text in blocks if node.prose and id(node) in inside)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      share: float = SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points)."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, share) for h in b.column("html").to_pylist()]
+            texts = [main_text(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

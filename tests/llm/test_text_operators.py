@@ -93,6 +93,14 @@ def test_marks_give_way_to_the_text_of_the_page(body, text):
     assert main_text(f"<html><body>{body}</body></html>") == text
 
 
+def test_all_sections_that_reach_the_threshold_stay():
+    many, few = ([f"{i:03}" + "x" * (n - 3) for i in range(k)] for n, k in ((200, 10), (400, 2)))
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in (many, few))
+    assert main_text(f"<body><div>{first}</div><div>{second}</div></body>") == "\n".join([*many, *few])
+    page = f"<body><article><h1>One</h1>{first}</article><article><h1>Two</h1>{second}</article></body>"
+    assert main_text(page) == "\n".join(["One", *many, "Two", *few])
+
+
 def test_deep_and_broken_pages_end():
     assert main_text("<div>" * 20_000 + "deep" + "</p>" * 5) == "deep"
     assert main_text("<a title=\"" * 2_000 + "x") is not None
