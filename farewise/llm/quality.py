@@ -4,13 +4,17 @@ The content view sees a text's byte trigrams (hashed) and how much its words
 repeat.  The metadata view sees language, source, stated length and the page's
 character and line statistics.  Both are logistic models.
 
-Rounds: each view scores a pool of unlabelled documents and hands the ones it is
-surest of, of both classes, to the other view's training set.  A third of the
-labelled sample is never trained on; on it the views are calibrated and combined
-by a logistic model of their two margins.  Every document is then scored.
-
-Fitting uses a bounded sample: at most ``labelled`` labelled rows and ``pool``
-unlabelled ones, chosen by a hash of the id.  Scoring reads whole texts and all rows.
+Rounds: each view scores all documents outside the labelled sample and hands the
+``share`` of them that it is surest of, of both classes and of every source and
+language, to the other view's training set.  A row's place in the rounds follows
+from its own views and the models and limits of the rounds before, so nothing is
+joined; the views of the rows handed over are landed and fitted on in Spark, by
+gradient sums.  A third of the labelled sample is never trained on; on it the views
+are calibrated and combined by a logistic model of their two margins.  Every
+document is then scored.
+
+Only the labelled sample is bounded: at most ``labelled`` rows, chosen by a hash of
+the id.  Labels beyond it are not used; their documents count as unlabelled.
 
 Defined cases: null or empty text, language, source and length are values of
 their own; labels that are null, or name no document, are ignored; with a single
@@ -22,26 +26,32 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farewise.llm.common import pick, position
+from farewise.llm.common import land, parts, pick, position, union_all
 
 LABELLED = 2400
-POOL = 1600
 ROUNDS = 3
-PER_ROUND = 100
+SHARE = 1 / 16  # of a source and language, handed over by a view in a round
 THRESHOLD = 0.5
 CONTENT_SLOTS = 1 << 12
 METADATA_SLOTS = 1 << 10
 SEED = 29
 EPOCHS = 80
+MORE_EPOCHS = 20  # of each round, from where the last one ended
+STRATA = 1 << 16  # hash values of (source, language)
+SURE = 1.0  # a view of a lesser margin has no opinion to hand over
+STEPS, TOP = 8, 255  # limits lie in steps of a margin; the last step is open
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_content", "p_metadata", "score")])
 
@@ -95,29 +105,42 @@ def metadata_view(text: str | None, lang: str | None, source: str | None, n_char
 
 @dataclass
 class Logistic:
-    """Logistic regression, fitted by full-batch Adagrad; both classes weigh the same."""
+    """A logistic model's margin."""
 
     weights: np.ndarray
     bias: float
 
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, decay: float = 1e-4) -> Logistic:
-        each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
-        seen_w, seen_b = np.full(x.shape[1], 1e-8), 1e-8
-        for _ in range(epochs):
-            err = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * each
-            gw, gb = err.astype(np.float32) @ x + decay * w, float(err.sum())
-            seen_w += gw * gw
-            seen_b += gb * gb
-            w -= (0.5 * gw / np.sqrt(seen_w)).astype(np.float32)
-            b -= 0.5 * gb / np.sqrt(seen_b)
-        return Logistic(w, float(b))
-
     def margin(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
 
 
+class Adagrad:
+    """Logistic regression by full-batch Adagrad, which can go on with more rows; both classes weigh the same."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, decay: float = 1e-4):
+        self.x, self.y, self.decay = x, y, decay
+        self.w, self.b = np.zeros(x.shape[1], dtype=np.float32), 0.0
+        self.seen_w, self.seen_b = np.full(x.shape[1], 1e-8), 1e-8
+
+    def weigh(self, more: tuple[int, int] = (0, 0)) -> tuple[float, float]:
+        """A row's weight by class, with so many rows of each class besides the own ones."""
+        return tuple(0.5 / max(1, int((self.y == c).sum()) + more[c]) for c in (0, 1))
+
+    def step(self, each: tuple[float, float], gradient: np.ndarray | None = None) -> None:
+        """One epoch; ``gradient``: that of other rows (last: bias)."""
+        err = (1 / (1 + np.exp(-np.clip(self.x @ self.w + self.b, -30, 30))) - self.y) * np.where(self.y == 1, each[1], each[0])
+        gw, gb = err.astype(np.float32) @ self.x + self.decay * self.w, float(err.sum())
+        if gradient is not None:
+            gw, gb = gw + gradient[:-1], gb + float(gradient[-1])
+        self.seen_w += gw * gw
+        self.seen_b += gb * gb
+        self.w -= (0.5 * gw / np.sqrt(self.seen_w)).astype(np.float32)
+        self.b -= 0.5 * gb / np.sqrt(self.seen_b)
+
+    def model(self) -> Logistic:
+        return Logistic(self.w.copy(), float(self.b))
+
+
 def _platt(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     """Coefficients (last: bias) of a lightly regularised logistic model of the columns of ``x``, by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -160,40 +183,163 @@ def _views(rows: list[tuple]) -> list[np.ndarray]:
     return [content, metadata]
 
 
-def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained:
-    """``labelled``: (y, text, lang, source, n_chars); ``pool``: the same without y."""
+def _pack(x: np.ndarray) -> bytes:
+    """A sparse vector: its places (two bytes each), then their values (four bytes each)."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float32).tobytes()
+
+
+def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and value of all entries of sparse vectors."""
+    sizes = [len(b) // 6 for b in packed]
+    at = [np.frombuffer(b, np.uint16, n) for b, n in zip(packed, sizes)]
+    values = [np.frombuffer(b, np.float32, n, 2 * n) for b, n in zip(packed, sizes)]
+    return np.repeat(np.arange(len(packed)), sizes), np.concatenate(at).astype(np.int64), np.concatenate(values)
+
+
+@dataclass
+class Round:
+    """Both views' models and, by 4 * stratum + 2 * view + class, the least step taken and the share of its rows."""
+
+    models: tuple[Logistic, Logistic]
+    limits: dict[int, tuple[int, float]] | None = None
+
+    def sides(self, views: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+        """For each view that has an opinion: 2 * view + class, and the step of its margin."""
+        margins = [float(m.margin(x)) for m, x in zip(self.models, views)]
+        return [(2 * v + (m > 0), min(TOP, int(abs(m) * STEPS))) for v, m in enumerate(margins) if abs(m) >= SURE]
+
+    def taken(self, views: tuple[np.ndarray, np.ndarray], stratum: int, turn: float) -> list[int]:
+        """The sides (2 * view + class) by which a row is handed over; ``turn``: its place among its like, 0 to 1."""
+        out = []
+        for side, step in self.sides(views):
+            least, part = self.limits.get(4 * stratum + side, (-1, 0.0))
+            if step > least or (step == least and turn < part):
+                out.append(side)
+        return out
+
+
+def _left(batches: Iterator[pa.RecordBatch], past: list[Round]) -> Iterator[list[tuple]]:
+    """Views, stratum and turn of the rows that no past round has taken, by batch."""
+    for b in batches:
+        rows = []
+        for text, lang, source, n_chars, stratum, turn in zip(*(c.to_pylist() for c in b.columns)):
+            n_chars = None if n_chars is None or n_chars != n_chars else n_chars
+            views = content_view(text), metadata_view(text, lang, source, n_chars)
+            if not any(r.taken(views, stratum, turn) for r in past):
+                rows.append((views, stratum, turn))
+        yield rows
+
+
+def _limits(pool: DataFrame, past: list[Round], now: Round, share: float, good: float) -> dict[int, tuple[int, float]]:
+    """What to take so that every stratum gives its ``share``, split by class as ``good``, of the rows left."""
+    shared = pool.sparkSession.sparkContext.broadcast((past, now))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, now = shared.value
+        for rows in _left(batches, past):
+            n = Counter((s, side, step) for views, s, _ in rows for side, step in now.sides(views))
+            n.update((s, -1, 0) for _, s, _ in rows)
+            yield pa.RecordBatch.from_pydict(
+                {"stratum": pa.array([k[0] for k in n], pa.int32()), "side": pa.array([k[1] for k in n], pa.int32()),
+                 "step": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(n.values(), pa.int64())}
+            )
+
+    kinds = "stratum int, side int, step int, n long"
+    seen = pool.mapInArrow(count, kinds).groupBy("stratum", "side", "step").agg(F.sum("n").alias("n"))
+    # at most 4 * (TOP + 1) + 1 rows a stratum
+    by = Window.partitionBy("stratum")
+    upward = Window.partitionBy("stratum", "side").orderBy(F.desc("step"))
+    of_class = F.when(F.col("side") % 2 == 1, good).otherwise(1 - good)
+    found = (
+        seen.withColumn("all", F.sum(F.when(F.col("side") < 0, F.col("n"))).over(by))
+        .filter("side >= 0")
+        .withColumn("upto", F.sum("n").over(upward))
+        .withColumn("want", F.ceil(F.col("all") * share * of_class))
+        .filter("upto >= want and upto - n < want")
+        .select("stratum", "side", "step", ((F.col("want") - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))
+    )
+    return {4 * r["stratum"] + r["side"]: (r["step"], r["part"]) for r in found.collect()}  # at most 4 * STRATA rows
+
+
+def _handed(pool: DataFrame, past: list[Round], now: Round) -> DataFrame:
+    """The rows taken in this round: the view that learns from them, their label and that view's vector, landed."""
+    shared = pool.sparkSession.sparkContext.broadcast((past, now))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, now = shared.value
+        for rows in _left(batches, past):
+            out = [(1 - side // 2, side % 2, views) for views, s, turn in rows for side in now.taken(views, s, turn)]
+            yield pa.RecordBatch.from_pydict(
+                {"view": pa.array([v for v, _, _ in out], pa.int32()), "y": pa.array([y for _, y, _ in out], pa.int32()),
+                 "x": pa.array([_pack(views[v]) for v, _, views in out], pa.binary())}
+            )
+
+    return land(pool.mapInArrow(take, "view int, y int, x binary"), "handed")
+
+
+def _gradients(given: DataFrame, models: list[Logistic], each: list[tuple[float, float]]) -> list[np.ndarray]:
+    """Both views' gradients (last: bias) over the rows given to them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(m.weights) + 1) for m in models]
+        for b in batches:
+            views, ys, xs = b.column("view").to_numpy(), b.column("y").to_numpy(), b.column("x").to_pylist()
+            for v, m in enumerate(models):
+                mine = np.flatnonzero(views == v)
+                if not len(mine):
+                    continue
+                row, at, value = _unpack([xs[i] for i in mine])
+                z = np.bincount(row, value * m.weights[at], len(mine)) + m.bias
+                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - ys[mine]) * np.where(ys[mine] == 1, each[v][1], each[v][0])
+                total[v][:-1] += np.bincount(at, value * err[row], len(m.weights))
+                total[v][-1] += err.sum()
+        yield pa.RecordBatch.from_pydict({"g": pa.array([np.concatenate(total).tobytes()], pa.binary())})
+
+    sums = [np.frombuffer(r["g"]) for r in given.mapInArrow(add, "g binary").collect()]  # one row per task
+    whole = np.sum(sums, axis=0) if sums else np.zeros(sum(len(m.weights) + 1 for m in models))
+    return np.split(whole, [len(models[0].weights) + 1])
+
+
+def co_train(labelled: list[tuple], pool: DataFrame | None, rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
+    """``labelled``: (y, content view, metadata view); ``pool``: text, lang, source,
+    n_chars, stratum (hash of source and language) and turn (hash from 0 to 1) of all other rows, or none."""
     if len({r[0] for r in labelled}) < 2:
         return CoTrained(None, None, None, float(labelled[0][0]) if labelled else 1.0)
     y = np.array([r[0] for r in labelled], dtype=np.float64)
-    known, free = _views([r[1:] for r in labelled]), _views(pool)
+    known = [np.stack([r[1 + v] for r in labelled]) for v in (0, 1)]
     # every third row of each class is held out
     held = np.zeros(len(y), dtype=bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::3]] = True
     if len(set(y[~held])) < 2:
         held[:] = False
-    share = y[~held].mean()
-    low, high = max(1, round(per_round * (1 - share))), max(1, round(per_round * share))
-    # pool rows given to each view, with their labels
-    given: list[list[int]] = [[], []]
-    said: list[list[float]] = [[], []]
-    left = np.arange(len(pool))
-    for turn in range(rounds + 1):
-        models = [
-            Logistic.fit(np.concatenate([known[v][~held], free[v][given[v]]]), np.concatenate([y[~held], said[v]]))
-            for v in (0, 1)
-        ]
-        if turn == rounds or not len(left):
+    fits = [Adagrad(x[~held], y[~held]) for x in known]
+    for f in fits:
+        each = f.weigh()
+        for _ in range(EPOCHS):
+            f.step(each)
+    past: list[Round] = []
+    handed: list[DataFrame] = []
+    counts = {(v, c): 0 for v in (0, 1) for c in (0, 1)}
+    for _ in range(rounds if pool is not None else 0):
+        now = Round(tuple(f.model() for f in fits))
+        now.limits = _limits(pool, past, now, share, float(y[~held].mean()))
+        got = _handed(pool, past, now)
+        new = {(r["view"], r["y"]): r["count"] for r in got.groupBy("view", "y").count().collect()}
+        if not new:
             break
-        taken = []
-        for v in (0, 1):
-            margins = models[v].margin(free[v][left])
-            order = np.argsort(margins, kind="stable")
-            bad, good = [i for i in order[:low] if margins[i] < 0], [i for i in order[-high:] if margins[i] > 0]
-            given[1 - v] += left[bad].tolist() + left[good].tolist()
-            said[1 - v] += [0.0] * len(bad) + [1.0] * len(good)
-            taken += bad + good
-        left = np.delete(left, taken)
+        past.append(now)
+        handed.append(got)
+        for k, n in new.items():
+            counts[k] += n
+        given = union_all(handed)
+        given = given.coalesce(parts(given))
+        each = [f.weigh((counts[v, 0], counts[v, 1])) for v, f in enumerate(fits)]
+        for _ in range(MORE_EPOCHS):
+            for f, e, g in zip(fits, each, _gradients(given, [f.model() for f in fits], each)):
+                f.step(e, g)
+    models = [f.model() for f in fits]
     check = held if held.any() else ~held
     margins = np.column_stack([models[v].margin(known[v][check]) for v in (0, 1)]).astype(np.float64)
     return CoTrained(
@@ -214,8 +360,8 @@ def _columns(docs: DataFrame, names: dict[str, str]) -> dict[str, Column]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-        labelled: int = LABELLED, pool: int = POOL, seed: int = SEED, **columns: str) -> CoTrained:
-    """The classifier, from bounded samples of labelled and unlabelled documents."""
+        labelled: int = LABELLED, seed: int = SEED, **columns: str) -> CoTrained:
+    """The classifier, from a bounded sample of labelled documents and all others."""
     wanted = {"id": id_col, "text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars"} | columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     rows = plain.select(*[c.alias(n) for n, c in _columns(docs, wanted).items()])
@@ -223,14 +369,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     marks = marks.groupBy("id").agg(F.min(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     turn = F.xxhash64(F.lit(seed), F.col("id").cast("long"))
     some = marks.join(rows.select("id"), "id", "left_semi").orderBy(turn, "id").limit(labelled)  # at most ``labelled`` rows
-    free = rows.select("id").filter("id is not null").join(marks.select("id"), "id", "left_anti").orderBy(turn, "id").limit(pool)
-    chosen = some.select("id", "y").unionByName(free.select("id", F.lit(-1).alias("y")).distinct())
+    chosen = some.select("id", "y")
     got = rows.join(F.broadcast(chosen), "id").select("id", "y", "text", "lang", "source", "n_chars").collect()
     first = {}
     for r in sorted(got, key=lambda r: (r["id"], r["text"] or "")):
         first.setdefault(r["id"], r)
     values = [tuple(r)[1:] for r in first.values()]
-    return co_train([r for r in values if r[0] >= 0], [r[1:] for r in values if r[0] < 0])
+    vectors = zip(*_views([r[1:] for r in values]))
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(i,) for i in first], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))
+    like = F.xxhash64(F.lit(seed), F.col("id").cast("long"), "text")
+    others = rows.join(F.broadcast(ids), "id", "left_anti").select(
+        F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"),
+        F.pmod(F.xxhash64("source", F.lit(0), "lang"), F.lit(STRATA)).cast("int").alias("stratum"),
+        (F.shiftrightunsigned(like, 11) / float(1 << 53)).alias("turn"),
+    )
+    return co_train([(r[0], a, b) for r, (a, b) in zip(values, vectors)], others)
 
 
 def scored(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD, **columns: str) -> DataFrame:

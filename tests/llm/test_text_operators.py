@@ -16,7 +16,7 @@ from edge import ROWS, documents, edge_docs, empty_docs
 from farewise.llm.html import extract_main_text, main_text
 from farewise.llm.licenses import CONTAINMENT, collision_probability, scan
 from farewise.llm.lm import score_documents
-from farewise.llm.quality import classify, co_train, keep_quality
+from farewise.llm.quality import SEED, classify, co_train, content_view, fit, keep_quality, metadata_view
 from farewise.llm.search import top_k
 from farewise.llm.templates import LICENSES
 
@@ -313,6 +313,24 @@ def test_quality_edge_cases(spark):
     assert co_train([], []).constant == 1.0
 
 
+@pytest.mark.parametrize("known_ids", [True, False])
+def test_exchange_reaches_rare_unlabelled_documents(spark, known_ids):
+    rng = random.Random(3)
+    some = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    good, bad, rare = "the house and garden were green".split(), "buy cheap pills now online".split(), "qzx xqzz zqxq".split()
+    # the last ones in the order of the labelled sample's hash
+    ids = [r[0] for r in spark.range(200, 2600).selectExpr("id", f"xxhash64({SEED}, id) AS h").orderBy("h").collect()]
+    rows = [(i, some((bad, good)[i % 2]), "en", ("spam", "a")[i % 2], 200) for i in [*range(200), *ids[:-40]]]
+    rows += [(i if known_ids else None, some(rare), "xx", "spam", 200) for i in ids[-40:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    # told by the source alone, learned by the text's view
+    seen, unseen = (model.content.margin(content_view(some(words))) for words in (rare, "wvj jvww vwjw".split()))
+    assert seen < unseen - 0.5
+    assert model.metadata.margin(metadata_view(some(rare), "xx", "spam", 200)) < 0
+
+
 # --- pipeline -------------------------------------------------------------------
 
 
