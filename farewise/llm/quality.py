@@ -29,12 +29,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,7 @@ STEPS, TOP = 8, 255  # limits lie in steps of a margin; the last step is open
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_content", "p_metadata", "score")])
 
 
+@lru_cache(maxsize=1 << 14)
 def _slot(name: str, slots: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % slots
 
@@ -174,27 +176,53 @@ class CoTrained:
         return tuple(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))) for z in margins)
 
 
-def _views(rows: list[tuple]) -> list[np.ndarray]:
-    """Both views of (text, lang, source, n_chars) rows."""
-    content = np.zeros((len(rows), CONTENT_SLOTS), dtype=np.float32)
-    metadata = np.zeros((len(rows), METADATA_SLOTS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        content[i], metadata[i] = content_view(r[0]), metadata_view(*r)
-    return [content, metadata]
+ENTRY = np.dtype([("at", "<u2"), ("value", "<f4")])
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """A sparse vector: its places (two bytes each), then their values (four bytes each)."""
+    """A sparse vector: place and value of each entry."""
     at = np.flatnonzero(x)
-    return at.astype(np.uint16).tobytes() + x[at].astype(np.float32).tobytes()
+    out = np.empty(len(at), dtype=ENTRY)
+    out["at"], out["value"] = at, x[at]
+    return out.tobytes()
 
 
 def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and value of all entries of sparse vectors."""
-    sizes = [len(b) // 6 for b in packed]
-    at = [np.frombuffer(b, np.uint16, n) for b, n in zip(packed, sizes)]
-    values = [np.frombuffer(b, np.float32, n, 2 * n) for b, n in zip(packed, sizes)]
-    return np.repeat(np.arange(len(packed)), sizes), np.concatenate(at).astype(np.int64), np.concatenate(values)
+    entries = np.frombuffer(b"".join(packed), dtype=ENTRY)
+    row = np.repeat(np.arange(len(packed)), [len(b) // ENTRY.itemsize for b in packed])
+    return row, entries["at"].astype(np.int64), entries["value"].astype(np.float32)
+
+
+def _dense(packed: bytes, slots: int) -> np.ndarray:
+    out = np.zeros(slots, dtype=np.float32)
+    _, at, values = _unpack([packed])
+    out[at] = values
+    return out
+
+
+def _vectors(rows: DataFrame) -> list[Row]:
+    """id, y and both views' vectors, made in the tasks; of rows with one id the one whose hash is least."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content, metadata = [], []
+            for text, lang, source, n_chars in zip(*(b.column(n).to_pylist() for n in ("text", "lang", "source", "n_chars"))):
+                n_chars = None if n_chars is None or n_chars != n_chars else n_chars
+                content.append(_pack(content_view(text)))
+                metadata.append(_pack(metadata_view(text, lang, source, n_chars)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("y"), b.column("h"), pa.array(content, pa.binary()), pa.array(metadata, pa.binary())],
+                names=["id", "y", "h", "content", "metadata"],
+            )
+
+    slim = rows.select(
+        "id", F.col("y").cast("int").alias("y"), F.xxhash64("text", "lang", "source", "n_chars").alias("h"),
+        F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"),
+    )
+    kinds = T.StructType([*slim.schema.fields[:3], T.StructField("content", T.BinaryType()), T.StructField("metadata", T.BinaryType())])
+    one = slim.mapInArrow(per_batch, kinds).groupBy("id").agg(F.min(F.struct("h", "y", "content", "metadata")).alias("r"))
+    return sorted(one.select("id", "r.*").collect(), key=lambda r: r["id"])  # at most ``labelled`` rows of bounded size
 
 
 @dataclass
@@ -369,22 +397,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     marks = marks.groupBy("id").agg(F.min(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     turn = F.xxhash64(F.lit(seed), F.col("id").cast("long"))
     some = marks.join(rows.select("id"), "id", "left_semi").orderBy(turn, "id").limit(labelled)  # at most ``labelled`` rows
-    chosen = some.select("id", "y")
-    got = rows.join(F.broadcast(chosen), "id").select("id", "y", "text", "lang", "source", "n_chars").collect()
-    first = {}
-    for r in sorted(got, key=lambda r: (r["id"], r["text"] or "")):
-        first.setdefault(r["id"], r)
-    values = [tuple(r)[1:] for r in first.values()]
-    vectors = zip(*_views([r[1:] for r in values]))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in first], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))
+    sample = _vectors(rows.join(F.broadcast(some.select("id", "y")), "id"))
+    ids = docs.sparkSession.createDataFrame([(r["id"],) for r in sample], T.StructType([T.StructField("id", rows.schema["id"].dataType)]))
     like = F.xxhash64(F.lit(seed), F.col("id").cast("long"), "text")
     others = rows.join(F.broadcast(ids), "id", "left_anti").select(
         F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"),
         F.pmod(F.xxhash64("source", F.lit(0), "lang"), F.lit(STRATA)).cast("int").alias("stratum"),
         (F.shiftrightunsigned(like, 11) / float(1 << 53)).alias("turn"),
     )
-    return co_train([(r[0], a, b) for r, (a, b) in zip(values, vectors)], others)
+    return co_train([(r["y"], _dense(r["content"], CONTENT_SLOTS), _dense(r["metadata"], METADATA_SLOTS)) for r in sample], others)
 
 
 def scored(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD, **columns: str) -> DataFrame:

@@ -331,6 +331,20 @@ def test_exchange_reaches_rare_unlabelled_documents(spark, known_ids):
     assert model.metadata.margin(metadata_view(some(rare), "xx", "spam", 200)) < 0
 
 
+def test_no_text_of_the_labelled_sample_reaches_the_driver(spark, monkeypatch):
+    # one id over many rows with long texts
+    rows = [(i % 20, f"{'the house' if i % 2 else 'cheap pills'} {i} " * 2000, "en", "a", 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    model = fit(docs, labels)
+    monkeypatch.undo()
+    by_id = [r for r in sent if r and "id" in r[0].asDict()]
+    assert [len(r) for r in by_id] == [20] and all("text" not in r[0].asDict() for r in sent if r)
+    assert model.score(rows[1][1], "en", "a", 9)[0] > 0.5 > model.score(rows[0][1], "en", "a", 9)[0]
+
+
 # --- pipeline -------------------------------------------------------------------
 
 
