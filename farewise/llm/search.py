@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over a sharded inverted index with block-max WAND pruning.
+"""Exact top-k search: BM25 over a sharded inverted index, frequent terms pruned by block maxima.
 
 Documents are dealt into shards of about ``SHARD_DOCS``; each shard's inverted
 index (terms, postings, term frequencies, lengths; documents ordered by their
