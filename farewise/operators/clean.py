@@ -24,9 +24,23 @@ def to_wall_clock(df: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
     return df.withColumns({c: wall_clock(c, zone) for c in instants}) if instants else df
 
 
+# What ``clean_trips`` leaves: the derived columns, and the two it casts, with their types.
+CLEAN_COLUMNS = {
+    "pickup_hour": T.IntegerType(), "dropoff_hour": T.IntegerType(), "pickup_minute": T.IntegerType(),
+    "passenger_count": T.IntegerType(), "trip_distance": T.FloatType(),
+}
+
+
 def is_clean(df: DataFrame) -> bool:
-    """Whether ``df`` went through ``clean_trips`` (it then has ``pickup_minute``)."""
-    return "pickup_minute" in df.columns
+    """Whether ``df`` looks like what ``clean_trips`` returns: all its derived columns with
+    their types, every cast column that is still there with its type, and local times."""
+    types = {f.name: f.dataType for f in df.schema}
+    derived = ("pickup_hour", "dropoff_hour", "pickup_minute")
+    if any(types.get(c) != CLEAN_COLUMNS[c] for c in derived):
+        return False
+    if any(c in types and types[c] != t for c, t in CLEAN_COLUMNS.items()):
+        return False
+    return not any(isinstance(types.get(c), T.TimestampType) for c in TIME_COLUMNS)
 
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

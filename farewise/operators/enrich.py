@@ -20,14 +20,14 @@ def attach_zones(
     return join_dimension(trips, dim, "pulocationid", "locationid", how, salt_buckets)
 
 
-def _normalise_borough(c: Column) -> Column:
+def normalise_borough(c: Column) -> Column:
     # A leading "the " is dropped on both sides, so "The Bronx" matches "Bronx".
     return F.regexp_replace(F.lower(F.trim(c)), r"^the\s+", "")
 
 
 def borough_matches(col: Column | str, borough: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return _normalise_borough(c) == _normalise_borough(F.lit(borough))
+    return normalise_borough(c) == normalise_borough(F.lit(borough))
 
 
 def filter_borough(df: DataFrame, borough: str | None, col: str = "borough") -> DataFrame:

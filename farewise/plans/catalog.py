@@ -13,9 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farewise.fixtures import USER_LAT, USER_LONG, raw_trips, raw_zones
+from farewise.fixtures import (
+    CENTRES_FX,
+    GLOBE_CENTRES_FX,
+    GLOBE_USERS_FX,
+    OVERLAP_FX,
+    POINTS_FX,
+    RECORDS_FX,
+    REQUESTS_FX,
+    STARTS_FX,
+    USER_LAT,
+    USER_LONG,
+    raw_trips,
+    raw_zones,
+    stand_in,
+)
 from farewise.functions.geo import haversine_miles, register_sql_functions
 from farewise.functions.price import expected_price
+from farewise.operators.account import drop_account, quarantined
 from farewise.operators.clean import clean_trips, drop_incomplete
 from farewise.operators.kmeans import assemble_features, model_centres
 from farewise.operators.enrich import attach_zones, filter_borough, with_point
@@ -25,7 +40,10 @@ from farewise.operators.explore import (
     trips_per_hour,
     trips_per_location,
 )
+from farewise.operators.lloyd import lloyd
+from farewise.operators.nearest import assign_to_centres, nearest_hotspots
 from farewise.operators.window import time_window
+from farewise.plans.batch import hotspots_batch
 from farewise.plans.hotspots import (
     cluster_stats,
     fit_and_assign,
@@ -39,8 +57,10 @@ from farewise.plans.hotspots import (
     zone_window_stats,
 )
 from farewise.session import scratch_path
-from farewise.sources.profile import preview, schema_profile
+from farewise.sources.profile import preview, record_profile, schema_profile
 from farewise.sources.trips import (
+    append_load,
+    compact_store,
     load_trips,
     normalize_columns,
     positional_union,
@@ -71,6 +91,19 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     )
 
 
+def floored(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Round every double by one product, sum and quotient, which both engines do alike also
+    where a value lies exactly between two results."""
+    scale = F.lit(10.0**digits)
+    return df.select(
+        *[
+            (F.floor(F.col(f.name) * scale + 0.5) / scale).alias(f.name)
+            if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def trips(spark: SparkSession, sf: str) -> DataFrame:
     return clean_trips(raw_trips(spark, sf))
 
@@ -284,15 +317,16 @@ def q_expected_price(spark, sf):
 # --- aggregates and top-k ----------------------------------------------------
 
 
-def q_hotspots_instants(spark, sf):
-    """Flagship over trips whose times are instants, local time of Kolkata."""
-    raw = raw_trips(spark, sf)
-    # the same instants whatever the session zone: local UTC times, counted from the epoch
+def _instants(raw):
+    """Trips whose times are the same instants whatever the session zone: local UTC times, counted from the epoch."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     instant = lambda c: F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c)))
-    times = ("tpep_pickup_datetime", "tpep_dropoff_datetime")
-    instants = raw.withColumns({c: instant(c) for c in times})
-    return rounded(hotspots(instants, zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG, zone="Asia/Kolkata"))
+    return raw.withColumns({c: instant(c) for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
+
+
+def q_hotspots_instants(spark, sf):
+    """Flagship over trips whose times are instants, local time of Kolkata."""
+    return rounded(hotspots(_instants(raw_trips(spark, sf)), zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG, zone="Asia/Kolkata"))
 
 
 def q_trips_per_hour(spark, sf):
@@ -433,6 +467,105 @@ def q_hotspots_minute_stats(spark, sf):
     )
 
 
+# --- tables of requests, centres and starting points ---------------------------
+
+
+def _minute_stats(spark, sf):
+    path = scratch_path(spark, "zone-minute-stats")
+    zone_minute_stats(trips(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def q_hotspots_batch(spark, sf):
+    """The flagship for every request of a table: time, position, maybe a borough (M4)."""
+    requests = stand_in(spark, sf, REQUESTS_FX)
+    return floored(hotspots_batch(requests, _minute_stats(spark, sf), zones(spark, sf)))
+
+
+def q_hotspots_batch_wrap(spark, sf):
+    """The same with windows of ±90 minutes that wrap midnight."""
+    requests = stand_in(spark, sf, REQUESTS_FX)
+    return floored(hotspots_batch(requests, _minute_stats(spark, sf), zones(spark, sf), window_minutes=90, wrap_midnight=True))
+
+
+def q_hotspots_lloyd(spark, sf):
+    """Flagship with the zone points fitted by Lloyd's iterations (M2, M4)."""
+    return rounded(hotspots(raw_trips(spark, sf), zones(spark, sf), DEFAULT_TIME, USER_LAT, USER_LONG, fit="lloyd"))
+
+
+def q_minute_stats_instants(spark, sf):
+    """Minute statistics of instants under a named zone (§4.3, E1)."""
+    return rounded(zone_minute_stats(_instants(raw_trips(spark, sf)), zone="Asia/Kolkata"))
+
+
+def q_assign_given_centers(spark, sf):
+    """Every point to the nearest of a given table of centres."""
+    points, centres = stand_in(spark, sf, POINTS_FX), stand_in(spark, sf, CENTRES_FX)
+    return rounded(assign_to_centres(points, centres).select("trip_id", "center_id", "center_long", "center_lat"))
+
+
+def q_nearest_clusters_users(spark, sf):
+    """The 3 clusters nearest to every user, anywhere on the globe."""
+    near = nearest_hotspots(stand_in(spark, sf, GLOBE_USERS_FX), stand_in(spark, sf, GLOBE_CENTRES_FX), 3)
+    return rounded(near.select("user_id", "rank", "center_id", "distance_mi"))
+
+
+def q_lloyd_overlapping(spark, sf):
+    """Weighted k-means on points without gaps, from stated starting centres (M2)."""
+    return rounded(lloyd(stand_in(spark, sf, OVERLAP_FX), stand_in(spark, sf, STARTS_FX)))
+
+
+# --- profiles, accounts, the store over time -------------------------------------
+
+
+def q_record_profile(spark, sf):
+    """Last seen type per field of the first ten schemaless records."""
+    return record_profile(stand_in(spark, sf, RECORDS_FX))
+
+
+def q_record_profile_all(spark, sf):
+    """The same over all records: drifting fields with all their types."""
+    return record_profile(stand_in(spark, sf, RECORDS_FX), sample_rows=None)
+
+
+def q_drop_account(spark, sf):
+    """Rows that cleaning drops, by failing column and in all (F1)."""
+    return drop_account(raw_trips(spark, sf))
+
+
+def q_quarantined_trips(spark, sf):
+    """The rows that cleaning drops, with the columns that failed (F1)."""
+    return quarantined(raw_trips(spark, sf)).select("trip_id", "pulocationid", F.array_join("failing", ",").alias("failing"))
+
+
+def q_scan_many_files(spark, sf):
+    """Daily files of every pickup location's share, their schema drifting, read as one frame."""
+    base = scratch_path(spark, "days")
+    raw = raw_trips(spark, sf).withColumn("_part", F.pmod(F.col("trip_id"), F.lit(40)))
+    late = raw.withColumn("passenger_count", F.col("passenger_count").cast("float"))
+    raw.filter("_part < 20").write.partitionBy("_part").parquet(f"{base}/a")
+    late.filter("_part >= 20").toDF(*[c if c == "_part" else c.upper() for c in late.columns]).write.partitionBy("_part").parquet(f"{base}/b")
+    some = [r["_part"] for r in raw.select("_part").distinct().collect()]  # at most 40 folders
+    return read_trip_files(spark, [f"{base}/{'a' if p < 20 else 'b'}/_part={p}" for p in sorted(some)])
+
+
+def q_store_after_loads(spark, sf):
+    """A full load, batches added, months replaced and small loads merged: the store as last published."""
+    raw, day = raw_trips(spark, sf), F.coalesce(F.dayofmonth("tpep_pickup_datetime"), F.lit(1))
+    target = load_trips(raw.filter(day <= 10), scratch_path(spark, "store"))
+    append_load(raw.filter(day.between(11, 20)), target, "batch-1")
+    append_load(raw.filter(day > 20), target, "batch-2")
+    append_load(raw.filter(day > 20), target, "batch-2")  # run again: not loaded twice
+    compact_store(spark, target)
+    return read_store(spark, target)
+
+
+def q_store_months_replaced(spark, sf):
+    """Every month of the store loaded again with the even trips only."""
+    target = load_trips(raw_trips(spark, sf), scratch_path(spark, "store"))
+    return read_store(spark, load_trips(raw_trips(spark, sf).filter("trip_id % 2 = 0"), target, mode="months"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")
 }

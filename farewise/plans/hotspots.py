@@ -37,6 +37,7 @@ from farewise.operators.kmeans import (
 )
 from farewise.operators.enrich import filter_borough, with_point
 from farewise.operators.joins import join_dimension
+from farewise.operators.lloyd import lloyd_groups
 from farewise.operators.clean import SOURCE_ZONE, clean_trips, is_clean, to_wall_clock
 from farewise.operators.window import time_window
 from farewise.sources.trips import normalize_columns
@@ -152,10 +153,16 @@ CLUSTER_SCHEMA = T.StructType(
 
 
 def cluster_stats(
-    stats: DataFrame, k: int = DEFAULT_K, seed: int = DEFAULT_SEED, joined: bool = False
+    stats: DataFrame, k: int = DEFAULT_K, seed: int = DEFAULT_SEED, joined: bool = False, fit: str = "kmeans"
 ) -> DataFrame:
     """Per-cluster centre and statistics (no label).  ``joined`` computes them
-    as three aggregates joined on the cluster key instead of one aggregate."""
+    as three aggregates joined on the cluster key instead of one aggregate;
+    ``fit``: see ``hotspots``."""
+    if fit == "lloyd":
+        # one group of at most as many points as there are zones
+        return lloyd_groups(cut_lineage(stats.withColumn("_all", F.lit(0))), ["_all"], k).select(*CLUSTER_COLUMNS)
+    if fit != "kmeans":
+        raise ValueError(f"fit must be 'kmeans' or 'lloyd', got {fit!r}")
     assigned, _ = fit_and_assign(stats, k, seed)
     if assigned is None:
         return _empty(stats, CLUSTER_SCHEMA)
@@ -191,6 +198,7 @@ def hotspots(
     top_n: int = 3,
     wrap_midnight: bool = False,
     fit_on: str = "zones",
+    fit: str = "kmeans",
     raw: bool | None = None,
     zone: str = SOURCE_ZONE,
 ) -> DataFrame:
@@ -207,8 +215,13 @@ def hotspots(
     of the window, as the original program does: same objective, but k-means‖
     draws its initial centres from trips rather than from distinct points,
     so on data without clear clusters it may settle in another local optimum.
-    It costs a pass over the windowed trips per k-means step."""
+    It costs a pass over the windowed trips per k-means step.
+
+    ``fit="lloyd"`` fits the zone points by ``lloyd_groups`` instead of ``pyspark.ml``:
+    the answer of ``hotspots_batch``, also where clusters overlap."""
     if fit_on == "trips":
+        if fit != "kmeans":
+            raise ValueError("trips are fitted by kmeans only")
         clusters = trip_level_cluster_stats(
             trips, zone_pts, time, borough, window_minutes, wrap_midnight, k, seed, raw, zone,
         )
@@ -218,7 +231,7 @@ def hotspots(
     stats = zone_window_stats(
         trips, zone_pts, time, borough, window_minutes, wrap_midnight, raw, zone
     )
-    return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n)
+    return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n, fit=fit)
 
 
 def trip_level_cluster_stats(
@@ -263,9 +276,9 @@ def trip_level_cluster_stats(
 
 def hotspots_from_points(
     stats: DataFrame, lat: float, long: float, *, k: int = DEFAULT_K,
-    seed: int = DEFAULT_SEED, top_n: int = 3,
+    seed: int = DEFAULT_SEED, top_n: int = 3, fit: str = "kmeans",
 ) -> DataFrame:
-    return _hotspot_rows(cluster_stats(stats, k, seed), lat, long, top_n)
+    return _hotspot_rows(cluster_stats(stats, k, seed, fit=fit), lat, long, top_n)
 
 
 def _hotspot_rows(clusters: DataFrame, lat: float, long: float, top_n: int) -> DataFrame:
@@ -310,14 +323,14 @@ def hotspots_reply(result: DataFrame) -> DataFrame:
 # Many requests: land the additive per-zone, per-minute statistics once.
 
 
-def zone_minute_stats(trips: DataFrame) -> DataFrame:
+def zone_minute_stats(trips: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
     """``pulocationid, pickup_minute, n, sum_total, sum_tip``.
 
     Bounded by locations × 1440 rows and additive, so any window is a filter
     and a re-sum of it; the trip scan happens once for all requests.  Uncleaned
-    trips are cleaned first."""
+    trips are cleaned first; ``zone`` is that of times delivered as instants."""
     if not is_clean(trips):
-        trips = clean_trips(normalize_columns(trips))
+        trips = clean_trips(normalize_columns(trips), zone)
     return trips.groupBy("pulocationid", "pickup_minute").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("total_amount").alias("sum_total"),
@@ -325,12 +338,12 @@ def zone_minute_stats(trips: DataFrame) -> DataFrame:
     )
 
 
-def add_minute_stats(landed: DataFrame, new_trips: DataFrame) -> DataFrame:
+def add_minute_stats(landed: DataFrame, new_trips: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
     """Fold a new batch of cleaned trips (a newly loaded month) into landed
     ``zone_minute_stats``: the statistics are additive, so history is not
     re-read.  The caller writes the result to a new location and switches."""
     keys = ["pulocationid", "pickup_minute"]
-    both = landed.select(*keys, "n", "sum_total", "sum_tip").unionByName(zone_minute_stats(new_trips))
+    both = landed.select(*keys, "n", "sum_total", "sum_tip").unionByName(zone_minute_stats(new_trips, zone))
     return both.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("sum_total").alias("sum_total"), F.sum("sum_tip").alias("sum_tip")
     )
@@ -349,11 +362,12 @@ def hotspots_from_minute_stats(
     window_minutes: int = 30,
     top_n: int = 3,
     wrap_midnight: bool = False,
+    fit: str = "kmeans",
 ) -> DataFrame:
-    """Same answer as ``hotspots``, read from ``zone_minute_stats``."""
+    """Same answer as ``hotspots``, read from ``zone_minute_stats`` (made with the same ``zone``)."""
     windowed = time_window(minute_stats, time, window_minutes, wrap_midnight)
     per_loc = windowed.groupBy("pulocationid").agg(
         F.sum("n").alias("n"), F.sum("sum_total").alias("sum_total"), F.sum("sum_tip").alias("sum_tip")
     )
     stats = weighted_points(per_loc, zone_pts, borough)
-    return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n)
+    return hotspots_from_points(stats, lat, long, k=k, seed=seed, top_n=top_n, fit=fit)

@@ -7,7 +7,20 @@ per borough, so k = 5 recovers the boroughs and the oracle groups by borough
 
 from __future__ import annotations
 
-from farewise.fixtures import USER_LAT, USER_LONG, duckdb_views
+from farewise.fixtures import (
+    CENTRES_FX,
+    GLOBE_CENTRES_FX,
+    GLOBE_USERS_FX,
+    OVERLAP_FX,
+    POINTS_FX,
+    RECORDS_FX,
+    REQUESTS_FX,
+    STARTS_FX,
+    USER_LAT,
+    USER_LONG,
+    duckdb_text,
+    duckdb_views,
+)
 from farewise.functions.geo import EARTH_RADIUS_MI, WKT_PAIR_PATTERN
 from farewise.functions.timeofday import parse_time_of_day
 
@@ -148,15 +161,139 @@ def _profile() -> str:
     )
 
 
-def _hotspots_instants() -> str:
-    """The flagship over local times of UTC+05:30."""
-    base = BASE.replace("ts AS tpep_pickup_datetime", "ts + INTERVAL '330' MINUTE AS tpep_pickup_datetime")
-    base = base.replace("ts + INTERVAL '17' MINUTE", "ts + INTERVAL '347' MINUTE")
-    return base + _window() + _clusters() + _hotspot_select()
+def _instants_base(minutes: int = 330) -> str:
+    """``BASE`` over local times of UTC+05:30."""
+    base = BASE.replace("ts AS tpep_pickup_datetime", f"ts + INTERVAL '{minutes}' MINUTE AS tpep_pickup_datetime")
+    return base.replace("ts + INTERVAL '17' MINUTE", f"ts + INTERVAL '{minutes + 17}' MINUTE")
+
+
+def _batch(minutes: int = 30, wrap: bool = False) -> str:
+    """Every request with its trips; clusters are boroughs, or the zones of a borough."""
+    asked = "CAST(time[1:2] AS INTEGER) * 60 + CAST(time[4:5] AS INTEGER)"
+    diff = "(c.pickup_minute - r.minute)"
+    if wrap:
+        diff = f"(((({diff} + 720) % 1440) + 1440) % 1440 - 720)"
+    strip = "regexp_replace(lower(trim({})), '^the\\s+', '')".format
+    return BASE + f"""
+, requests AS ({duckdb_text(REQUESTS_FX)})
+, asked AS (SELECT *, {asked} AS minute, {strip('borough')} AS wanted FROM requests)
+, pairs AS (SELECT DISTINCT minute, wanted FROM asked)
+, per_minute AS (
+  SELECT pulocationid, pickup_minute, count(*) AS n, CAST(sum(total_amount) AS DECIMAL(18,6)) AS total,
+         CAST(sum(tip_amount) AS DECIMAL(18,6)) AS tip
+  FROM clean GROUP BY ALL)
+, cl AS (
+  SELECT r.minute, r.wanted, CAST(sum(CAST(z.long AS DECIMAL(18,9)) * c.n) AS DOUBLE) / sum(c.n) AS centroid_long,
+         CAST(sum(CAST(z.lat AS DECIMAL(18,9)) * c.n) AS DOUBLE) / sum(c.n) AS centroid_lat,
+         CAST(sum(c.total) AS DOUBLE) / sum(c.n) AS avg_revenue, CAST(sum(c.tip) AS DOUBLE) / sum(c.n) AS avg_tip,
+         CAST(sum(c.n) AS BIGINT) AS trips
+  FROM pairs r JOIN per_minute c ON {diff} BETWEEN -{minutes} AND {minutes}
+  JOIN zone_pts z ON c.pulocationid = z.locationid AND (r.wanted IS NULL OR {strip('z.borough')} = r.wanted)
+  GROUP BY r.minute, r.wanted, CASE WHEN r.wanted IS NULL THEN z.borough ELSE z.zone END)
+, near AS (
+  SELECT a.request_id, cl.*, {_hav('centroid_lat', 'centroid_long', 'a.lat', 'a.long')} AS distance_mi
+  FROM asked a JOIN cl ON a.minute = cl.minute AND a.wanted IS NOT DISTINCT FROM cl.wanted)
+, top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance_mi, centroid_long, centroid_lat) AS INTEGER) AS rank
+  FROM near QUALIFY rank <= 3)
+SELECT request_id, rank, {', '.join(f'floor({c} * 1e{D} + 0.5) / 1e{D} AS {c}' for c in
+  ('centroid_long', 'centroid_lat', 'avg_revenue', 'avg_tip', 'distance_mi'))}, trips,
+       CAST(floor(avg_revenue + avg_tip + 0.5) AS BIGINT) AS expected_price
+FROM top"""
+
+
+def _lloyd(steps: int = 20) -> str:
+    """Lloyd's iterations as a recursive query: one row a centre and step."""
+    return f"""
+WITH RECURSIVE points AS (
+  SELECT long, lat, CAST(sum(n) AS DOUBLE) AS w FROM ({duckdb_text(OVERLAP_FX)}) p GROUP BY long, lat)
+, steps AS (
+  SELECT 0 AS step, cluster, center_long, center_lat, CAST(0 AS DOUBLE) AS w FROM ({duckdb_text(STARTS_FX)}) s
+  UNION ALL
+  SELECT c.step + 1, c.cluster, coalesce(m.x, c.center_long), coalesce(m.y, c.center_lat), coalesce(m.w, 0)
+  FROM steps c LEFT JOIN (
+    SELECT cluster, sum(long * w) / sum(w) AS x, sum(lat * w) / sum(w) AS y, sum(w) AS w FROM (
+      SELECT p.long, p.lat, p.w, arg_min(s.cluster, (
+        (p.long - s.center_long) * (p.long - s.center_long) + (p.lat - s.center_lat) * (p.lat - s.center_lat), s.cluster)) AS cluster
+      FROM points p, steps s GROUP BY p.long, p.lat, p.w) near
+    GROUP BY cluster) m ON m.cluster = c.cluster
+  WHERE c.step < {steps})
+SELECT cluster, round(center_long, {D}) AS center_long, round(center_lat, {D}) AS center_lat, CAST(w AS BIGINT) AS trips
+FROM steps WHERE step = {steps}"""
+
+
+_RAW_COLUMNS = (
+    "trip_id", "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
+    "pulocationid", "dolocationid", "tip_amount", "total_amount",
+)
+
+
+def _fails(c: str) -> str:
+    number = c in ("passenger_count", "trip_distance", "tip_amount", "total_amount")
+    return f"({c} IS NULL OR coalesce(isnan({c}), false))" if number else f"({c} IS NULL)"
+
+
+def _drop_account() -> str:
+    parts = [f"SELECT '{c}' AS column_name, CAST(count(*) FILTER ({_fails(c)}) AS BIGINT) AS failing FROM trips" for c in _RAW_COLUMNS]
+    some = " OR ".join(map(_fails, _RAW_COLUMNS))
+    parts.append(f"SELECT NULL AS column_name, CAST(count(*) FILTER ({some}) AS BIGINT) AS failing FROM trips")
+    return duckdb_views() + " " + " UNION ALL ".join(parts)
+
+
+def _quarantined() -> str:
+    names = ", ".join(f"CASE WHEN {_fails(c)} THEN '{c}' END" for c in _RAW_COLUMNS)
+    return duckdb_views() + f"""
+SELECT trip_id, pulocationid, concat_ws(',', {names}) AS failing FROM trips
+WHERE {' OR '.join(map(_fails, _RAW_COLUMNS))}"""
+
+
+def _record_profile(sample: str) -> str:
+    return f"""
+WITH records AS (SELECT * FROM ({duckdb_text(RECORDS_FX)}) r {sample})
+, fields AS (
+  SELECT record_no, record, unnest(json_keys(record)) AS column_name FROM records
+  WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record END) = 'OBJECT')
+, typed AS (
+  SELECT record_no, column_name, CASE json_type(record, '$.' || column_name) WHEN 'UBIGINT' THEN 'bigint' WHEN 'BIGINT' THEN 'bigint'
+    WHEN 'DOUBLE' THEN 'decimal' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'void'
+    ELSE lower(json_type(record, '$.' || column_name)) END AS t FROM fields)
+SELECT column_name, arg_max(t, record_no) AS type_name, CAST(count(*) AS BIGINT) AS seen,
+       array_to_string(list_sort(list(DISTINCT t)), ',') AS types
+FROM typed GROUP BY column_name"""
 
 
 ORACLES: dict[str, str] = {
-    "hotspots_instants": _hotspots_instants(),
+    "record_profile": _record_profile("ORDER BY record_no LIMIT 10"),
+    "record_profile_all": _record_profile(""),
+    "drop_account": _drop_account(),
+    "quarantined_trips": _quarantined(),
+    "scan_many_files": duckdb_views() + _RAW_SELECT,
+    "store_after_loads": BASE + " SELECT * FROM clean",
+    "store_months_replaced": BASE + " SELECT * FROM clean WHERE trip_id % 2 = 0",
+    "hotspots_batch": _batch(),
+    "hotspots_batch_wrap": _batch(90, wrap=True),
+    "hotspots_lloyd": _hotspots(),
+    "minute_stats_instants": _instants_base() + f"""
+SELECT pulocationid, pickup_minute, CAST(count(*) AS BIGINT) AS n,
+       round(sum(total_amount), {D}) AS sum_total, round(sum(tip_amount), {D}) AS sum_tip
+FROM clean GROUP BY pulocationid, pickup_minute""",
+    "assign_given_centers": f"""
+WITH points AS ({duckdb_text(POINTS_FX)}), centres AS ({duckdb_text(CENTRES_FX)})
+, near AS (
+  SELECT p.long, p.lat, min_by(c, ((p.long - center_long) * (p.long - center_long) + (p.lat - center_lat) * (p.lat - center_lat), center_id)) AS c
+  FROM (SELECT DISTINCT long, lat FROM points) p, centres c GROUP BY p.long, p.lat)
+SELECT trip_id, c.center_id, round(c.center_long, {D}) AS center_long, round(c.center_lat, {D}) AS center_lat
+FROM points JOIN near USING (long, lat)""",
+    "nearest_clusters_users": f"""
+WITH users AS ({duckdb_text(GLOBE_USERS_FX)}), centres AS ({duckdb_text(GLOBE_CENTRES_FX)})
+, near AS (
+  SELECT user_id, center_id, {_hav('lat', 'long', 'center_lat', 'center_long').replace('sqrt(', 'sqrt(least(1.0, ', 1) + ')'} AS distance_mi
+  FROM users, centres)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY distance_mi, center_id) AS INTEGER) AS rank,
+       center_id, round(distance_mi, {D}) AS distance_mi
+FROM near QUALIFY rank <= 3""",
+    "lloyd_overlapping": _lloyd(),
+    "hotspots_instants": _instants_base() + _window() + _clusters() + _hotspot_select(),
     # sources
     "scan_parquet": duckdb_views() + _RAW_SELECT,
     "normalize_columns": duckdb_views() + _RAW_SELECT,

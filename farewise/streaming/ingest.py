@@ -2,10 +2,11 @@
 
 The stream carries only the paths of the trip files landing in a folder.  Each
 micro-batch reads its files with the batch reader (column case and types may
-drift between them), cleans them and adds them to the store as one load, in
-folders of its own.  The query's checkpoint remembers which files a batch holds;
-a batch that is run again replaces its own folders, so every file is in the
-store once.  Full and incremental loads share one layout, and readers see both.
+drift between them), cleans them and adds them to the store as one load, which
+readers see once it is published.  The query's checkpoint remembers which files a
+batch holds; a batch that is run again finds its name in the store, so every file is
+in the store once, also after its load was compacted (``compact_store``).  Full and
+incremental loads share one layout, and readers see both.
 
 The checkpoint lies beside the store (``<target>_ingest``) unless another is
 named: a later run goes on where the last one ended.  After a full refresh that

@@ -1,0 +1,175 @@
+"""Nearest centres by a pyramid of cells, and Lloyd's iterations, against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.sql import functions as F
+
+from farewise.functions.geo import EARTH_RADIUS_MI
+from farewise.operators import nearest as near_module
+from farewise.operators.kmeans import assemble_features
+from farewise.operators.lloyd import fit, lloyd, lloyd_groups
+from farewise.operators.nearest import assign_to_centres, nearest_centres, nearest_hotspots
+from farewise.plans.explain import plan_text
+
+CENTRES = "center_id long, center_long double, center_lat double"
+
+
+def _miles(a, b):
+    la1, lo1, la2, lo2 = map(math.radians, (a[1], a[0], b[1], b[0]))
+    d = math.sin((la2 - la1) / 2) ** 2 + math.cos(la1) * math.cos(la2) * math.sin((lo2 - lo1) / 2) ** 2
+    return 2 * EARTH_RADIUS_MI * math.asin(math.sqrt(min(1.0, d)))
+
+
+def _brute(points, centres, k, metric):
+    out = {}
+    for p in set(points):
+        if metric == "plane":
+            far = [((p[0] - c[1]) * (p[0] - c[1]) + (p[1] - c[2]) * (p[1] - c[2]), c[0]) for c in centres]
+        else:
+            far = [(_miles(p, c[1:]), c[0]) for c in centres]
+        out[p] = [d for d, _ in sorted(far)[:k]], [i for _, i in sorted(far)[:k]]
+    return out
+
+
+def _check(spark, points, centres, k, metric):
+    got = nearest_centres(
+        spark.createDataFrame(points, "long double, lat double").repartition(4),
+        spark.createDataFrame(centres, CENTRES).repartition(3), k, metric,
+    ).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault((r["long"], r["lat"]), []).append((r["rank"], r["center_id"], r["distance"]))
+    want = _brute(points, centres, k, metric)
+    assert set(found) == set(want)
+    for p, rows in found.items():
+        assert [r[0] for r in rows] == list(range(1, len(want[p][0]) + 1))
+        far = [d * d if metric == "plane" else d for _, _, d in rows]
+        assert far == pytest.approx(want[p][0], rel=1e-9, abs=1e-9)
+        if metric == "plane":
+            assert [i for _, i, _ in rows] == want[p][1]
+
+
+def _city(n, seed):
+    """Scattered places, a dense clump, a line, and several centres at one place."""
+    rnd = random.Random(seed)
+    spread = [(rnd.uniform(-75, -73), rnd.uniform(40, 41)) for _ in range(n)]
+    clump = [(-74 + rnd.gauss(0, 1e-5), 40.7 + rnd.gauss(0, 1e-5)) for _ in range(n // 2)]
+    line = [(-73.5, 40 + i / 100) for i in range(40)]
+    same = [(-73.9, 40.9)] * 30
+    return [(i, *xy) for i, xy in enumerate(spread + clump + line + same)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_plane_is_brute_force(spark, k):
+    centres = _city(400, 1)
+    rnd = random.Random(2)
+    points = [(rnd.uniform(-76, -72), rnd.uniform(39, 42)) for _ in range(150)] + [c[1:] for c in centres[::17]]
+    points += [(-73.9, 40.9)] * 200  # a place that many rows share
+    points += [(5000.0, -9000.0), (-74.0, 1e6)]  # far from everything
+    points += [(-73.0 + i * 1e-9, 40.0) for i in range(5)]
+    _check(spark, points, centres, k, "plane")
+
+
+def test_globe_is_brute_force(spark):
+    rnd = random.Random(3)
+    centres = [(i, rnd.uniform(-180, 180), math.degrees(math.asin(rnd.uniform(-1, 1)))) for i in range(600)]
+    centres += [(1000 + i, a, b) for i, (a, b) in enumerate([(180.0, 10.0), (-180.0, 10.5), (179.9, -3.0), (0.0, 90.0), (77.0, -90.0)])]
+    points = [(rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for _ in range(150)]
+    points += [(179.99, 10.2), (-179.99, 10.2), (0.0, 90.0), (123.0, 90.0), (10.0, -89.9), (-170.0, -90.0), (180.0, 0.0), (-180.0, 0.0)]
+    _check(spark, points, centres, 3, "sphere")
+
+
+def test_few_or_no_centres(spark):
+    points = [(0.0, 0.0), (1.0, 1.0)]
+    for centres in ([], [(5, 2.0, 2.0)], [(5, 2.0, 2.0), (5, 2.0, 2.0), (4, 2.0, 2.0)], [(1, 0.5, 0.5), (2, 0.5, -0.5), (3, 0.0, 0.0)]):
+        for metric in ("plane", "sphere"):
+            if centres:
+                _check(spark, points, centres, 3, metric)
+            else:
+                none = nearest_centres(spark.createDataFrame(points, "long double, lat double"), spark.createDataFrame([], CENTRES), 3, metric)
+                assert none.collect() == []
+    for bad in ({"k": 0}, {"metric": "cube"}):
+        with pytest.raises(ValueError):
+            nearest_centres(spark.createDataFrame(points, "long double, lat double"), spark.createDataFrame([], CENTRES), **bad)
+
+
+def test_rows_keep_their_columns_and_rows_without_a_place_go(spark):
+    centres = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, None, 0.0), (4, float("nan"), 1.0)], CENTRES)
+    rows = [("a", 1.0, 0.0), ("b", 9.0, 0.0), ("b", 9.0, 0.0), ("c", None, 0.0), ("d", float("nan"), 0.0), ("e", 5.0, 0.0), ("f", -0.0, 0.0)]
+    points = spark.createDataFrame(rows, "name string, long double, lat double")
+    got = sorted((r["name"], r["center_id"]) for r in assign_to_centres(points, centres).collect())
+    assert got == [("a", 1), ("b", 2), ("b", 2), ("e", 1), ("f", 1)]  # equally near: the smaller id
+    users = nearest_hotspots(points, centres, 5)
+    assert users.columns == ["name", "long", "lat", "rank", "center_id", "center_long", "center_lat", "distance_mi"]
+    assert sorted((r["name"], r["rank"], r["center_id"]) for r in users.collect())[:4] == [("a", 1, 1), ("a", 2, 2), ("b", 1, 2), ("b", 1, 2)]
+
+
+def test_no_join_without_a_key(spark, monkeypatch):
+    points = spark.range(300).selectExpr("double(id) AS long", "double(id % 17) AS lat")
+    centres = spark.range(500).selectExpr("id AS center_id", "double(id % 83) AS center_long", "double(id % 29) AS center_lat")
+    want = sorted(map(tuple, nearest_centres(points, centres, 2).collect()))
+    for rows in (near_module.BROADCAST_ROWS, 1):  # broadcast or shuffled levels
+        monkeypatch.setattr(near_module, "BROADCAST_ROWS", rows)
+        df = nearest_centres(points, centres, 2)
+        plan = plan_text(df)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+        assert sorted(map(tuple, df.collect())) == want
+
+
+# --- Lloyd's iterations -----------------------------------------------------------
+
+
+def _layout(seed, n=60):
+    rnd = np.random.default_rng(seed)
+    xy = rnd.normal(size=(n, 2)) * rnd.uniform(0.2, 1.5, size=2) + rnd.integers(0, 3, size=(n, 2))
+    return xy, rnd.integers(1, 50, size=n).astype(float)
+
+
+def _cost(xy, w, labels):
+    return sum(float((w[m, None] * (xy[m] - np.average(xy[m], axis=0, weights=w[m])) ** 2).sum())
+               for m in (labels == i for i in np.unique(labels)))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_cost_is_not_above_that_of_spark_ml(spark, seed):
+    xy, w = _layout(seed)
+    rows = [(i, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(xy, w))]
+    points = assemble_features(spark.createDataFrame(rows, "id int, long double, lat double, w double").coalesce(1))
+    model = KMeans(k=5, seed=42, weightCol="w").fit(points)
+    labels = np.array([r["prediction"] for r in model.transform(points).orderBy("id").collect()])
+    assert _cost(xy, w, fit(xy, w, 5)) <= _cost(xy, w, labels) * (1 + 1e-9)
+
+
+def test_loop_is_lloyds_iteration(spark):
+    xy, w = _layout(11, 200)
+    start = xy[:4].copy()
+    centres = start.copy()
+    for _ in range(20):
+        near = ((xy[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([np.average(xy[near == i], axis=0, weights=w[near == i]) for i in range(4)])
+    points = spark.createDataFrame([(*map(float, p), int(v)) for p, v in zip(xy, w)], "long double, lat double, n long").repartition(5)
+    # rows that take no part, and a centre that no point is near to
+    points = points.unionByName(spark.createDataFrame([(None, 1.0, 5), (1.0, float("nan"), 5), (0.0, 0.0, 0), (0.0, 0.0, None)], points.schema))
+    first = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate([*start, (1e6, 1e6)])], "cluster int, center_long double, center_lat double")
+    got = lloyd(points, first).orderBy("cluster").collect()
+    assert [r["cluster"] for r in got] == [0, 1, 2, 3, 4]
+    assert [(r["center_long"], r["center_lat"]) for r in got[:4]] == [pytest.approx(c, rel=1e-9) for c in centres.tolist()]
+    assert [r["trips"] for r in got[:4]] == [int(w[near == i].sum()) for i in range(4)]
+    assert tuple(got[4]) == (4, 1e6, 1e6, 0)
+    assert lloyd(points, first.limit(0)).collect() == []
+    assert [r["trips"] for r in lloyd(points.limit(0), first).collect()] == [0] * 5
+
+
+def test_groups_do_not_depend_on_the_layout(spark):
+    rnd = random.Random(4)
+    rows = [(g, rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.randrange(1, 9), rnd.random() * 99, rnd.random()) for g in range(6) for _ in range(5 * g + 1)]
+    points = spark.createDataFrame(rows, "g int, long double, lat double, n long, sum_total double, sum_tip double")
+    first = sorted(map(tuple, lloyd_groups(points.repartition(7, "long"), ["g"], 5).collect()))
+    again = sorted(map(tuple, lloyd_groups(points.orderBy(F.desc("lat")).coalesce(1), ["g"], 5).collect()))
+    assert first == again
+    assert [sum(1 for r in first if r[0] == g) for g in range(6)] == [min(5, 5 * g + 1) for g in range(6)]
+    assert [sum(r[-1] for r in first if r[0] == g) for g in range(6)] == [sum(r[3] for r in rows if r[0] == g) for g in range(6)]

@@ -36,7 +36,7 @@ def _canon(cols, rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "nation", "region"):
+    for t in ("events", "nation", "region", "customer", "orders", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
 
