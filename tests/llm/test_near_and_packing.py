@@ -119,8 +119,7 @@ def test_near_duplicate_edge_cases(spark):
 
 
 def test_ids_equal_those_of_whole_texts(spark):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as loaded: the strings of special tokens are those tokens
     rnd = random.Random(4)
     bits = [" ", "  ", "\n", "\t", "word", "Été", "don't", "½", "x²", ".", ",", " ", " ", "\x1c", "\x85", "<|endoftext|>", "1a", "'s", "\r\n", "🙂"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [r[1] or "" for r in ROWS]
@@ -165,8 +164,7 @@ def check_gapless(placed, n):
 
 
 def test_packing_documents(spark):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as loaded: the strings of special tokens are those tokens
     docs = edge_docs(spark)
     rows = pack_documents(docs, PATH, with_ids=True).collect()
     check_gapless([(r["sequence_id"], r["offset"], r["length"]) for r in rows], len(rows))
