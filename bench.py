@@ -36,6 +36,9 @@ HEADLINE = [
     "trips_left_join_zones",
     "zone_minute_stats",
     "scan_curated",
+    "hotspots_batch",
+    "assign_given_centers",
+    "nearest_clusters_users",
 ]
 
 

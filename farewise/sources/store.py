@@ -61,8 +61,8 @@ def published(spark: SparkSession, target: str) -> tuple[int, list[Load]] | None
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    newest = records.filter(F.col("loads").isNotNull()).agg(F.max("version").alias("v"), F.max_by("loads", "version").alias("loads")).first()
-    return None if newest["v"] is None else (newest["v"], [Load(**x) for x in json.loads(newest["loads"])])
+    newest = records.filter(F.col("loads").isNotNull()).orderBy(F.desc("version")).limit(1).collect()
+    return (newest[0]["version"], [Load(**x) for x in json.loads(newest[0]["loads"])]) if newest else None
 
 
 def publish(spark: SparkSession, target: str, after: int, loads: list[Load]) -> int:
