@@ -8,10 +8,10 @@ Rounds: each view scores all documents outside the labelled sample and hands the
 ``share`` of them that it is surest of, of both classes and of every source and
 language, to the other view's training set.  A row's place in the rounds follows
 from its own views and the models and limits of the rounds before, so nothing is
-joined; the views of the rows handed over are landed and fitted on in Spark, by
-gradient sums.  A third of the labelled sample is never trained on; on it the views
-are calibrated and combined by a logistic model of their two margins.  Every
-document is then scored.
+joined.  The views are made once and landed in little space; those of the rows handed
+over are fitted on in Spark, by gradient sums.  A third of the labelled sample is never
+trained on; on it the views are calibrated and combined by a logistic model of their two
+margins.  Every document is then scored.
 
 Only the labelled sample is bounded: at most ``labelled`` rows, chosen by a hash of
 the id.  Labels beyond it are not used; their documents count as unlabelled.
@@ -51,6 +51,7 @@ SEED = 29
 EPOCHS = 80
 MORE_EPOCHS = 20  # of each round, from where the last one ended
 STRATA = 1 << 16  # hash values of (source, language)
+ROWS_AT_ONCE = 256  # rows whose views are in memory together
 SURE = 1.0  # a view of a lesser margin has no opinion to hand over
 STEPS, TOP = 8, 255  # limits lie in steps of a margin; the last step is open
 
@@ -66,28 +67,36 @@ def _bin(x: float, steps: int = 12) -> int:
     return min(steps, int(x * steps))
 
 
-def content_view(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams; marks for repetition."""
-    out = np.zeros(CONTENT_SLOTS, dtype=np.float32)
+def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int, list[int]]:
+    """Hashed byte trigrams: their places, counts and number, and the places of the marks for repetition."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
-        out[_slot("empty", CONTENT_SLOTS)] = 1
-        return out
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 1, [_slot("empty", CONTENT_SLOTS)]
     b = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
     b = np.concatenate([np.full(2, 10, dtype=np.uint32), b])
     grams = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(20)
-    out += np.sqrt(np.bincount(grams, minlength=CONTENT_SLOTS) / len(grams))
+    counts = np.bincount(grams, minlength=CONTENT_SLOTS)
+    at = np.flatnonzero(counts)
     n = len(words)
     twice = sum(map(eq, words, words[1:])) / n
     fresh = len(set(words)) / n
-    for mark in (f"twice {_bin(twice)}", f"fresh {n.bit_length()} {_bin(fresh)}"):
-        out[_slot(mark, CONTENT_SLOTS)] += 1
+    marks = (f"twice {_bin(twice)}", f"fresh {n.bit_length()} {_bin(fresh)}")
+    return at, counts[at], len(grams), [_slot(m, CONTENT_SLOTS) for m in marks]
+
+
+def content_view(text: str | None) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams; marks for repetition."""
+    at, counts, n, marks = _grams(text)
+    out = np.zeros(CONTENT_SLOTS, dtype=np.float32)
+    out[at] += np.sqrt(counts / n)
+    for m in marks:
+        out[m] += 1
     return out
 
 
-def metadata_view(text: str | None, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    """One mark each for language, source, stated length, and statistics of characters and lines."""
+def _marks(text: str | None, lang: str | None, source: str | None, n_chars: float | None) -> list[int]:
+    """The places of one mark each for language, source, stated length, and statistics of characters and lines."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, len(data))
     by = (np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256) / n).tolist()
@@ -99,9 +108,14 @@ def metadata_view(text: str | None, lang: str | None, source: str | None, n_char
         f"sign {_bin(sum(by[33:48]) + sum(by[58:65]) + sum(by[91:97]) + sum(by[123:127]), 40)}",
         f"space {_bin(by[32] + sum(by[9:14]), 20)}", *(f"has {c} {_bin(by[ord(c)], 100)}" for c in "!#$%&*|"),
     ]
+    return [_slot(m, METADATA_SLOTS) for m in marks]
+
+
+def metadata_view(text: str | None, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """The metadata marks as a vector."""
     out = np.zeros(METADATA_SLOTS, dtype=np.float32)
-    for mark in marks:
-        out[_slot(mark, METADATA_SLOTS)] += 1
+    for m in _marks(text, lang, source, n_chars):
+        out[m] += 1
     return out
 
 
@@ -225,53 +239,126 @@ def _vectors(rows: DataFrame) -> list[Row]:
     return sorted(one.select("id", "r.*").collect(), key=lambda r: r["id"])  # at most ``labelled`` rows of bounded size
 
 
+def _views(pool: DataFrame) -> DataFrame:
+    """Both views of every row, landed once for all rounds: the counts of a text's trigrams, and places of marks.
+
+    A row takes about a third of its text on disk: places as differences, counts byte by byte."""
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            ns, grams, marks, meta = [], [], [], []
+            for text, lang, source, n_chars in zip(*(b.column(c).to_pylist() for c in range(4))):
+                at, counts, n, own = _grams(text)
+                ns.append(n)
+                grams.append(np.diff(at, prepend=0).astype("<u2").tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                marks.append(np.array(own, dtype="<u2").tobytes())
+                n_chars = None if n_chars is None or n_chars != n_chars else n_chars
+                meta.append(np.array(_marks(text, lang, source, n_chars), dtype="<u2").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(4), b.column(5), pa.array(ns, pa.int64()), *(pa.array(c, pa.binary()) for c in (grams, marks, meta))],
+                names=["stratum", "turn", "n", "grams", "marks", "meta"],
+            )
+
+    rows = pool.select("text", "lang", "source", "n_chars", "stratum", "turn")
+    return land(rows.mapInArrow(per_batch, "stratum int, turn double, n long, grams binary, marks binary, meta binary"), "views")
+
+
+class Rows:
+    """Some landed rows: strata, turns and, for each view, the row, place and value of all entries in row order."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = lambda c: batch.column(c).to_pylist()
+        self.strata, self.turns = batch.column("stratum").to_numpy(), batch.column("turn").to_numpy()
+        at, value = [], []
+        for n, g, m in zip(column("n"), column("grams"), column("marks")):
+            k = len(g) // 6
+            counts = np.frombuffer(g, dtype=np.uint8, count=4 * k, offset=2 * k).reshape(4, k).T.copy().view("<u4")[:, 0] if k else np.empty(0)
+            own = np.frombuffer(m, dtype="<u2")
+            at.append(np.concatenate([np.cumsum(np.frombuffer(g, dtype="<u2", count=k), dtype=np.int64), own]))
+            value.append(np.concatenate([np.sqrt(counts / n), np.ones(len(own))]).astype(np.float32))
+        meta = [np.frombuffer(m, dtype="<u2").astype(np.int64) for m in column("meta")]
+        self.views = tuple(
+            (np.cumsum([0, *map(len, a)]), np.concatenate([np.empty(0, dtype=np.int64), *a]), np.concatenate([np.empty(0, dtype=np.float32), *v]))
+            for a, v in ((at, value), (meta, [np.ones(len(m), dtype=np.float32) for m in meta]))
+        )
+
+    def margins(self, view: int, model: Logistic) -> np.ndarray:
+        ends, at, value = self.views[view]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        return np.bincount(row, value * model.weights[at], len(ends) - 1) + model.bias
+
+    def packed(self, view: int, row: int) -> bytes:
+        """A row's view as a sparse vector (see ``_pack``)."""
+        ends, at, value = self.views[view]
+        some = slice(ends[row], ends[row + 1])
+        out = np.empty(ends[row + 1] - ends[row], dtype=ENTRY)
+        out["at"], out["value"] = at[some], value[some]
+        return out.tobytes()
+
+
 @dataclass
 class Round:
-    """Both views' models and, by 4 * stratum + 2 * view + class, the least step taken and the share of its rows."""
+    """Both views' models and, by 4 * stratum + 2 * view + class (``keys``, in order), the least step taken and the share of its rows."""
 
     models: tuple[Logistic, Logistic]
-    limits: dict[int, tuple[int, float]] | None = None
+    keys: np.ndarray | None = None
+    least: np.ndarray | None = None
+    part: np.ndarray | None = None
 
-    def sides(self, views: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-        """For each view that has an opinion: 2 * view + class, and the step of its margin."""
-        margins = [float(m.margin(x)) for m, x in zip(self.models, views)]
-        return [(2 * v + (m > 0), min(TOP, int(abs(m) * STEPS))) for v, m in enumerate(margins) if abs(m) >= SURE]
+    def sides(self, rows: Rows) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each view the rows that it is sure of, 2 * view + class, and the step of its margin."""
+        out = []
+        for v, model in enumerate(self.models):
+            m = rows.margins(v, model)
+            sure = np.flatnonzero(np.abs(m) >= SURE)
+            out.append((sure, 2 * v + (m[sure] > 0), np.minimum(TOP, (np.abs(m[sure]) * STEPS).astype(np.int64))))
+        return out
 
-    def taken(self, views: tuple[np.ndarray, np.ndarray], stratum: int, turn: float) -> list[int]:
-        """The sides (2 * view + class) by which a row is handed over; ``turn``: its place among its like, 0 to 1."""
+    def taken(self, rows: Rows) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view the rows that it hands over and their sides; a row's turn is its place among its like, 0 to 1."""
         out = []
-        for side, step in self.sides(views):
-            least, part = self.limits.get(4 * stratum + side, (-1, 0.0))
-            if step > least or (step == least and turn < part):
-                out.append(side)
+        for sure, side, step in self.sides(rows):
+            key = 4 * rows.strata[sure].astype(np.int64) + side
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+            least, part = (x[at] if len(x) else np.zeros(len(key)) for x in (self.least, self.part))
+            good = known & ((step > least) | ((step == least) & (rows.turns[sure] < part)))
+            out.append((sure[good], side[good]))
         return out
 
 
-def _left(batches: Iterator[pa.RecordBatch], past: list[Round]) -> Iterator[list[tuple]]:
-    """Views, stratum and turn of the rows that no past round has taken, by batch."""
-    for b in batches:
-        rows = []
-        for text, lang, source, n_chars, stratum, turn in zip(*(c.to_pylist() for c in b.columns)):
-            n_chars = None if n_chars is None or n_chars != n_chars else n_chars
-            views = content_view(text), metadata_view(text, lang, source, n_chars)
-            if not any(r.taken(views, stratum, turn) for r in past):
-                rows.append((views, stratum, turn))
-        yield rows
+def _left(batches: Iterator[pa.RecordBatch], past: list[Round]) -> Iterator[tuple[Rows, np.ndarray]]:
+    """Some rows at a time, and which of them no past round has taken."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            rows = Rows(batch.slice(i, ROWS_AT_ONCE))
+            left = np.ones(len(rows.strata), dtype=bool)
+            for r in past:
+                for some, _ in r.taken(rows):
+                    left[some] = False
+            yield rows, left
 
 
-def _limits(pool: DataFrame, past: list[Round], now: Round, share: float, good: float) -> dict[int, tuple[int, float]]:
-    """What to take so that every stratum gives its ``share``, split by class as ``good``, of the rows left."""
+def _limits(pool: DataFrame, past: list[Round], now: Round, share: float, good: float) -> None:
+    """Set what ``now`` takes so that every stratum gives its ``share``, split by class as ``good``, of the rows left."""
     shared = pool.sparkSession.sparkContext.broadcast((past, now))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         past, now = shared.value
-        for rows in _left(batches, past):
-            n = Counter((s, side, step) for views, s, _ in rows for side, step in now.sides(views))
-            n.update((s, -1, 0) for _, s, _ in rows)
-            yield pa.RecordBatch.from_pydict(
-                {"stratum": pa.array([k[0] for k in n], pa.int32()), "side": pa.array([k[1] for k in n], pa.int32()),
-                 "step": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(n.values(), pa.int64())}
-            )
+        n: Counter = Counter()  # at most 4 * (TOP + 1) + 1 a stratum
+        for rows, left in _left(batches, past):
+            strata = rows.strata.astype(np.int64)
+            keys = [(strata[left] * 5) << 8]
+            for some, side, step in now.sides(rows):
+                mine = left[some]
+                keys.append((strata[some][mine] * 5 + 1 + side[mine]) << 8 | step[mine])
+            for key, c in zip(*(x.tolist() for x in np.unique(np.concatenate(keys), return_counts=True))):
+                n[key] += c
+        key = np.fromiter(n, dtype=np.int64, count=len(n))
+        yield pa.RecordBatch.from_pydict(
+            {"stratum": pa.array(((key >> 8) // 5).astype(np.int32)), "side": pa.array(((key >> 8) % 5 - 1).astype(np.int32)),
+             "step": pa.array((key & 255).astype(np.int32)), "n": pa.array(list(n.values()), pa.int64())}
+        )
 
     kinds = "stratum int, side int, step int, n long"
     seen = pool.mapInArrow(count, kinds).groupBy("stratum", "side", "step").agg(F.sum("n").alias("n"))
@@ -287,7 +374,8 @@ def _limits(pool: DataFrame, past: list[Round], now: Round, share: float, good:
         .filter("upto >= want and upto - n < want")
         .select("stratum", "side", "step", ((F.col("want") - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))
     )
-    return {4 * r["stratum"] + r["side"]: (r["step"], r["part"]) for r in found.collect()}  # at most 4 * STRATA rows
+    limits = sorted((4 * r["stratum"] + r["side"], r["step"], r["part"]) for r in found.collect())  # at most 4 * STRATA rows
+    now.keys, now.least, now.part = (np.array([x[i] for x in limits], dtype=t) for i, t in enumerate((np.int64, np.int64, np.float64)))
 
 
 def _handed(pool: DataFrame, past: list[Round], now: Round) -> DataFrame:
@@ -296,11 +384,11 @@ def _handed(pool: DataFrame, past: list[Round], now: Round) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         past, now = shared.value
-        for rows in _left(batches, past):
-            out = [(1 - side // 2, side % 2, views) for views, s, turn in rows for side in now.taken(views, s, turn)]
+        for rows, left in _left(batches, past):
+            out = [(1 - s // 2, s % 2, i) for some, side in now.taken(rows) for i, s in zip(some.tolist(), side.tolist()) if left[i]]
             yield pa.RecordBatch.from_pydict(
                 {"view": pa.array([v for v, _, _ in out], pa.int32()), "y": pa.array([y for _, y, _ in out], pa.int32()),
-                 "x": pa.array([_pack(views[v]) for v, _, views in out], pa.binary())}
+                 "x": pa.array([rows.packed(v, i) for v, _, i in out], pa.binary())}
             )
 
     return land(pool.mapInArrow(take, "view int, y int, x binary"), "handed")
@@ -350,9 +438,10 @@ def co_train(labelled: list[tuple], pool: DataFrame | None, rounds: int = ROUNDS
     past: list[Round] = []
     handed: list[DataFrame] = []
     counts = {(v, c): 0 for v in (0, 1) for c in (0, 1)}
+    pool = _views(pool) if rounds and pool is not None else None
     for _ in range(rounds if pool is not None else 0):
         now = Round(tuple(f.model() for f in fits))
-        now.limits = _limits(pool, past, now, share, float(y[~held].mean()))
+        _limits(pool, past, now, share, float(y[~held].mean()))
         got = _handed(pool, past, now)
         new = {(r["view"], r["y"]): r["count"] for r in got.groupBy("view", "y").count().collect()}
         if not new:
