@@ -507,7 +507,7 @@ def q_assign_given_centers(spark, sf):
 def q_nearest_clusters_users(spark, sf):
     """The 3 clusters nearest to every user, anywhere on the globe."""
     near = nearest_hotspots(stand_in(spark, sf, GLOBE_USERS_FX), stand_in(spark, sf, GLOBE_CENTRES_FX), 3)
-    return rounded(near.select("user_id", "rank", "center_id", "distance_mi"))
+    return rounded(near.select("user_id", "rank", "center_id", "distance_mi"), 4)
 
 
 def q_lloyd_overlapping(spark, sf):

@@ -290,7 +290,7 @@ WITH users AS ({duckdb_text(GLOBE_USERS_FX)}), centres AS ({duckdb_text(GLOBE_CE
   SELECT user_id, center_id, {_hav('lat', 'long', 'center_lat', 'center_long').replace('sqrt(', 'sqrt(least(1.0, ', 1) + ')'} AS distance_mi
   FROM users, centres)
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY distance_mi, center_id) AS INTEGER) AS rank,
-       center_id, round(distance_mi, {D}) AS distance_mi
+       center_id, round(distance_mi, 4) AS distance_mi
 FROM near QUALIFY rank <= 3""",
     "lloyd_overlapping": _lloyd(),
     "hotspots_instants": _instants_base() + _window() + _clusters() + _hotspot_select(),
