@@ -68,7 +68,7 @@ NEUTRAL_WORDS = frozenset(
 # Texts by others, which may well be longer than the article they stand by, and be articles themselves.
 BY_OTHERS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply "
-    "replies cookie cookies consent gdpr newsletter related recommended".split()
+    "replies cookie cookies consent gdpr notice notices newsletter related recommended".split()
 )
 NEVER_BY_NAME = frozenset("html body article main".split())
 
@@ -78,6 +78,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^<>]*\Z",
     re.S,
 )
+_UNENDED = re.compile(r"<[!?]|</?[a-zA-Z][^<>]*\Z")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -130,6 +131,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
     root = Node("#root", None, True)
     nodes, blocks, stack = [root], [], [root]  # stack: open elements; inline ones as (tag, block node)
     tags: list[str] = ["#root"]
+    # by tag the depths at which it is open; the depths of block elements
+    opened: dict[str, list[int]] = {}
+    block_depths = [0]
     buffer: list[str] = []
     links = 0
 
@@ -143,9 +147,13 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
 
     def close(depth: int):
         nonlocal links
-        if any(t not in INLINE for t in tags[depth:]):
+        if block_depths[-1] >= depth:
             flush()
-        links -= tags[depth:].count("a")
+        for t in reversed(tags[depth:]):
+            opened[t].pop()
+            links -= t == "a"
+        while block_depths[-1] >= depth:
+            block_depths.pop()
         del tags[depth:], stack[depth:]
 
     def put(text: str):
@@ -158,20 +166,25 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
         if links:
             node.link_chars += n
 
+    def deepest(some: tuple[str, ...]) -> int:
+        return max((opened[t][-1] for t in some if opened.get(t)), default=0)
+
     def innermost(wanted: tuple[str, ...], stop: tuple[str, ...]) -> int:
-        for d in range(len(tags) - 1, 0, -1):
-            if tags[d] in wanted:
-                return d
-            if tags[d] in stop:
-                return 0
-        return 0
-
-    at, end = 0, len(html)
+        """Depth of the innermost open element of ``wanted``, 0 where one of ``stop`` is within it."""
+        d = deepest(wanted)
+        return d if d > deepest(stop) else 0
+
+    at, end, last = 0, len(html), html.rfind(">")
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
             put(html[at:])
             break
+        if lt > last:
+            # no tag ends any more: the rest is text, but for a comment or an unfinished tag at the end
+            rest = _UNENDED.search(html, lt)
+            put(html[at: rest.start() if rest else end])
+            break
         m = _TOKEN.match(html, lt) or _LOOSE.match(html, lt)
         if not m:
             put(html[at: lt + 1])
@@ -184,13 +197,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            d = len(tags) - 1
-            while d > 0 and tags[d] != tag:
-                if tag in INLINE and tags[d] not in INLINE:
-                    d = 0
-                    break
-                d -= 1
-            if d > 0:
+            d = deepest((tag,))
+            if d > 0 and not (tag in INLINE and block_depths[-1] > d):
                 close(d)
             elif tag not in INLINE:
                 flush()
@@ -213,7 +221,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        in_article = "article" in tags or "main" in tags
+        in_article = bool(opened.get("article") or opened.get("main"))
         prose = node.prose and _is_prose(tag, m[3], in_article)
         marks = _marks(tag, m[3]) if prose else frozenset()
         if tag in INLINE and prose == node.prose and not marks:
@@ -224,6 +232,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]], list[Node]]:
             node.children.append(child)
             nodes.append(child)
             stack.append(child)
+        opened.setdefault(tag, []).append(len(tags))
+        if tag not in INLINE:
+            block_depths.append(len(tags))
         tags.append(tag)
         links += tag == "a"
     flush()
@@ -236,7 +247,7 @@ def settle_marks(nodes: list[Node]) -> None:
     A mark says nothing where the elements with it hold over half of the text of the
     page (or of the article or main element they lie in), where all h1, article or main
     elements of the page lie in marked elements (one that holds any is prose), and where
-    marks would leave no text.  Beside an article of the page's own, texts by others
+    marks would leave no text.  Comments, adverts, notices and other texts by others
     stay out however long they are.  Comes before the counts of children are added to their parents."""
     if not any(n.marks for n in nodes):
         return
@@ -271,8 +282,6 @@ def settle_marks(nodes: list[Node]) -> None:
                 while n is not None and (id(n), kind) not in freed:
                     freed.add((id(n), kind))
                     n = n.parent
-    placed = any(n.tag != "h1" and under[id(n)].isdisjoint(BY_OTHERS) for n in anchors)
-
     def holds(n: Node) -> bool:
         """Whether a mark of ``n`` stands."""
         if (id(n), "h1") in freed or (id(n), "main") in freed:
@@ -282,7 +291,7 @@ def settle_marks(nodes: list[Node]) -> None:
             others = w in BY_OTHERS
             if (id(n), "article") in freed and not others:
                 continue
-            if 2 * held.get((id(at), w), 0) <= at.said or (others and placed and at.parent is None):
+            if others or 2 * held.get((id(at), w), 0) <= at.said:
                 return True
         return False
 
