@@ -10,8 +10,10 @@ what the worst aligned window of a passage with containment 0.8 has.  Shorter
 templates use windows of one shingle, at every shingle: the MinHash of one
 element is that element, and a passage with containment 0.8 shares one at least.
 
-A retrieved template is verified at the place it was found: the share of its
-shingles that occur there must reach ``containment``.
+A retrieved template is verified exactly: the share of its distinct shingles that occur
+in the document, wherever other text interrupts it, must reach ``containment``.  A row
+carries each template shingle and each key it holds once, so a text that repeats a notice
+a hundred thousand times takes no more than one that has it once.
 
 Everything is DataFrame functions.  The template keys the windows are held
 against are literals, bounded by the templates.
@@ -82,7 +84,7 @@ def template_keys(table: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=LICENSES,
          containment: float = CONTAINMENT) -> DataFrame:
     """One row per document row and license found: doc_id, license_id, containment, shingle
-    (the place of the first shingle of the best match)."""
+    (the first place in the document of any of the license's shingles)."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
     if table.filter("n = 0").count():
@@ -91,9 +93,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     by_band: dict[int, list[int]] = {}
     for band, key in keys.select("band", "key").distinct().collect():  # bounded by the templates
         by_band.setdefault(band, []).append(key)
-    longest = table.agg(F.max("n")).first()[0]
-    pad = F.ceil(F.col("n") * (1 - containment)).cast("int")
-    reach = longest + int(longest * (1 - containment)) + 1 + STRIDE * STEPS
+    theirs = [h for (h,) in table.select(F.explode("shingles")).distinct().collect()]  # bounded by the templates
 
     rows = pick(docs, id=id_col, text=text_col).select(
         F.col("id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text"
@@ -114,46 +114,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     least = base.withColumns({f"m{j}": minima(j) for j in range(BANDS) if j in by_band})
 
-    def hit(place: Column, band: int, key: Column) -> Column:
-        first = F.greatest(place - reach, F.lit(0))
-        return F.struct(
-            place.cast("int").alias("place"), F.lit(band).alias("band"), key.alias("key"), first.cast("int").alias("first"),
-        )
-
-    def wide_hits(j: int) -> Column:
+    def wide_keys(j: int) -> Column:
         def window(b):
             return F.least(*[F.coalesce(F.get(f"m{j}", b + k), F.get(f"m{j}", b)) for k in range(STEPS)])
 
-        places = F.filter(F.sequence(F.lit(0), F.size(f"m{j}") - 1), lambda b: window(b).isin(by_band[j]))
-        return F.transform(places, lambda b: hit(b * STRIDE, j, window(b)))
+        known = F.filter(F.transform(F.sequence(F.lit(0), F.size(f"m{j}") - 1), window), lambda key: key.isin(by_band[j]))
+        return F.transform(F.array_distinct(known), lambda key: F.struct(F.lit(j).alias("band"), key.alias("key")))
 
     found = []
     if -1 in by_band:
-        every = F.sequence(F.lit(0), F.greatest(F.size("hs"), F.lit(1)) - 1)
-        found.append(F.transform(
-            F.filter(every, lambda i: F.get("hs", i).isin(by_band[-1])), lambda i: hit(i, -1, F.get("hs", i))
-        ))
-    for j in range(BANDS):
-        if j in by_band:
-            found.append(wide_hits(j))
-    hits = least.withColumn("hits", F.concat(*found))
-    # each hit takes along the stretch of the text that any template could cover
-    hits = hits.select("doc_id", "row", F.explode_outer(F.transform(
-        "hits", lambda x: F.struct(x["place"].alias("place"), x["band"].alias("band"), x["key"].alias("key"), x["first"].alias("first"),
-                                   F.slice("hs", x["first"] + 1, F.lit(2 * reach + 1)).alias("around"))
-    )).alias("x")).filter(F.col("x").isNotNull()).select("doc_id", "row", "x.*")
-    known = keys.join(table.select("license_id", "shingles", "n"), "license_id")
-    slack = pad + F.when(F.col("band") < 0, 0).otherwise(STRIDE * STEPS)
-    start = F.greatest(F.col("place") - F.col("at") - slack, F.col("first"))
-    met = hits.join(F.broadcast(known), ["band", "key"]).withColumn("start", start)
-    here = F.slice("around", F.col("start") - F.col("first") + 1, F.col("n") + 2 * slack)
-    common = F.array_intersect("shingles", here)
-    share = F.size(common) / F.size("shingles")
-    match = met.select(
-        "doc_id", "row", "license_id", share.alias("containment"),
-        (F.col("start") + F.array_position(here, F.get(common, F.lit(0))) - 1).cast("int").alias("shingle"),
+        known = F.array_distinct(F.filter("hs", lambda h: h.isin(by_band[-1])))
+        found.append(F.transform(known, lambda h: F.struct(F.lit(-1).alias("band"), h.alias("key"))))
+    found += [wide_keys(j) for j in range(BANDS) if j in by_band]
+    own = F.transform(
+        F.array_distinct(F.filter("hs", lambda h: h.isin(theirs))),
+        lambda h: F.struct(h.alias("h"), (F.array_position("hs", h) - 1).alias("place")),
+    )
+    hits = least.withColumns({"hits": F.concat(*found), "own": own})
+    hits = hits.select("doc_id", "row", "own", F.explode_outer("hits").alias("x")).filter(F.col("x").isNotNull())
+    known = keys.join(table.select("license_id", "shingles"), "license_id").select("license_id", "band", "key", "shingles").distinct()
+    met = hits.select("doc_id", "row", "own", "x.*").join(F.broadcast(known), ["band", "key"])
+    mine = F.filter("own", lambda o: F.array_contains("shingles", o["h"]))
+    match = met.withColumn("mine", mine).select(
+        "doc_id", "row", "license_id", (F.size("mine") / F.size("shingles")).alias("containment"),
+        F.array_min(F.transform("mine", lambda o: o["place"])).cast("int").alias("shingle"),
     ).filter(F.col("containment") >= containment)
-    best = F.max(F.struct("containment", -F.col("shingle"))).alias("best")
-    return match.groupBy("row", "doc_id", "license_id").agg(best).select(
-        "doc_id", "license_id", F.col("best.containment").alias("containment"), (-F.col("best.col2")).alias("shingle")
+    # the same values from every key of a license
+    return match.groupBy("row", "doc_id", "license_id").agg(F.max("containment").alias("containment"), F.min("shingle").alias("shingle")).select(
+        "doc_id", "license_id", "containment", "shingle"
     )
