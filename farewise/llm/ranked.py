@@ -70,9 +70,9 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TERM).split() if text else []
 
 
-def _counted(texts: list[bytes | None], first: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts: list[bytes | None], first: int, split=terms_of) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, term of each posting, its document, its frequency, lengths) of some documents."""
-    words = [terms_of(t) for t in texts]
+    words = [split(t) for t in texts]
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
     size = max(1, len(coded.dictionary))
@@ -81,6 +81,16 @@ def _counted(texts: list[bytes | None], first: int) -> tuple[pa.Array, np.ndarra
     return coded.dictionary, pairs % size, pairs // size + first, tfs, lengths
 
 
+def joined(parts: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Several ``counted`` as one: every term once."""
+    names = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+    codes, at, term = names.indices.to_numpy(zero_copy_only=False), 0, []
+    for p in parts:
+        term.append(codes[at:at + len(p[0])][p[1]] if len(p[0]) else p[1])
+        at += len(p[0])
+    return names.dictionary, np.concatenate(term), *(np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+
+
 class Builder:
     """Collects documents until they make a shard."""
 
@@ -88,28 +98,23 @@ class Builder:
         self.ids, self.parts, self.bytes, self.docs = [], [], 0, 0
 
     def add(self, ids: np.ndarray, texts: list[bytes | None]) -> None:
-        self.parts.append(_counted(texts, self.docs))
+        self.parts.append(counted(texts, self.docs))
         self.ids.append(ids)
         self.bytes += sum(map(len, filter(None, texts)))
         self.docs += len(texts)
 
     def row(self) -> dict:
         """The inverted index: terms in byte order, postings in document order."""
-        names = pa.concat_arrays([p[0] for p in self.parts]).dictionary_encode()
-        order = pc.array_sort_indices(names.dictionary).to_numpy()
+        names, term, docs, tfs, lengths = joined(self.parts)
+        order = pc.array_sort_indices(names).to_numpy()
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        codes, at, term = names.indices.to_numpy(zero_copy_only=False), 0, []
-        for p in self.parts:
-            term.append(rank[codes[at:at + len(p[0])][p[1]]] if len(p[0]) else p[1])
-            at += len(p[0])
-        term = np.concatenate(term)
-        docs, tfs, lengths = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3, 4))
+        term = rank[term]
         place = np.argsort(term, kind="stable")  # documents stay in order
         starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(order)))])
         arrays = {"starts": starts, "postings": docs[place], "tfs": tfs[place], "ids": np.concatenate(self.ids), "lengths": lengths}
         return {
-            "docs": int((lengths > 0).sum()), "words": int(lengths.sum()), "terms": names.dictionary.take(pa.array(order)),
+            "docs": int((lengths > 0).sum()), "words": int(lengths.sum()), "terms": names.take(pa.array(order)),
             **{c: arrays[c].astype(t).tobytes() for c, t in _ARRAYS.items()},
         }
 
@@ -122,16 +127,20 @@ def _index_batch(row: dict) -> pa.RecordBatch:
     )
 
 
+def runs(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Rows cut into runs of about ``size`` bytes of text, a longer text alone."""
+    steps = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(texts)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard, written to the shared folder."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Builder()
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
-            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-            steps = np.cumsum(sizes) // max(1, shard_bytes // 4)  # texts of about this size are counted together
-            cuts = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in runs(batch.column(1), max(1, shard_bytes // 4)):
                 shard.add(ids[a:b], batch.column(1).slice(a, b - a).to_pylist())
                 if shard.bytes >= shard_bytes:
                     yield _index_batch(shard.row())

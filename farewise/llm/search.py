@@ -1,8 +1,8 @@
 """Exact top-k search: BM25 over a sharded inverted index, frequent terms pruned by block maxima.
 
-Documents are dealt into shards of about ``SHARD_DOCS``; each shard's inverted
-index (terms, postings, term frequencies, lengths; documents ordered by their
-commonest word and their length) is written once.  Document frequencies and the mean length are those of the whole
+Tasks cut the documents they read into shards of about ``SHARD_BYTES`` of text; each
+shard's inverted index (terms, postings, term frequencies, lengths; documents ordered by
+their commonest word and their length) is written once.  Document frequencies and the mean length are those of the whole
 table, so scores of different shards compare, and the best ``k`` of all shards'
 best ``k`` are the exact answer.
 
@@ -25,7 +25,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.llm.common import land, pick, union_all
+from farewise.llm.ranked import counted, joined, runs
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_DOCS = 8192
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 8192
 FREQUENT = 4
 BLOCK = 16
 # Documents that are scored in full at first; twice as many each time after.
@@ -55,36 +55,51 @@ def _terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def build_index(ids: list[int | None], texts: list[str | None]) -> dict:
-    """The inverted index of one shard as little-endian arrays."""
-    from xxhash import xxh64_intdigest
-
-    words = [_terms_of(t) for t in texts]
-    bags = [Counter(w) for w in words]
-    # like documents together: blocks of one language and of one length have tight maxima
-    common = [max(b, key=b.get) if b else b"" for b in bags]
-    order = sorted(range(len(ids)), key=lambda i: (common[i], len(words[i]), ids[i] is not None, ids[i] or 0))
-    number: dict[bytes, int] = {}
-    at, doc, tf = [], [], []
-    for d, i in enumerate(order):
-        counts = bags[i]
-        at.extend([number.setdefault(w, len(number)) for w in counts])
-        tf.extend(counts.values())
-        doc.extend([d] * len(counts))
-    hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in number), dtype=np.uint64, count=len(number)).view(np.int64)
-    rank = np.empty(len(number), dtype=np.int64)
-    by_hash = np.argsort(hashes, kind="stable")
-    rank[by_hash] = np.arange(len(number))
-    term = rank[np.array(at, dtype=np.int64)]
-    place = np.argsort(term, kind="stable")
-    return {
-        "docs": len(ids), "words": sum(map(len, words)),
-        "ids": np.array([NO_ID if ids[i] is None else ids[i] for i in order], dtype="<i8").tobytes(),
-        "lengths": np.array([len(words[i]) for i in order], dtype="<i8").tobytes(),
-        "terms": hashes[by_hash].astype("<i8").tobytes(),
-        "starts": np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))]).astype("<i8").tobytes(),
-        "postings": np.array(doc, dtype="<i4")[place].tobytes(), "tfs": np.array(tf, dtype="<i4")[place].tobytes(),
-    }
+def _words_of(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+class Builder:
+    """Collects documents until they make a shard: counted terms of some MB of text at a time."""
+
+    def __init__(self):
+        self.ids, self.parts, self.bytes, self.docs = [], [], 0, 0
+
+    def add(self, ids: np.ndarray, texts: list[bytes | None]) -> None:
+        self.parts.append(counted(texts, self.docs, _words_of))
+        self.ids.append(ids)
+        self.bytes += sum(map(len, filter(None, texts)))
+        self.docs += len(texts)
+
+    def batch(self) -> pa.RecordBatch:
+        """The inverted index as little-endian arrays, terms by hash, like documents together."""
+        from xxhash import xxh64_intdigest
+
+        names, term, doc, tf, lengths = joined(self.parts)
+        ids = np.concatenate(self.ids)
+        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in names.to_pylist()), dtype=np.uint64, count=len(names)).view(np.int64)
+        by_hash = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[by_hash] = np.arange(len(names))
+        # blocks of one commonest word (the language's) and of one length have tight maxima
+        common = np.full(len(ids), -1, dtype=np.int64)
+        first = np.lexsort((term, -tf, doc))
+        head = first[np.concatenate([[True], np.diff(doc[first]) != 0])] if len(first) else first
+        common[doc[head]] = term[head]
+        order = np.lexsort((ids, lengths, common))
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        term, doc = rank[term], place[doc]
+        by = np.lexsort((doc, term))
+        arrays = {
+            "ids": ids[order].astype("<i8"), "lengths": lengths[order].astype("<i8"), "terms": hashes[by_hash].astype("<i8"),
+            "starts": np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))]).astype("<i8"),
+            "postings": doc[by].astype("<i4"), "tfs": tf[by].astype("<i4"),
+        }
+        return pa.RecordBatch.from_arrays(
+            [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays.values())],
+            names=["docs", "words", *arrays],
+        )
 
 
 class Shard:
@@ -176,19 +191,29 @@ def _searcher(block, mean: float, k: int):
     return search
 
 
-def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per shard: its inverted index, written to the shared folder."""
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    shards = max(1, -(-rows.count() // shard_docs))
+def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per shard: its inverted index, written to the shared folder.  Tasks cut what they
+    read into shards of at most ``shard_docs`` and about ``shard_bytes`` of text: nothing is
+    shuffled, whatever repeats."""
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
-    def build(key, table):
-        row = build_index(table.column("id").to_pylist(), table.column("text").to_pylist())
-        return pa.Table.from_pylist([row], schema=pa.schema([
-            ("docs", pa.int32()), ("words", pa.int64()), *((c, pa.binary()) for c in ("ids", "lengths", "terms", "starts", "postings", "tfs"))
-        ]))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Builder()
+        for batch in batches:
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            for start, stop in runs(batch.column(1), max(1, shard_bytes // 4)):
+                while start < stop:
+                    n = min(stop - start, shard_docs - shard.docs)
+                    shard.add(ids[start:start + n], batch.column(1).slice(start, n).to_pylist())
+                    start += n
+                    if shard.bytes >= shard_bytes or shard.docs >= shard_docs:
+                        yield shard.batch()
+                        shard = Builder()
+        if shard.docs:
+            yield shard.batch()
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    return land(dealt.groupBy("shard").applyInArrow(build, INDEX), "index")
+    return land(rows.mapInArrow(build, INDEX), "index")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -220,11 +245,11 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-          shard_docs: int = SHARD_DOCS, query_bytes: int = QUERY_BYTES) -> DataFrame:
+          shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each row of ``queries`` (same columns as ``docs``) the best ``k`` documents by
     BM25 over its distinct words: query_id, rank (from 1), doc_id, score."""
     spark = docs.sparkSession
-    index = index_documents(docs, id_col, text_col, shard_docs)
+    index = index_documents(docs, id_col, text_col, shard_docs, shard_bytes)
     n, words = index.agg(F.sum("docs"), F.sum("words")).first()
     named = land(
         pick(queries, id=id_col, text=text_col).select(F.col("id").cast("long").alias("query_id"), "text")
