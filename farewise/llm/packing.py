@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import os
 import re
-import sys
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +38,14 @@ SLACK = 4
 FAN_IN = 8
 ITEMS_PER_TASK = 200_000
 # Distinct spans of text whose ids a Python worker keeps in a generation.
-CACHE_SPANS = 250_000
+CACHE_SPANS = 300_000
+# Signs that end a word: neither letters, digits nor white space, as the pre-tokenizer has it.
+STOPS = string.punctuation
 ENCODE_AT_ONCE = 20_000
 # Characters of text that are cut into spans at once (a longer text is taken alone),
 # and rows that are taken out of an Arrow batch at once.
-TEXT_AT_ONCE = 1 << 21
-ROWS_AT_ONCE = 512
+TEXT_AT_ONCE = 1 << 22
+ROWS_AT_ONCE = 2048
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,6 +59,7 @@ def _tokenizer(path: str):
 
 
 _SPACED = re.compile(r"\s ")
+_SOLID = re.compile(r"\S+\Z").match
 _SPLIT = re.compile(r"(?<=\S) ")
 
 
@@ -70,66 +73,117 @@ def spans(text: str) -> list[str]:
     return text.split(" ") if not _SPACED.search(text) and text[:1] != " " else _SPLIT.split(text)
 
 
+def _spans_of(texts: list[str]) -> pa.ListArray:
+    """``spans`` of every text; Arrow cuts those whose spaces all follow a non-space."""
+    odd = [i for i, t in enumerate(texts) if t[:1] == " " or _SPACED.search(t)]
+    if not odd:
+        return pc.split_pattern(pa.array(texts, pa.string()), " ")
+    plain = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, _marks(odd, len(texts)))], pa.string()), " ")
+    other = pa.array([spans(texts[i]) for i in odd], pa.list_(pa.string()))
+    place = np.arange(len(texts))
+    place[odd] = len(texts) + np.arange(len(odd))
+    return pa.concat_arrays([plain, other]).take(pa.array(place))
+
+
+def _marks(at: list[int], n: int) -> list[bool]:
+    out = np.zeros(n, dtype=bool)
+    out[at] = True
+    return out.tolist()
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Keeps the ids of spans (without stops at their end), in two generations: when
-    the young one is full it becomes the old one, and what is used again moves back."""
+    Keeps the ids of spans in two generations: when the young one is full it becomes
+    the old one, and what is used again moves back.  A word of letters and the signs
+    after it are pre-tokens of their own, so words are kept without them.  Words not seen
+    before, one pre-token each, are tokenized in rows of ``ENCODE_AT_ONCE``."""
 
     def __init__(self, path: str, cache_spans: int = CACHE_SPANS):
         self.tokenizer, self.most = _tokenizer(path), cache_spans
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}  # runs of full stops and commas
+        self.stops: dict[str, bytes] = {}  # runs of signs
+        self.heads: dict[str, bytes] = {}  # beginnings of lines, with the break before them
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), ENCODE_AT_ONCE):
             for e in self.tokenizer.encode_batch_fast(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False):
-                ids = array("I", e.ids)
-                if sys.byteorder != "little":
-                    ids.byteswap()
-                yield ids.tobytes()
-
-    def _known(self, span: str) -> bytes | None:
-        ids = self.young.get(span)
-        if ids is None and (ids := self.old.get(span)) is not None:
-            self.young[span] = ids
-        return ids
-
-    def _table(self, found: set[str]) -> dict[str, bytes]:
-        """The ids of all spans of ``found``."""
-        table, new, ended = {}, set(), []
-        for s in found:
-            ids = self._known(s)
-            if ids is None:
-                word = s.rstrip(".,")
-                if len(word) < len(s) and word.isalpha():
-                    # a word and the stops after it are pre-tokens of their own
-                    ended.append((s, word))
-                    if self._known(word) is None:
-                        new.add(word)
-                else:
-                    new.add(s)
+                yield np.array(e.ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of letters, each with a space before it."""
+        for i in range(0, len(words), ENCODE_AT_ONCE):
+            some = words[i: i + ENCODE_AT_ONCE]
+            e = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            data = np.array(e.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some)), side="right")).tolist()
+            yield from (data[a:b] for a, b in zip([0, *ends], ends))
+
+    def _learn(self, missing: set[str]) -> None:
+        """Bring the ids of ``missing`` spans into the young generation."""
+        young, old, plain, other = self.young, self.old, [], []
+        for s in missing:
+            ids = old.get(s)
+            if ids is not None:
+                young[s] = ids
             else:
-                table[s] = ids
-        fresh = dict(zip(new, self._ids([" " + s for s in new])))
-        self.young.update(fresh)
-        table.update(fresh)
-        for s, word in ended:
-            stops = s[len(word):]
-            if stops not in self.stops:
-                self.stops[stops] = next(self._ids([stops]))
-            table[s] = self.young[word] + self.stops[stops]
-        return table
+                (plain if s.isalpha() else other).append(s)
+        young.update(zip(plain, self._words(plain)))
+        young.update(zip(other, self._ids([" " + s for s in other])))
+
+    def _known(self, names: list[str]) -> list[bytes]:
+        """The ids of spans, each with a space before it."""
+        # a line break between non-spaces is a pre-token of its own: what follows is known by itself
+        lines = {i: parts for i, s in enumerate(names) if "\n" in s and len(parts := s.split("\n")) > 1 and all(map(_SOLID, parts))}
+        if lines:
+            return self._with_lines(names, lines)
+        words = [s.rstrip(STOPS) for s in names]
+        ended = [i for i, (s, w) in enumerate(zip(names, words)) if len(w) < len(s) and w.isalpha()]
+        keys = list(names)
+        for i in ended:
+            keys[i] = words[i]
+        get = self.young.get
+        known = list(map(get, keys))
+        missing = {s for s, ids in zip(keys, known) if ids is None}
+        if missing:
+            self._learn(missing)
+            known = [get(s) if ids is None else ids for s, ids in zip(keys, known)]
+        tails = [names[i][len(words[i]):] for i in ended]
+        new = list({t for t in tails if t not in self.stops})
+        self.stops.update(zip(new, self._ids(new)))
+        for i, t in zip(ended, tails):
+            known[i] += self.stops[t]
+        return known
+
+    def _with_lines(self, names: list[str], lines: dict[int, list[str]]) -> list[bytes]:
+        known = self._known([lines[i][0] if i in lines else s for i, s in enumerate(names)])
+        heads = list({p for parts in lines.values() for p in parts[1:] if p not in self.heads})
+        self.heads.update(zip(heads, self._ids(["\n" + p for p in heads])))
+        for i, parts in lines.items():
+            known[i] = b"".join([known[i], *[self.heads[p] for p in parts[1:]]])
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [spans(t) for t in texts]
         if len(self.young) > self.most:
-            self.old, self.young, self.stops = self.young, {}, {}
-        get = self._table(set().union(*cut)).__getitem__
-        # a text's first span has no space before it
-        first = self._ids([c[0] for c in cut])
-        return [b"".join([f, *map(get, islice(c, 1, None))]) for f, c in zip(first, cut)]
+            self.old, self.young, self.stops, self.heads = self.young, {}, {}, {}
+        cut = _spans_of(texts)
+        sizes = np.diff(cut.offsets.to_numpy())
+        heads = np.cumsum(sizes) - sizes  # a text's first span has no space before it
+        coded = cut.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        first = list(self._ids(coded.dictionary.take(pa.array(codes[heads])).to_pylist()))
+        codes[heads] = len(names) + np.arange(len(texts))
+        # every distinct span is looked up once, then all ids are laid out together
+        known = self._known(names) + first
+        lengths = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        values = np.frombuffer(b"".join(known), dtype="<u4")
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        begins = np.cumsum(lengths) - lengths
+        out = values[np.repeat(begins[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+        cuts = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(sizes)]]).tolist()
+        return [out[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         held, n = [], 0
@@ -139,7 +193,8 @@ class Encoder:
             if n >= TEXT_AT_ONCE:
                 yield from self.encode(held)
                 held, n = [], 0
-        yield from self.encode(held)
+        if held:
+            yield from self.encode(held)
 
 
 @lru_cache(maxsize=1)
