@@ -198,8 +198,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, cache_spans: int) -> Encoder:
+    return Encoder(path, cache_spans)
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -209,12 +209,13 @@ def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids."""
+           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_spans: int = CACHE_SPANS) -> DataFrame:
+    """Pieces of all documents: doc_id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids.
+    ``cache_spans`` only trades a Python worker's memory for time."""
     end = int(end_id).to_bytes(4, "little")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, cache_spans)
         for b in (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
             rows: list[list] = [[] for _ in range(5)]
             parts: list[bytes] = []
@@ -326,9 +327,9 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK,
-                   items_per_task: int = ITEMS_PER_TASK, with_ids: bool = False) -> DataFrame:
+                   items_per_task: int = ITEMS_PER_TASK, with_ids: bool = False, cache_spans: int = CACHE_SPANS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
+    cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids, cache_spans)
     landed = land(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == capacity
     # a full piece is a sequence by itself; the others are packed (ids below 0 are never given to bins)
