@@ -20,6 +20,10 @@ from farewise.llm.queries import tokenizer_path
 from farewise.llm.simhash import drop_near_duplicates
 
 
+# Python workers live from stage to stage, and their caches with them: a small one here.
+CACHE_SPANS = 60_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), cache_spans=CACHE_SPANS)
 
 
 STAGES = [
