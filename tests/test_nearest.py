@@ -120,6 +120,31 @@ def test_no_join_without_a_key(spark, monkeypatch):
         assert sorted(map(tuple, df.collect())) == want
 
 
+def _no_pairs_are_sorted(spark, monkeypatch, metric):
+    monkeypatch.setattr(near_module, "BROADCAST_ROWS", 1)
+    centres = _city(1500, 5)
+    df = nearest_centres(
+        spark.createDataFrame([c[1:] for c in centres], "long double, lat double"), spark.createDataFrame(centres, CENTRES), 3, metric
+    )
+    # pairs of a place and a cell or a centre never come to a window of their own
+    assert "Window" not in plan_text(df) and "Expand" not in plan_text(df)
+
+
+def test_no_window_over_pairs_on_the_globe(spark, monkeypatch):
+    _no_pairs_are_sorted(spark, monkeypatch, "sphere")
+
+
+def test_leaves_hold_few_centres_beside_a_far_one(spark, monkeypatch):
+    centres = [*_city(600, 6), (5000, 1e9, 1e9)]  # in cells of 2 ** -24 of the extent the others are one heap
+    points = [c[1:] for c in centres[::29]]
+    _check(spark, points, centres, 3, "plane")
+    kept = []
+    tree = near_module._tree
+    monkeypatch.setattr(near_module, "_tree", lambda *a: kept.append(tree(*a)) or kept[-1])
+    nearest_centres(spark.createDataFrame(points, "long double, lat double"), spark.createDataFrame(centres, CENTRES), 1)
+    assert kept[0][2].agg(F.max(F.size("_centres"))).first()[0] <= near_module.LEAF
+
+
 # --- Lloyd's iterations -----------------------------------------------------------
 
 
