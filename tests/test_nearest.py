@@ -134,6 +134,10 @@ def test_no_window_over_pairs_on_the_globe(spark, monkeypatch):
     _no_pairs_are_sorted(spark, monkeypatch, "sphere")
 
 
+def test_no_window_over_pairs_in_the_plane(spark, monkeypatch):
+    _no_pairs_are_sorted(spark, monkeypatch, "plane")
+
+
 def test_leaves_hold_few_centres_beside_a_far_one(spark, monkeypatch):
     centres = [*_city(600, 6), (5000, 1e9, 1e9)]  # in cells of 2 ** -24 of the extent the others are one heap
     points = [c[1:] for c in centres[::29]]
