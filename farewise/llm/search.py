@@ -15,7 +15,8 @@ bound reaches it.  Nothing else is left out, so the answer is that of scoring
 everything.
 
 Queries are taken in blocks of at most about ``QUERY_BYTES``, each sent to all
-tasks; the index is read once for each block.
+tasks as numbers of the block's words; a word is looked up once in a shard, not once a
+query.  The index is read once for each block, one shard of a task in memory at a time.
 
 Defined cases: null or empty text, and a query without known words, have no
 answers; a null id is no query; repeated rows are documents (and queries) of
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ QUERY_EVERY = 20
 SEED = 42
 NO_ID = -(1 << 63)
 
-INDEX = "docs int, words long, ids binary, lengths binary, terms binary, starts binary, postings binary, tfs binary"
+INDEX = "docs int, words long, ids binary, lengths binary, terms binary, counts binary, postings binary, tfs binary"
+ARRAYS = ("ids", "lengths", "terms", "counts", "postings", "tfs")
 FOUND = "qid long, doc_id long, score double"
 
 
@@ -59,6 +62,17 @@ def _words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(data, n: int) -> np.ndarray:
+    """A view of ``n`` packed numbers."""
+    return np.frombuffer(data, dtype=f"<u{len(data) // n if n else 1}")
+
+
 class Builder:
     """Collects documents until they make a shard: counted terms of some MB of text at a time."""
 
@@ -77,6 +91,7 @@ class Builder:
 
         names, term, doc, tf, lengths = joined(self.parts)
         ids = np.concatenate(self.ids)
+        self.parts, self.ids = [], []
         hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in names.to_pylist()), dtype=np.uint64, count=len(names)).view(np.int64)
         by_hash = np.argsort(hashes, kind="stable")
         rank = np.empty(len(names), dtype=np.int64)
@@ -86,18 +101,20 @@ class Builder:
         first = np.lexsort((term, -tf, doc))
         head = first[np.concatenate([[True], np.diff(doc[first]) != 0])] if len(first) else first
         common[doc[head]] = term[head]
+        del first, head
         order = np.lexsort((ids, lengths, common))
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
         term, doc = rank[term], place[doc]
+        counts = np.bincount(term, minlength=len(names))
         by = np.lexsort((doc, term))
+        del term
         arrays = {
-            "ids": ids[order].astype("<i8"), "lengths": lengths[order].astype("<i8"), "terms": hashes[by_hash].astype("<i8"),
-            "starts": np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))]).astype("<i8"),
-            "postings": doc[by].astype("<i4"), "tfs": tf[by].astype("<i4"),
+            "ids": ids[order].astype("<i8").tobytes(), "lengths": lengths[order].astype("<i8").tobytes(), "terms": hashes[by_hash].astype("<i8").tobytes(),
+            "counts": _packed(counts), "postings": _packed(doc[by]), "tfs": _packed(tf[by]),
         }
         return pa.RecordBatch.from_arrays(
-            [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays.values())],
+            [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays.values())],
             names=["docs", "words", *arrays],
         )
 
@@ -105,14 +122,23 @@ class Builder:
 class Shard:
     """An index ready for searching, given the mean length of all documents."""
 
-    def __init__(self, row: dict, mean: float):
-        read = lambda c, t: np.frombuffer(row[c], dtype=t).astype(t[1:])
-        self.n, self.ids, self.terms, self.starts = row["docs"], read("ids", "<i8"), read("terms", "<i8"), read("starts", "<i8")
-        self.postings = read("postings", "<i4")
-        tf, lengths = read("tfs", "<i4").astype(np.float64), read("lengths", "<i8")
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.postings] / max(mean, 1e-9)))
+    def __init__(self, row: dict, mean: float, vocabulary: np.ndarray):
+        read = lambda c: np.frombuffer(row[c], dtype="<i8").astype(np.int64)
+        self.n, self.ids, lengths, terms = row["docs"], read("ids"), read("lengths"), read("terms")
+        self.starts = np.concatenate([[0], np.cumsum(_unpacked(row["counts"], len(terms)), dtype=np.int64)])
+        self.postings = _unpacked(row["postings"], int(self.starts[-1])).copy()
+        tf = _unpacked(row["tfs"], int(self.starts[-1])).astype(np.float64)
+        self.part = (K1 * (1 - B + B * lengths / max(mean, 1e-9)))[self.postings]
+        self.part += tf
+        tf *= K1 + 1
+        np.divide(tf, self.part, out=self.part)
+        del tf
+        # the place of each of the queries' words, -1 where the shard has it not
+        self.at = np.searchsorted(terms, vocabulary)
+        self.at[self.at == len(terms)] = 0
+        self.at[terms[self.at] != vocabulary if len(terms) else slice(None)] = -1
         frequent = np.flatnonzero(np.diff(self.starts) * FREQUENT >= max(self.n, FREQUENT))
-        self.column = np.full(len(self.terms), -1, dtype=np.int64)
+        self.column = np.full(len(terms), -1, dtype=np.int64)
         self.column[frequent] = np.arange(len(frequent))
         blocks = -(-self.n // BLOCK)
         self.dense = np.zeros((self.n, len(frequent)))
@@ -123,11 +149,10 @@ class Shard:
             np.maximum.at(self.most[c], self.postings[some] // BLOCK, self.part[some])
         self.block = np.arange(self.n) // BLOCK
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, words: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) that can be among the best ``k``, where ``least`` is already reached by k others."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
+        at = self.at[words]
+        known = at >= 0
         at, weights = at[known], weights[known]
         if not len(at):
             return np.empty(0, dtype=np.int64), np.empty(0)
@@ -166,13 +191,15 @@ def _searcher(block, mean: float, k: int):
     """Index rows of a partition to the best ``k`` of each of the block's queries."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, best = block.value, {}
+        qids, starts, words, vocabulary, weights = block.value
+        cuts, best = list(zip(qids.tolist(), starts[:-1].tolist(), starts[1:].tolist())), {}
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, mean)
-                for q, terms, weights in queries:
+            for i in range(batch.num_rows):
+                row = {"docs": batch.column("docs")[i].as_py(), **{c: batch.column(c)[i].as_buffer() for c in ARRAYS}}
+                shard = Shard(row, mean, vocabulary)
+                for q, a, b in cuts:
                     ids, scores = best.get(q, (np.empty(0, dtype=np.int64), np.empty(0)))
-                    docs, more = shard.search(terms, weights, k, scores.min() if len(scores) >= k else 0.0)
+                    docs, more = shard.search(words[a:b], weights[words[a:b]], k, scores.min() if len(scores) >= k else 0.0)
                     if not len(docs):
                         continue
                     ids, scores = np.concatenate([ids, shard.ids[docs]]), np.concatenate([scores, more])
@@ -180,6 +207,7 @@ def _searcher(block, mean: float, k: int):
                         keep = np.lexsort((ids, -scores))[:k]
                         ids, scores = ids[keep], scores[keep]
                     best[q] = ids, scores
+                del shard, row
         if best:
             qids = np.repeat(np.array(list(best), dtype=np.int64), [len(x[0]) for x in best.values()])
             ids = np.concatenate([x[0] for x in best.values()])
@@ -236,12 +264,22 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     """(term, df) over all shards."""
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for terms, starts in zip(b.column("terms").to_pylist(), b.column("starts").to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(terms, dtype="<i8")), pa.array(np.diff(np.frombuffer(starts, dtype="<i8")))], names=["term", "df"]
-                )
+            for i in range(b.num_rows):
+                terms = np.frombuffer(b.column("terms")[i].as_buffer(), dtype="<i8")
+                counts = _unpacked(b.column("counts")[i].as_buffer(), len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "df"])
+
+    return index.select("terms", "counts").mapInArrow(per_batch, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
 
-    return index.select("terms", "starts").mapInArrow(per_batch, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+def _block(asked: pa.Table, n: int) -> tuple[np.ndarray, ...]:
+    """(query ids, where each one's words start, words as places in the vocabulary, vocabulary by
+    hash, weights of its words) of a block of queries."""
+    lists, dfs = asked.column("terms").combine_chunks(), asked.column("dfs").combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    vocabulary, first, words = np.unique(lists.flatten().to_numpy(), return_index=True, return_inverse=True)
+    df = dfs.flatten().to_numpy()[first].astype(np.float64)
+    return asked.column("qid").to_numpy(), starts, words.astype(np.int32), vocabulary, np.log1p((n - df + 0.5) / (df + 0.5))
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
@@ -266,11 +304,7 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     found = []
     for i in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()  # one block: about query_bytes
-        block = []
-        for q, t, df in zip(some.column("qid").to_pylist(), some.column("terms"), some.column("dfs")):
-            dfs = df.values.to_numpy().astype(np.float64)
-            block.append((q, t.values.to_numpy(), np.log1p((n - dfs + 0.5) / (dfs + 0.5))))
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(_block(some, n))
         best = index.mapInArrow(_searcher(shared, (words or 0) / max(1, n or 0), k), FOUND)
         w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
         found.append(land(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "found"))

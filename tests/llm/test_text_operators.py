@@ -17,7 +17,7 @@ from farewise.llm.html import extract_main_text, main_text
 from farewise.llm.licenses import CONTAINMENT, collision_probability, scan
 from farewise.llm.lm import score_documents
 from farewise.llm.quality import SEED, classify, co_train, content_view, fit, keep_quality, metadata_view
-from farewise.llm.search import top_k
+from farewise.llm.search import index_documents, top_k
 from farewise.llm.templates import LICENSES
 
 # --- HTML ---------------------------------------------------------------------
@@ -154,6 +154,19 @@ def test_search_edge_cases(spark):
     assert top_k(empty_docs(spark), docs).count() == 0 and top_k(docs, empty_docs(spark)).count() == 0
 
 
+def test_search_index_is_compact_and_holds_large_counts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 50 + 1))) for i in range(300)]
+    rows += [(1000, "w1 " * 70_000), (1001, "w2 " * 300 + "w1")]
+    docs = documents(spark, rows).coalesce(1)
+    index = index_documents(docs)
+    assert sum(len(r["postings"]) for r in index.collect()) == 2 * sum(len(set(t.split())) for _, t in rows)
+    small = index_documents(documents(spark, rows[:300]).coalesce(1)).first()
+    assert len(small["tfs"]) == sum(len(set(t.split())) for _, t in rows[:300])
+    queries = documents(spark, [(1, "w1 w2"), (2, "w49 none")])
+    found = Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in top_k(docs, queries).collect())
+    assert found == brute_top(rows, [(1, "w1 w2"), (2, "w49 none")], 10)
+
+
 # --- language model -------------------------------------------------------------
 
 
