@@ -38,13 +38,13 @@ SLACK = 4
 FAN_IN = 8
 ITEMS_PER_TASK = 200_000
 # Distinct spans of text whose ids a Python worker keeps in a generation.
-CACHE_SPANS = 300_000
+CACHE_SPANS = 400_000
 # Signs that end a word: neither letters, digits nor white space, as the pre-tokenizer has it.
 STOPS = string.punctuation
 ENCODE_AT_ONCE = 20_000
 # Characters of text that are cut into spans at once (a longer text is taken alone),
 # and rows that are taken out of an Arrow batch at once.
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 23
 ROWS_AT_ONCE = 2048
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,6 +85,11 @@ def _spans_of(texts: list[str]) -> pa.ListArray:
     return pa.concat_arrays([plain, other]).take(pa.array(place))
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """``to_pylist`` by way of numpy, which makes no scalar of each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _marks(at: list[int], n: int) -> list[bool]:
     out = np.zeros(n, dtype=bool)
     out[at] = True
@@ -132,32 +137,37 @@ class Encoder:
         young.update(zip(plain, self._words(plain)))
         young.update(zip(other, self._ids([" " + s for s in other])))
 
-    def _known(self, names: list[str]) -> list[bytes]:
+    def _known(self, names: pa.Array) -> list[bytes]:
         """The ids of spans, each with a space before it."""
         # a line break between non-spaces is a pre-token of its own: what follows is known by itself
-        lines = {i: parts for i, s in enumerate(names) if "\n" in s and len(parts := s.split("\n")) > 1 and all(map(_SOLID, parts))}
+        broken = np.flatnonzero(pc.match_substring(names, "\n").to_numpy(zero_copy_only=False))
+        lines = {i: parts for i, s in zip(broken.tolist(), _strings(names.take(pa.array(broken)))) if all(map(_SOLID, parts := s.split("\n")))}
         if lines:
             return self._with_lines(names, lines)
-        words = [s.rstrip(STOPS) for s in names]
-        ended = [i for i, (s, w) in enumerate(zip(names, words)) if len(w) < len(s) and w.isalpha()]
-        keys = list(names)
-        for i in ended:
-            keys[i] = words[i]
+        keys = _strings(names)
+        words = pc.utf8_rtrim(names, characters=STOPS)
+        shorter = np.flatnonzero(pc.not_equal(pc.binary_length(words), pc.binary_length(names)).to_numpy(zero_copy_only=False))
+        ended = [(i, w) for i, w in zip(shorter.tolist(), _strings(words.take(pa.array(shorter)))) if w.isalpha()]
+        tails = [keys[i][len(w):] for i, w in ended]
+        for i, w in ended:
+            keys[i] = w
         get = self.young.get
         known = list(map(get, keys))
         missing = {s for s, ids in zip(keys, known) if ids is None}
         if missing:
             self._learn(missing)
             known = [get(s) if ids is None else ids for s, ids in zip(keys, known)]
-        tails = [names[i][len(words[i]):] for i in ended]
         new = list({t for t in tails if t not in self.stops})
         self.stops.update(zip(new, self._ids(new)))
-        for i, t in zip(ended, tails):
+        for (i, _), t in zip(ended, tails):
             known[i] += self.stops[t]
         return known
 
-    def _with_lines(self, names: list[str], lines: dict[int, list[str]]) -> list[bytes]:
-        known = self._known([lines[i][0] if i in lines else s for i, s in enumerate(names)])
+    def _with_lines(self, names: pa.Array, lines: dict[int, list[str]]) -> list[bytes]:
+        place = np.arange(len(names))
+        place[list(lines)] = len(names) + np.arange(len(lines))
+        begun = pa.array([parts[0] for parts in lines.values()], pa.string())
+        known = self._known(pa.concat_arrays([names, begun]).take(pa.array(place)))
         heads = list({p for parts in lines.values() for p in parts[1:] if p not in self.heads})
         self.heads.update(zip(heads, self._ids(["\n" + p for p in heads])))
         for i, parts in lines.items():
@@ -171,8 +181,8 @@ class Encoder:
         sizes = np.diff(cut.offsets.to_numpy())
         heads = np.cumsum(sizes) - sizes  # a text's first span has no space before it
         coded = cut.flatten().dictionary_encode()
-        codes, names = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        first = list(self._ids(coded.dictionary.take(pa.array(codes[heads])).to_pylist()))
+        codes, names = coded.indices.to_numpy().copy(), coded.dictionary
+        first = list(self._ids(_strings(coded.dictionary.take(pa.array(codes[heads])))))
         codes[heads] = len(names) + np.arange(len(texts))
         # every distinct span is looked up once, then all ids are laid out together
         known = self._known(names) + first

@@ -129,6 +129,21 @@ def test_ids_equal_those_of_whole_texts(spark):
     assert " ".join(spans("a b  c")) == "a b  c"
 
 
+def test_ids_of_a_batch_come_from_one_lookup():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["", " ", "a", "end. of\nline, (x)\ny!! z\n", "\n", "a\n\nb c\n d", "tail\n.", "...", "don't, it's; \u00e9t\u00e9! \u4f60\u597d, 12.5%", "x\r\ny.\tz?"]
+    texts = odd + [" ".join(f"{w}{i % 97}{s}" for i in range(60_000)) for w, s in (("w", ""), ("v", "."), ("u", "\nq"))]
+    texts += [t + " " + t for t in odd] + ["ab, " * 1_100_000]
+    assert (1 << 22) < sum(map(len, texts)) < (1 << 23)
+    encoder, asked = Encoder(path), []
+    plain = encoder.encode
+    encoder.encode = lambda some: asked.append(len(some)) or plain(some)
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode_all(texts)]
+    assert asked == [len(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_fills_bins():
     rnd = np.random.default_rng(1)
     lengths = rnd.integers(1, 1024, 5000)
