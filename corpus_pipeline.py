@@ -20,8 +20,10 @@ from farewise.llm.queries import tokenizer_path
 from farewise.llm.simhash import drop_near_duplicates
 
 
-# Python workers live from stage to stage, and their caches with them: a small one here.
+# Python workers live from stage to stage, and their caches with them: a small one here,
+# and less text that is tokenized at once.
 CACHE_SPANS = 60_000
+TEXT_AT_ONCE = 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return pack_documents(docs, tokenizer_path(), cache_spans=CACHE_SPANS)
+    return pack_documents(docs, tokenizer_path(), cache_spans=CACHE_SPANS, text_at_once=TEXT_AT_ONCE)
 
 
 STAGES = [

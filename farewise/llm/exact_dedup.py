@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import attach, land, parts, pick, staying, text_of
+from farewise.llm.common import attach, land, lean, parts, pick, staying, text_of
 
 RADIX = 8
 WHITE = r"[\x20\x09-\x0D]+"
@@ -57,7 +57,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run(df: DataFrame) -> DataFrame:
-    return df.sortWithinPartitions("part", "sha", "chk").mapInArrow(_merge, RUN)
+    return df.sortWithinPartitions("part", "sha", "chk").mapInArrow(lean(_merge), RUN)
 
 
 def merge_runs(digests: DataFrame, radix: int = RADIX) -> DataFrame:

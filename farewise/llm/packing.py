@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import land, pick
+from farewise.llm.common import give_back, land, lean, pick
 
 CAPACITY = 1024
 END_ID = 2
@@ -55,7 +55,9 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    give_back()  # what reading the file took
+    return found
 
 
 _SPACED = re.compile(r"\s ")
@@ -104,8 +106,8 @@ class Encoder:
     after it are pre-tokens of their own, so words are kept without them.  Words not seen
     before, one pre-token each, are tokenized in rows of ``ENCODE_AT_ONCE``."""
 
-    def __init__(self, path: str, cache_spans: int = CACHE_SPANS):
-        self.tokenizer, self.most = _tokenizer(path), cache_spans
+    def __init__(self, path: str, cache_spans: int = CACHE_SPANS, text_at_once: int = TEXT_AT_ONCE):
+        self.tokenizer, self.most, self.text_at_once = _tokenizer(path), cache_spans, text_at_once
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stops: dict[str, bytes] = {}  # runs of signs
@@ -200,7 +202,7 @@ class Encoder:
         for t in texts:
             held.append(t)
             n += len(t)
-            if n >= TEXT_AT_ONCE:
+            if n >= self.text_at_once:
                 yield from self.encode(held)
                 held, n = [], 0
         if held:
@@ -208,8 +210,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, cache_spans: int) -> Encoder:
-    return Encoder(path, cache_spans)
+def _encoder(path: str, cache_spans: int, text_at_once: int) -> Encoder:
+    return Encoder(path, cache_spans, text_at_once)
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -219,13 +221,14 @@ def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_spans: int = CACHE_SPANS) -> DataFrame:
+           capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_spans: int = CACHE_SPANS,
+           text_at_once: int = TEXT_AT_ONCE) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids.
-    ``cache_spans`` only trades a Python worker's memory for time."""
+    ``cache_spans`` and ``text_at_once`` only trade a Python worker's memory for time."""
     end = int(end_id).to_bytes(4, "little")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, cache_spans)
+        encoder = _encoder(tokenizer_path, cache_spans, text_at_once)
         for b in (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
             rows: list[list] = [[] for _ in range(5)]
             parts: list[bytes] = []
@@ -249,7 +252,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     slim = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return slim.mapInArrow(per_batch, PIECES + (", ids array<int>" if with_ids else ""))
+    return slim.mapInArrow(lean(per_batch), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,7 +318,7 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
     width, levels, count = None, [], None
     while True:
         level = len(levels)
-        packed = land(items.mapInArrow(_packer(level, capacity, items_per_task), schema), "packed")
+        packed = land(items.mapInArrow(lean(_packer(level, capacity, items_per_task)), schema), "packed")
         levels.append(packed)
         # an underfull bin is the item of the next round: its first member stands for it
         rest = packed.filter((F.col("offset") == 0) & (F.col("fill") < capacity - slack))
@@ -337,9 +340,10 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK,
-                   items_per_task: int = ITEMS_PER_TASK, with_ids: bool = False, cache_spans: int = CACHE_SPANS) -> DataFrame:
+                   items_per_task: int = ITEMS_PER_TASK, with_ids: bool = False, cache_spans: int = CACHE_SPANS,
+                   text_at_once: int = TEXT_AT_ONCE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids, cache_spans)
+    cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids, cache_spans, text_at_once)
     landed = land(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == capacity
     # a full piece is a sequence by itself; the others are packed (ids below 0 are never given to bins)

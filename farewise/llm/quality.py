@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farewise.llm.common import land, parts, pick, position, union_all
+from farewise.llm.common import give_back, land, lean, parts, pick, position, union_all
 
 LABELLED = 2400
 ROUNDS = 3
@@ -235,7 +235,7 @@ def _vectors(rows: DataFrame) -> list[Row]:
         F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"),
     )
     kinds = T.StructType([*slim.schema.fields[:3], T.StructField("content", T.BinaryType()), T.StructField("metadata", T.BinaryType())])
-    one = slim.mapInArrow(per_batch, kinds).groupBy("id").agg(F.min(F.struct("h", "y", "content", "metadata")).alias("r"))
+    one = slim.mapInArrow(lean(per_batch), kinds).groupBy("id").agg(F.min(F.struct("h", "y", "content", "metadata")).alias("r"))
     return sorted(one.select("id", "r.*").collect(), key=lambda r: r["id"])  # at most ``labelled`` rows of bounded size
 
 
@@ -259,7 +259,7 @@ def _views(pool: DataFrame) -> DataFrame:
             )
 
     rows = pool.select("text", "lang", "source", "n_chars", "stratum", "turn")
-    return land(rows.mapInArrow(per_batch, "stratum int, turn double, n long, grams binary, marks binary, meta binary"), "views")
+    return land(rows.mapInArrow(lean(per_batch), "stratum int, turn double, n long, grams binary, marks binary, meta binary"), "views")
 
 
 class Rows:
@@ -361,7 +361,7 @@ def _limits(pool: DataFrame, past: list[Round], now: Round, share: float, good:
         )
 
     kinds = "stratum int, side int, step int, n long"
-    seen = pool.mapInArrow(count, kinds).groupBy("stratum", "side", "step").agg(F.sum("n").alias("n"))
+    seen = pool.mapInArrow(lean(count), kinds).groupBy("stratum", "side", "step").agg(F.sum("n").alias("n"))
     # at most 4 * (TOP + 1) + 1 rows a stratum
     by = Window.partitionBy("stratum")
     upward = Window.partitionBy("stratum", "side").orderBy(F.desc("step"))
@@ -391,7 +391,7 @@ def _handed(pool: DataFrame, past: list[Round], now: Round) -> DataFrame:
                  "x": pa.array([rows.packed(v, i) for v, _, i in out], pa.binary())}
             )
 
-    return land(pool.mapInArrow(take, "view int, y int, x binary"), "handed")
+    return land(pool.mapInArrow(lean(take), "view int, y int, x binary"), "handed")
 
 
 def _gradients(given: DataFrame, models: list[Logistic], each: list[tuple[float, float]]) -> list[np.ndarray]:
@@ -412,7 +412,7 @@ def _gradients(given: DataFrame, models: list[Logistic], each: list[tuple[float,
                 total[v][-1] += err.sum()
         yield pa.RecordBatch.from_pydict({"g": pa.array([np.concatenate(total).tobytes()], pa.binary())})
 
-    sums = [np.frombuffer(r["g"]) for r in given.mapInArrow(add, "g binary").collect()]  # one row per task
+    sums = [np.frombuffer(r["g"]) for r in given.mapInArrow(lean(add), "g binary").collect()]  # one row per task
     whole = np.sum(sums, axis=0) if sums else np.zeros(sum(len(m.weights) + 1 for m in models))
     return np.split(whole, [len(models[0].weights) + 1])
 
@@ -503,10 +503,12 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD, **co
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # one weight per slot
 
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        clean = [[None if v is None or v != v else v for v in s] for s in (text, lang, source, n_chars)]
-        out = [shared.value.score(*row) for row in zip(*clean)]
-        return pd.DataFrame(out, columns=[f.name for f in SCORES])
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            clean = ([None if v is None or v != v else v for v in s] for s in columns)
+            out = [shared.value.score(*row) for row in zip(*clean)]
+            yield pd.DataFrame(out, columns=[f.name for f in SCORES])
+        give_back()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "double"}

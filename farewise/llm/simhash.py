@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import attach, land, pick, staying, text_of
+from farewise.llm.common import attach, land, lean, pick, staying, text_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fps.view(np.int64))], names=["id", "hash", "fp"])
 
     slim = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("hash"))
-    return slim.mapInArrow(per_batch, "id long, hash long, fp long")
+    return slim.mapInArrow(lean(per_batch), "id long, hash long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -185,7 +185,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Dat
                 row, key = fuzzy_keys(fps.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], names=["key", "fp"])
 
-    keyed = nodes.mapInArrow(per_batch, "key long, fp long")
+    keyed = nodes.mapInArrow(lean(per_batch), "key long, fp long")
     big = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -198,7 +198,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Dat
         "key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "fp"
     )
     grouped = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return grouped.mapInArrow(_linker(max_bits), "a long, b long")
+    return grouped.mapInArrow(lean(_linker(max_bits)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -200,3 +200,28 @@ def test_packing_documents(spark):
         lengths = [len(pieces[k][0][1]) for k in sorted(pieces)]
         assert starts == np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int).tolist() and set(lengths[1:]) <= {1024}
     assert pack_documents(empty_docs(spark), PATH).count() == 0
+
+
+def test_tasks_give_back_memory_when_they_end(monkeypatch):
+    from farewise.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    twice = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(twice(iter([1, 2, 3]))) == [2, 4, 6] and given == [1]
+    some = twice(iter([1, 2, 3]))  # also where rows are not read to the end
+    assert next(some) == 2 and given == [1]
+    some.close()
+    assert given == [1, 1]
+
+
+def test_text_at_once_bounds_what_is_tokenized_together(spark):
+    texts = [f"word{i} and, more words\nof text {i}" for i in range(60)]
+    whole, few, seen = Encoder(PATH), Encoder(PATH, text_at_once=100), []
+    encode = few.encode
+    few.encode = lambda held: seen.append(sum(map(len, held))) or encode(held)
+    assert list(few.encode_all(texts)) == list(whole.encode_all(texts))
+    assert len(seen) > 10 and max(seen) < 100 + max(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda **options: sorted(map(tuple, pack_documents(docs, PATH, **options).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert rows(text_at_once=100) == rows()
