@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import land, parts, pick
+from farewise.llm.common import give_back, land, parts, pick
+from farewise.llm.ranked import runs
 
 DEPTH = 5
 TOP = 2  # context bytes that decide which task holds a node
 BLOCK_BYTES = 16 << 20
 HELD_OUT_OF = 10
-POSITIONS_AT_ONCE = 1 << 21
+TEXT_AT_ONCE = 1 << 20
 END = b"\n"
 
 ASK = "kind int, bucket long, block long, items binary, counts binary"
@@ -78,25 +79,14 @@ def grams_of(datas: list[bytes], depth: int) -> np.ndarray:
     return out.view(np.int64)[own]
 
 
-def batches_of(datas: list[bytes]) -> Iterator[list[bytes]]:
-    held, n = [], 0
-    for d in datas:
-        held.append(d)
-        n += len(d)
-        if n >= POSITIONS_AT_ONCE:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def counted(datas: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct grams and their counts."""
-    keys, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    for some in batches_of(datas):
-        codes, new = pd.factorize(grams_of(some, depth))
-        keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, np.bincount(codes, minlength=len(new))]))
-    return keys, counts
+def some_texts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows of about ``TEXT_AT_ONCE`` of text and their words, so that a block's words never
+    are in memory all at once."""
+    for batch in table.to_batches():
+        for a, b in runs(batch.column("text"), TEXT_AT_ONCE):
+            if b > a:
+                rows = batch.slice(a, b - a)
+                yield rows, list(map(words_of, rows.column("text").to_pylist()))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,21 +245,25 @@ def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
 
 
-def block_grams(datas: list[bytes], held: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's sorted distinct grams and their counts in its training texts."""
-    keys, counts = counted([d for d, h in zip(datas, held) if not h], depth)
-    more, _ = counted([d for d, h in zip(datas, held) if h], depth)
-    return summed(np.concatenate([keys, more]), np.concatenate([counts, np.zeros(len(more), dtype=np.int64)]))
-
-
-def block_words(words: list[list[bytes]], held: list[bool]) -> tuple[list[bytes], np.ndarray]:
-    """A block's sorted distinct words and their counts in its training texts."""
+def block_items(table: pa.Table, depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's sorted distinct words and their counts in its training texts, its sorted
+    distinct grams and their counts there."""
     counts: Counter[bytes] = Counter()
-    for ws, h in zip(words, held):
-        if not h:
-            counts.update(ws)
-    names = sorted(set().union(counts, *(ws for ws, h in zip(words, held) if h)))
-    return names, np.fromiter(map(counts.__getitem__, names), dtype=np.int64, count=len(names))
+    others: set[bytes] = set()
+    keys, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for rows, words in some_texts(table):
+        held = rows.column("held_out").to_pylist()
+        for ws, h in zip(words, held):
+            (others if h else counts).update(ws)
+        datas = [b" ".join(ws) + END for ws in words]
+        del words
+        codes, new = pd.factorize(grams_of(datas, depth))
+        learned = np.repeat(~np.array(held, dtype=bool), list(map(len, datas)))
+        more = np.bincount(codes[learned], minlength=len(new))
+        del codes, learned
+        keys, n = summed(np.concatenate([keys, new]), np.concatenate([n, more]))
+    names = sorted(others.union(counts))
+    return names, np.fromiter(map(counts.__getitem__, names), dtype=np.int64, count=len(names)), keys, n
 
 
 def _sides(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -280,24 +274,29 @@ def _sides(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[places[0]]), places
 
 
+def _leanly(group, *args):
+    """``group(*args)``; then what it has freed goes back to the system, as Python workers live on."""
+    try:
+        return group(*args)
+    finally:
+        give_back()
+
+
 def _ask(depth: int, buckets: int):
-    def ask(key, table):
+    def asked(key, table):
         block = key[0].as_py()
-        held = table.column("held_out").to_pylist()
-        words = [words_of(t) for t in table.column("text").to_pylist()]
+        names, n_names, keys, n = block_items(table, depth)
         out: list[tuple] = []
-        names, n = block_words(words, held)
         for b, at in _sides(_word_buckets(names, buckets)):
-            out.append((WORD, b, block, b" ".join(names[i] for i in at.tolist()), _planes(n[at])))
-        del names, n
-        datas = [b" ".join(ws) + END for ws in words]
-        del words
-        keys, n = block_grams(datas, held, depth)
+            out.append((WORD, b, block, b" ".join(names[i] for i in at.tolist()), _planes(n_names[at])))
         for b, at in _sides(_gram_bucket(keys, depth, buckets)):
             out.append((GRAM, b, block, _pack_keys(keys[at]), _planes(n[at])))
         types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        names_ = ("kind", "bucket", "block", "items", "counts")
-        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(names_, types))})
+        columns = ("kind", "bucket", "block", "items", "counts")
+        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(columns, types))})
+
+    def ask(key, table):
+        return _leanly(asked, key, table)
 
     return ask
 
@@ -318,7 +317,7 @@ def _bucket_counts(table: pa.Table) -> tuple[dict[bytes, int], list[list[bytes]]
 
 
 def _tops(depth: int):
-    def tops(key, table):
+    def found(key, table):
         if key[0].as_py() == WORD:
             total, _ = _bucket_counts(table)
             rows = [[-1], [0.0], [0.0], [0.0], [sum(n > 0 for n in total.values())], [sum(total.values())]]
@@ -329,11 +328,14 @@ def _tops(depth: int):
         names = ("node", "total", "ones", "below", "words", "tokens")
         return pa.table({k: pa.array(np.asarray(r).astype("f8" if t == pa.float64() else "i8"), t) for k, r, t in zip(names, rows, types)})
 
+    def tops(key, table):
+        return _leanly(found, key, table)
+
     return tops
 
 
 def _answer(depth: int, upper):
-    def answer(key, table):
+    def answered(key, table):
         if key[0].as_py() == WORD:
             total, lists = _bucket_counts(table)
             out = [_planes(np.fromiter(map(total.__getitem__, ws), dtype=np.int64, count=len(ws))) for ws in lists]
@@ -343,47 +345,55 @@ def _answer(depth: int, upper):
             out = [p[np.searchsorted(tree.keys[0], k)].tobytes() for k in keys]
         return table.select(["kind", "block", "items"]).append_column("answer", pa.array(out, pa.binary()))
 
+    def answer(key, table):
+        return _leanly(answered, key, table)
+
     return answer
 
 
 def _score(depth: int):
-    def score(key, docs, answers):
+    def scored(key, docs, answers):
         logs: dict[bytes, float] = {}
         keys, p = [], []
-        rows = zip(*(answers.column(c).to_pylist() for c in ("kind", "items", "answer")))
-        for kind, items, answer in rows:
-            if kind == WORD:
-                logs.update(zip(items.split(b" "), np.log10(_numbers(answer) + 0.1).tolist()))
-            else:
-                keys.append(_unpack_keys(items))
-                p.append(np.frombuffer(answer, dtype="<f4").astype(np.float64))
+        for batch in answers.to_batches(max_chunksize=64):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "items", "answer")))
+            for kind, items, answer in rows:
+                if kind == WORD:
+                    logs.update(zip(items.split(b" "), np.log10(_numbers(answer) + 0.1).tolist()))
+                else:
+                    keys.append(_unpack_keys(items))
+                    p.append(np.frombuffer(answer, dtype="<f4"))
         keys, p = np.concatenate(keys), np.concatenate(p)
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
+        del order
         unknown = math.log10(0.1)
-        base, n_known, n_tokens, datas = [], [], [], []
-        for text in docs.column("text").to_pylist():
-            words = words_of(text)
-            found = list(map(logs.__getitem__, words))
-            base.append(sum(found))
-            n_known.append(len(found) - found.count(unknown))
-            n_tokens.append(len(words))
-            datas.append(b" ".join(words) + END)
-        del logs
-        scores: list[float] = []
-        for some in batches_of(datas):
-            sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            codes, distinct = pd.factorize(grams_of(some, depth))
-            scores.extend(np.add.reduceat(p[np.searchsorted(keys, distinct)][codes], starts).tolist())
+        base, n_known, n_tokens, n_bytes, scores = [], [], [], [], []
+        for _, words in some_texts(docs):
+            for ws in words:
+                found = list(map(logs.__getitem__, ws))
+                base.append(sum(found))
+                n_known.append(len(found) - found.count(unknown))
+                n_tokens.append(len(ws))
+            datas = [b" ".join(ws) + END for ws in words]
+            del words
+            sizes = np.fromiter(map(len, datas), dtype=np.int64, count=len(datas))
+            codes, distinct = pd.factorize(grams_of(datas, depth))
+            logs2 = p[np.searchsorted(keys, distinct)].astype(np.float64)[codes]
+            scores.append(np.add.reduceat(logs2, np.cumsum(sizes) - sizes))
+            n_bytes.append(sizes)
+            del datas, codes, distinct, logs2
         return pa.table({
             "doc_id": docs.column("id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "base_sum": pa.array(base, pa.float64()),
-            "score": pa.array([s * math.log10(2) for s in scores], pa.float64()),
-            "n_bytes": pa.array(list(map(len, datas)), pa.int64()),
+            "score": pa.array(np.concatenate(scores) * math.log10(2), pa.float64()),
+            "n_bytes": pa.array(np.concatenate(n_bytes), pa.int64()),
         })
 
+    def score(key, docs, answers):
+        return _leanly(scored, key, docs, answers)
+
     return score
 
 

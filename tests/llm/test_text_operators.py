@@ -3,16 +3,19 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tables import SF_CHECK, SF_SMALL
 from edge import ROWS, documents, edge_docs, empty_docs
+from farewise.llm import lm
 from farewise.llm.html import extract_main_text, main_text
 from farewise.llm.licenses import CONTAINMENT, collision_probability, scan
 from farewise.llm.lm import score_documents
@@ -256,6 +259,30 @@ def test_score_edge_cases(spark):
         assert alone["score"] == pytest.approx(len("held out\n") * 8 * math.log10(0.5), rel=1e-6)
 
 
+def test_scoring_a_block_holds_few_of_its_words_at_once(monkeypatch):
+    monkeypatch.setattr(lm, "TEXT_AT_ONCE", 1 << 16, raising=False)
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(vocabulary, k=500)) for _ in range(900)]
+    docs = pa.table({"id": pa.array(range(900), pa.int64()), "text": texts, "held_out": [i % 10 == 0 for i in range(900)]})
+
+    def peak(call):
+        tracemalloc.start()
+        try:
+            return call(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    asked, most = peak(lambda: lm._ask(5, 4)((pa.scalar(0),), docs))
+    assert most < 8 * sum(map(len, texts))
+    counts = zip(asked.column("kind").to_pylist(), asked.column("counts").to_pylist())
+    fake = [n if kind == lm.WORD else np.full(len(n) // 8, -1, dtype="<f4").tobytes() for kind, n in counts]
+    answers = asked.select(["kind", "block", "items"]).append_column("answer", pa.array(fake, pa.binary()))
+    scored, most = peak(lambda: lm._score(5)((pa.scalar(0),), docs, answers))
+    assert most < 8 * sum(map(len, texts))
+    assert scored.column("n_bytes").to_pylist() == [len(t) + 1 for t in texts]
+
+
 # --- licenses -------------------------------------------------------------------
 
 
