@@ -32,7 +32,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,9 +88,18 @@ def some_texts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[list[byte
                 yield rows, list(map(words_of, rows.column("text").to_pylist()))
 
 
+def counted(datas: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of the ``datas`` and their counts."""
+    if not datas:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    keys = np.sort(grams_of(datas, depth))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
     return (keys[first], np.add.reduceat(counts, first)) if len(keys) else (keys, counts)
@@ -255,13 +263,9 @@ def block_items(table: pa.Table, depth: int) -> tuple[list[bytes], np.ndarray, n
         held = rows.column("held_out").to_pylist()
         for ws, h in zip(words, held):
             (others if h else counts).update(ws)
-        datas = [b" ".join(ws) + END for ws in words]
+        learned, seen = (counted([b" ".join(ws) + END for ws, h in zip(words, held) if h is out], depth) for out in (False, True))
         del words
-        codes, new = pd.factorize(grams_of(datas, depth))
-        learned = np.repeat(~np.array(held, dtype=bool), list(map(len, datas)))
-        more = np.bincount(codes[learned], minlength=len(new))
-        del codes, learned
-        keys, n = summed(np.concatenate([keys, new]), np.concatenate([n, more]))
+        keys, n = summed(np.concatenate([keys, learned[0], seen[0]]), np.concatenate([n, learned[1], np.zeros_like(seen[1])]))
     names = sorted(others.union(counts))
     return names, np.fromiter(map(counts.__getitem__, names), dtype=np.int64, count=len(names)), keys, n
 
@@ -378,11 +382,16 @@ def _score(depth: int):
             datas = [b" ".join(ws) + END for ws in words]
             del words
             sizes = np.fromiter(map(len, datas), dtype=np.int64, count=len(datas))
-            codes, distinct = pd.factorize(grams_of(datas, depth))
-            logs2 = p[np.searchsorted(keys, distinct)].astype(np.float64)[codes]
+            grams = grams_of(datas, depth)
+            del datas
+            order = np.argsort(grams)
+            grams = grams[order]
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            logs2 = np.empty(len(grams))
+            logs2[order] = np.repeat(p[np.searchsorted(keys, grams[first])].astype(np.float64), np.diff(first, append=len(grams)))
             scores.append(np.add.reduceat(logs2, np.cumsum(sizes) - sizes))
             n_bytes.append(sizes)
-            del datas, codes, distinct, logs2
+            del grams, order, first, logs2
         return pa.table({
             "doc_id": docs.column("id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
