@@ -6,13 +6,16 @@ their commonest word and their length) is written once.  Document frequencies an
 table, so scores of different shards compare, and the best ``k`` of all shards'
 best ``k`` are the exact answer.
 
-Within a shard, terms in at least a 1/FREQUENT share of its documents keep the
-largest contribution per block of ``BLOCK`` documents.  For a query the other
-terms' postings are added up; a document can reach at most that sum plus its
-block's maxima.  The documents with the largest bounds are scored first, which
-gives a threshold (kept from shard to shard within a task); then the next ones, until no
-bound reaches it.  Nothing else is left out, so the answer is that of scoring
-everything.
+Within a shard, terms in at least a 1/FREQUENT share of its documents are columns of a
+matrix and keep the largest contribution per block of ``BLOCK`` documents.  For some
+queries at a time the other terms' postings are added up; a document can reach at most
+that sum plus its block's maxima.  Where most blocks reach no query's threshold (the k-th
+score that its task has found, kept from shard to shard), only the others are scored; the
+matrix times the queries gives the scores.  Nothing else is left out, so the answer is that
+of scoring everything.
+
+There are as many search tasks as cores, each with its share of the shards, so what they
+hand on grows with the queries, not with queries times shards.
 
 Queries are taken in blocks of at most about ``QUERY_BYTES``, each sent to all
 tasks as numbers of the block's words; a word is looked up once in a shard, not once a
@@ -34,16 +37,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import land, pick, union_all
+from farewise.llm.common import land, lean, pick, union_all
 from farewise.llm.ranked import counted, joined, runs
 
 K = 10
 K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_DOCS = 16 << 20, 8192
-FREQUENT = 4
+FREQUENT = 16
 BLOCK = 16
-# Documents that are scored in full at first; twice as many each time after.
-AT_ONCE = 64
+# The most numbers in a shard's matrix, and about the words of the queries searched for at a time.
+CELLS = 1 << 22
+WORDS_AT_ONCE = 1 << 15
+# What scores in single precision may be off by, for their size.
+SLACK = 1e-4
+# Candidates that are scored to all digits at a time.
+AT_ONCE = 256
 QUERY_BYTES = 64 << 20
 QUERY_EVERY = 20
 SEED = 42
@@ -120,71 +128,95 @@ class Builder:
 
 
 class Shard:
-    """An index ready for searching, given the mean length of all documents."""
+    """An index ready for searching, given the mean length of all documents and the queries' words."""
 
-    def __init__(self, row: dict, mean: float, vocabulary: np.ndarray):
+    def __init__(self, row: dict, mean: float, vocabulary: np.ndarray, weights: np.ndarray):
         read = lambda c: np.frombuffer(row[c], dtype="<i8").astype(np.int64)
         self.n, self.ids, lengths, terms = row["docs"], read("ids"), read("lengths"), read("terms")
-        self.starts = np.concatenate([[0], np.cumsum(_unpacked(row["counts"], len(terms)), dtype=np.int64)])
-        self.postings = _unpacked(row["postings"], int(self.starts[-1])).copy()
+        self.sizes = _unpacked(row["counts"], len(terms)).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.postings = _unpacked(row["postings"], int(self.starts[-1])).astype(np.int32)
+        # the place of each of the queries' words, -1 where the shard has it not
+        self.at = np.searchsorted(terms, vocabulary)
+        self.at[self.at == len(terms)] = 0
+        self.at[terms[self.at] != vocabulary if len(terms) else slice(None)] = -1
+        known = self.at >= 0
+        weight = np.zeros(len(terms))
+        weight[self.at[known]] = weights[known]
         tf = _unpacked(row["tfs"], int(self.starts[-1])).astype(np.float64)
         self.part = (K1 * (1 - B + B * lengths / max(mean, 1e-9)))[self.postings]
         self.part += tf
         tf *= K1 + 1
         np.divide(tf, self.part, out=self.part)
         del tf
-        # the place of each of the queries' words, -1 where the shard has it not
-        self.at = np.searchsorted(terms, vocabulary)
-        self.at[self.at == len(terms)] = 0
-        self.at[terms[self.at] != vocabulary if len(terms) else slice(None)] = -1
-        frequent = np.flatnonzero(np.diff(self.starts) * FREQUENT >= max(self.n, FREQUENT))
+        self.part *= np.repeat(weight, self.sizes)
+        frequent = np.flatnonzero((self.sizes * FREQUENT >= max(self.n, FREQUENT)) & (weight > 0))
+        frequent = frequent[np.argsort(-self.sizes[frequent], kind="stable")][:max(1, CELLS // max(1, self.n))]
         self.column = np.full(len(terms), -1, dtype=np.int64)
         self.column[frequent] = np.arange(len(frequent))
-        blocks = -(-self.n // BLOCK)
         self.dense = np.zeros((self.n, len(frequent)))
-        self.most = np.zeros((len(frequent), blocks))
         for c, t in enumerate(frequent):
             some = slice(self.starts[t], self.starts[t + 1])
             self.dense[self.postings[some], c] = self.part[some]
-            np.maximum.at(self.most[c], self.postings[some] // BLOCK, self.part[some])
+        self.rough = np.ascontiguousarray(self.dense.T, dtype=np.float32)
+        self.edges = np.arange(0, self.n, BLOCK)
+        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T
         self.block = np.arange(self.n) // BLOCK
 
-    def search(self, words: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that can be among the best ``k``, where ``least`` is already reached by k others."""
-        at = self.at[words]
+    def search(self, words: np.ndarray, starts: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of all that can be among the best ``k`` of one of these queries, each
+        of them the ``words`` from one of ``starts`` to the next; k others already reach its ``least``."""
+        n = len(starts) - 1
+        at, query = self.at[words], np.repeat(np.arange(n), np.diff(starts))
         known = at >= 0
-        at, weights = at[known], weights[known]
-        if not len(at):
-            return np.empty(0, dtype=np.int64), np.empty(0)
+        at, query = at[known], query[known]
         column = self.column[at]
         rare = column < 0
-        starts, ends = self.starts[at[rare]], self.starts[at[rare] + 1]
-        sizes = ends - starts
-        where = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        sums = np.bincount(self.postings[where], self.part[where] * np.repeat(weights[rare], sizes), minlength=self.n)
-        columns, w = column[~rare], weights[~rare]
-        bound = sums + (w @ self.most[columns])[self.block] + 1e-7
-        all_weights = np.zeros(self.dense.shape[1])
-        all_weights[columns] = w
-        # best bounds first, a few at a time: the threshold rises, and ends the search
-        docs, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        left, at_once = np.flatnonzero(bound >= max(least, 1e-7)), AT_ONCE
-        while len(left):
-            if len(left) > at_once:
-                near = np.argpartition(-bound[left], at_once)
-                now, left = left[near[:at_once]], left[near[at_once:]]
-            else:
-                now, left = left, left[:0]
-            got = np.round(sums[now] + self.dense[now] @ all_weights, 8)
-            docs, scores = np.concatenate([docs, now[got > 0]]), np.concatenate([scores, got[got > 0]])
-            if len(docs) > k:
-                best = np.lexsort((self.ids[docs], -scores))[:k]
-                docs, scores = docs[best], scores[best]
-            if len(docs) == k:
-                least = max(least, scores.min())
-            left = left[bound[left] >= least]
-            at_once *= 2
-        return docs, scores
+        first, sizes = self.starts[at[rare]], self.sizes[at[rare]]
+        cuts = np.searchsorted(query[rare], np.arange(n + 1)).tolist()
+        sums = np.zeros((n, self.n))
+        for q in range(n):
+            size = sizes[cuts[q]:cuts[q + 1]]
+            where = np.repeat(first[cuts[q]:cuts[q + 1]] - (np.cumsum(size) - size), size)
+            where += np.arange(len(where))
+            sums[q] = np.bincount(self.postings.take(where, mode="clip"), self.part.take(where, mode="clip"), minlength=self.n)
+        asked = np.zeros((n, self.dense.shape[1]))
+        asked[query[~rare], column[~rare]] = 1
+        # blocks of documents that no query's bound reaches are left out where they are many
+        reach = np.maximum.reduceat(sums, self.edges, axis=1) + asked @ self.most + 1e-7
+        near = (reach >= np.maximum(least, 1e-7)[:, None]).any(axis=0)
+        docs = np.flatnonzero(near[self.block])
+        if 4 * len(docs) < self.n:
+            rough, sums = asked.astype(np.float32) @ self.rough[:, docs], sums[:, docs]
+        else:
+            rough, docs = asked.astype(np.float32) @ self.rough, np.arange(self.n)
+        # scores to about 7 digits: what can be among the best is scored to all digits
+        rough = rough + sums
+        none = np.flatnonzero(least <= 0)
+        if len(none) and len(docs) > k:
+            least = least.copy()
+            least[none] = np.partition(rough[none], -k, axis=1)[:, -k]
+        found, near = np.nonzero(rough >= np.maximum(least * (1 - SLACK) - 1e-6, 1e-9)[:, None])
+        docs = docs[near]
+        scores = sums[found, near]
+        for a in range(0, len(found), AT_ONCE):
+            some = slice(a, a + AT_ONCE)
+            scores[some] += np.einsum("ij,ij->i", self.dense[docs[some]], asked[found[some]])
+        scores = np.round(scores, 8)
+        some = (scores > 0) & (scores >= least[found] * (1 - SLACK) - 1e-6)
+        return found[some], docs[some], scores[some]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, found: np.ndarray, more: np.ndarray, theirs: np.ndarray) -> None:
+    """Puts what was ``found`` for the queries (ids ``more``, scores ``theirs``) into their rows of the
+    best ``ids`` and ``scores``, best first; score 0: none."""
+    rows, places = np.nonzero(scores > 0)
+    rows, more, theirs = np.concatenate([rows, found]), np.concatenate([ids[rows, places], more]), np.concatenate([scores[rows, places], theirs])
+    order = np.lexsort((more, -theirs, rows))
+    rows, more, theirs = rows[order], more[order], theirs[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(ids)))[rows]
+    top = rank < ids.shape[1]
+    ids[rows[top], rank[top]], scores[rows[top], rank[top]] = more[top], theirs[top]
 
 
 def _searcher(block, mean: float, k: int):
@@ -192,31 +224,29 @@ def _searcher(block, mean: float, k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, starts, words, vocabulary, weights = block.value
-        cuts, best = list(zip(qids.tolist(), starts[:-1].tolist(), starts[1:].tolist())), {}
+        # some queries at a time: those that begin within WORDS_AT_ONCE words
+        cuts = np.flatnonzero(np.diff(starts[:-1] // WORDS_AT_ONCE, prepend=-1))
+        cuts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(qids)]))
+        ids, scores = np.zeros((len(qids), k), dtype=np.int64), np.zeros((len(qids), k))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {"docs": batch.column("docs")[i].as_py(), **{c: batch.column(c)[i].as_buffer() for c in ARRAYS}}
-                shard = Shard(row, mean, vocabulary)
-                for q, a, b in cuts:
-                    ids, scores = best.get(q, (np.empty(0, dtype=np.int64), np.empty(0)))
-                    docs, more = shard.search(words[a:b], weights[words[a:b]], k, scores.min() if len(scores) >= k else 0.0)
-                    if not len(docs):
-                        continue
-                    ids, scores = np.concatenate([ids, shard.ids[docs]]), np.concatenate([scores, more])
-                    if len(ids) > k:
-                        keep = np.lexsort((ids, -scores))[:k]
-                        ids, scores = ids[keep], scores[keep]
-                    best[q] = ids, scores
+                shard = Shard(row, mean, vocabulary, weights)
+                for a, b in cuts:
+                    some = words[starts[a]:starts[b]]
+                    found, docs, theirs = shard.search(some, starts[a:b + 1] - starts[a], k, scores[a:b, -1])
+                    if len(found):
+                        _best(ids[a:b], scores[a:b], found, shard.ids[docs], theirs)
                 del shard, row
-        if best:
-            qids = np.repeat(np.array(list(best), dtype=np.int64), [len(x[0]) for x in best.values()])
-            ids = np.concatenate([x[0] for x in best.values()])
+        rows, places = np.nonzero(scores > 0)
+        if len(rows):
+            found = ids[rows, places]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids), pa.array(ids, mask=ids == NO_ID), pa.array(np.concatenate([x[1] for x in best.values()]))],
+                [pa.array(qids[rows]), pa.array(found, mask=found == NO_ID), pa.array(scores[rows, places])],
                 names=["qid", "doc_id", "score"],
             )
 
-    return search
+    return lean(search)
 
 
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -241,7 +271,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if shard.docs:
             yield shard.batch()
 
-    return land(rows.mapInArrow(build, INDEX), "index")
+    return land(rows.mapInArrow(lean(build), INDEX), "index")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -305,7 +335,7 @@ def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     for i in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()  # one block: about query_bytes
         shared = spark.sparkContext.broadcast(_block(some, n))
-        best = index.mapInArrow(_searcher(shared, (words or 0) / max(1, n or 0), k), FOUND)
+        best = index.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_searcher(shared, (words or 0) / max(1, n or 0), k), FOUND)
         w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
         found.append(land(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "found"))
         shared.unpersist()

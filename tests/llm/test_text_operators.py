@@ -7,15 +7,17 @@ import tracemalloc
 import zlib
 from collections import Counter
 from html import unescape
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tables import SF_CHECK, SF_SMALL
 from edge import ROWS, documents, edge_docs, empty_docs
-from farewise.llm import lm
+from farewise.llm import lm, search
 from farewise.llm.html import extract_main_text, main_text
 from farewise.llm.licenses import CONTAINMENT, collision_probability, scan
 from farewise.llm.lm import score_documents
@@ -170,6 +172,59 @@ def test_search_index_is_compact_and_holds_large_counts(spark):
     assert found == brute_top(rows, [(1, "w1 w2"), (2, "w49 none")], 10)
 
 
+def test_search_tasks_are_as_many_as_cores_whatever_the_shards(spark, monkeypatch):
+    tasks, made = spark.sparkContext.accumulator(0), search._searcher
+
+    def counting(block, mean, k):
+        run = made(block, mean, k)
+
+        def counted(batches):
+            tasks.add(1)
+            yield from run(batches)
+
+        return counted
+
+    monkeypatch.setattr(search, "_searcher", counting)
+    rows = [(i, f"a{i % 7} b{i % 11} c{i} common") for i in range(400)]
+    cores = spark.sparkContext.defaultParallelism
+    docs = documents(spark, rows).repartition(5 * cores)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        got = top_k(docs, documents(spark, rows[::20]), shard_docs=4).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in got) == brute_top(rows, rows[::20], 10)
+    assert 0 < tasks.value <= cores
+
+
+def test_search_of_a_shard_is_the_same_however_terms_and_queries_are_split(spark, monkeypatch):
+    rnd = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join(rnd.choices(vocabulary, [1 / (j + 1) for j in range(120)], k=rnd.randint(1, 50)))) for i in range(300)]
+    rows += [(1000 + i, rows[3][1]) for i in range(30)]
+    docs, want = documents(spark, rows), brute_top(rows, rows[::20], 10)
+    for frequent, cells, words, at_once in ((16, 1 << 22, 1 << 15, 256), (1, 1, 1, 1), (1000, 1 << 22, 40, 7), (1000, 900, 1 << 15, 3)):
+        for name, value in (("FREQUENT", frequent), ("CELLS", cells), ("WORDS_AT_ONCE", words), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(search, name, value)
+        index = index_documents(docs, shard_docs=150).toArrow().to_batches()
+        n, terms = len(rows), sum(b.column("words")[i].as_py() for b in index for i in range(b.num_rows))
+        asked = [(i, sorted(set(t.encode().split()))) for i, t in rows[::20]]
+        bags = [set(t.encode().split()) for _, t in rows]
+        df = Counter(w for b in bags for w in b)
+        number = [[(xxh64_intdigest(w, search.SEED) + (1 << 63)) % (1 << 64) - (1 << 63) for w in ws] for _, ws in asked]
+        block = search._block(pa.table({
+            "qid": pa.array([i for i, _ in asked], pa.int64()), "terms": pa.array(number, pa.list_(pa.int64())),
+            "dfs": pa.array([[df[w] for w in ws] for _, ws in asked], pa.list_(pa.int64())),
+        }), n)
+        found = pa.Table.from_batches(search._searcher(SimpleNamespace(value=block), terms / n, 10)(iter(index))).to_pylist()
+        ranked = Counter()
+        for i, _ in asked:
+            mine = sorted((-r["score"], r["doc_id"]) for r in found if r["qid"] == i)
+            ranked += Counter((i, at + 1, d, round(-s, 5)) for at, (s, d) in enumerate(mine))
+        assert ranked == want
+
+
 # --- language model -------------------------------------------------------------
 
 
