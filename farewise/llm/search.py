@@ -1,4 +1,4 @@
-"""Exact top-k search: BM25 over a sharded inverted index, frequent terms pruned by block maxima.
+"""Exact top-k search: BM25 over a sharded inverted index, blocks of documents pruned by their bounds.
 
 Tasks cut the documents they read into shards of about ``SHARD_BYTES`` of text; each
 shard's inverted index (terms, postings, term frequencies, lengths; documents ordered by
@@ -6,13 +6,16 @@ their commonest word and their length) is written once.  Document frequencies an
 table, so scores of different shards compare, and the best ``k`` of all shards'
 best ``k`` are the exact answer.
 
-Within a shard, terms in at least a 1/FREQUENT share of its documents are columns of a
-matrix and keep the largest contribution per block of ``BLOCK`` documents.  For some
-queries at a time the other terms' postings are added up; a document can reach at most
-that sum plus its block's maxima.  Where most blocks reach no query's threshold (the k-th
-score that its task has found, kept from shard to shard), only the others are scored; the
-matrix times the queries gives the scores.  Nothing else is left out, so the answer is that
-of scoring everything.
+Like queries are searched for together: they are sorted into kinds by their commonest words
+(their language's, as a rule), then by their number of words.  For some of them at a time, words
+that many of them and many of a shard's documents have are columns of a matrix; the other
+words' postings are added up query by query, in rows of ``ROW`` postings.  A document can reach
+at most that sum plus the largest of its block of ``BLOCK`` documents in the query's columns, or
+plus the most that one of the block has in all columns.  Blocks that reach no query's threshold
+(the k-th score that its task has found, kept from shard to shard) are left out; for the others
+the queries times the matrix gives the scores in single precision, and what can be among the
+best is scored again in double.  Nothing else is left out, so the answer is that of scoring
+everything.
 
 There are as many search tasks as cores, each with its share of the shards, so what they
 hand on grows with the queries, not with queries times shards.
@@ -38,19 +41,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.llm.common import land, lean, pick, union_all
-from farewise.llm.ranked import counted, joined, runs
+from farewise.llm.ranked import joined, runs
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 8192
+SHARD_BYTES, SHARD_DOCS = 32 << 20, 16384
+# A word is a column of the matrix where the share of the queries at hand that have it times the share of
+# the shard's documents that have it is at least 1 / FREQUENT ** 2.
 FREQUENT = 16
-BLOCK = 16
-# The most numbers in a shard's matrix, and about the words of the queries searched for at a time.
-CELLS = 1 << 22
-WORDS_AT_ONCE = 1 << 15
+BLOCK = 8
+# Postings that are read together.
+ROW = 8
+# The most numbers in a matrix, about the words of the queries searched for at a time, and the most queries.
+CELLS = 1 << 23
+WORDS_AT_ONCE = 1 << 17
+QUERIES_AT_ONCE = 512
+# Such groups of queries that share a matrix.
+MATRIX_FOR = 4
+# Queries are sorted into so many kinds by so many of their commonest words, in so many rounds.
+KINDS, COMMON, KIND_ROUNDS = 8, 256, 4
 # What scores in single precision may be off by, for their size.
 SLACK = 1e-4
-# Candidates that are scored to all digits at a time.
+# Candidates after which they are scored to all digits, and for how many queries a document is at a time.
+FOUND_AT_ONCE = 1 << 18
 AT_ONCE = 256
 QUERY_BYTES = 64 << 20
 QUERY_EVERY = 20
@@ -66,10 +79,6 @@ def _terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers from 0 in as few bytes each as the largest needs."""
     most = int(numbers.max()) if len(numbers) else 0
@@ -81,16 +90,30 @@ def _unpacked(data, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{len(data) // n if n else 1}")
 
 
+def _counted(texts: pa.Array, first: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word of each posting, its document, its frequency, lengths) of some documents, lower-cased
+    and split as bytes.  Postings come by document."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))
+    doc, words = pc.list_parent_indices(words).to_numpy(), words.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space at the ends leaves empty words
+    doc, coded = doc[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs, tfs = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary.cast(pa.binary()), pairs % size, pairs // size + first, tfs, np.bincount(doc, minlength=len(texts))
+
+
 class Builder:
     """Collects documents until they make a shard: counted terms of some MB of text at a time."""
 
     def __init__(self):
         self.ids, self.parts, self.bytes, self.docs = [], [], 0, 0
 
-    def add(self, ids: np.ndarray, texts: list[bytes | None]) -> None:
-        self.parts.append(counted(texts, self.docs, _words_of))
+    def add(self, ids: np.ndarray, texts: pa.Array) -> None:
+        names, *numbers = _counted(texts, self.docs)
+        self.parts.append((names, *(x.astype(np.int32) for x in numbers)))
         self.ids.append(ids)
-        self.bytes += sum(map(len, filter(None, texts)))
+        self.bytes += pc.sum(pc.binary_length(texts)).as_py() or 0
         self.docs += len(texts)
 
     def batch(self) -> pa.RecordBatch:
@@ -100,26 +123,39 @@ class Builder:
         names, term, doc, tf, lengths = joined(self.parts)
         ids = np.concatenate(self.ids)
         self.parts, self.ids = [], []
-        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in names.to_pylist()), dtype=np.uint64, count=len(names)).view(np.int64)
-        by_hash = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(names), dtype=np.int64)
-        rank[by_hash] = np.arange(len(names))
         # blocks of one commonest word (the language's) and of one length have tight maxima
-        common = np.full(len(ids), -1, dtype=np.int64)
-        first = np.lexsort((term, -tf, doc))
-        head = first[np.concatenate([[True], np.diff(doc[first]) != 0])] if len(first) else first
-        common[doc[head]] = term[head]
-        del first, head
+        common, size = np.full(len(ids), -1, dtype=np.int64), max(1, len(names))
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        if len(first):
+            common[doc[first]] = size - 1 - np.maximum.reduceat(tf.astype(np.int64) * size + (size - 1 - term), first) % size
         order = np.lexsort((ids, lengths, common))
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
-        term, doc = rank[term], place[doc]
-        counts = np.bincount(term, minlength=len(names))
-        by = np.lexsort((doc, term))
-        del term
+        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in names.to_pylist()), dtype=np.uint64, count=len(names)).view(np.int64)
+        by_hash = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[by_hash] = np.arange(len(names))
+        # postings by term, then by document: sorted as one number, with their frequency where it fits
+        most = int(tf.max(initial=0)) + 1
+        if len(names) * len(ids) * most < 1 << 63:
+            keys = rank[term]
+            del term
+            for factor, x in ((len(ids), place[doc]), (most, tf)):
+                keys *= factor
+                keys += x
+            keys.sort()
+            tf = (keys % most).astype(np.int32)
+            keys //= most
+            doc = (keys % len(ids)).astype(np.int32)
+            term = np.floor_divide(keys, len(ids), out=keys)
+            del keys
+        else:
+            term, doc = rank[term], place[doc]
+            by = np.lexsort((doc, term))
+            term, doc, tf = term[by], doc[by], tf[by]
         arrays = {
             "ids": ids[order].astype("<i8").tobytes(), "lengths": lengths[order].astype("<i8").tobytes(), "terms": hashes[by_hash].astype("<i8").tobytes(),
-            "counts": _packed(counts), "postings": _packed(doc[by]), "tfs": _packed(tf[by]),
+            "counts": _packed(np.bincount(term, minlength=len(names))), "postings": _packed(doc), "tfs": _packed(tf),
         }
         return pa.RecordBatch.from_arrays(
             [pa.array([len(ids)], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays.values())],
@@ -127,94 +163,173 @@ class Builder:
         )
 
 
+def _spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, as many as ``many`` says."""
+    where = np.repeat(first - (np.cumsum(many) - many), many)
+    where += np.arange(len(where))
+    return where
+
+
+def _at_least(least: np.ndarray) -> np.ndarray:
+    """What a score in single precision is at least, where the true one is ``least``."""
+    return np.maximum(least * (1 - SLACK) - 1e-6, 1e-9).astype(np.float32)
+
+
+def _products(asked: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """What each query's columns add up to for each document."""
+    return asked @ matrix
+
+
+class Asked:
+    """The distinct words of some like queries, how many queries have each, the queries' words as places
+    among them and where each query's begin; ``parts``: queries that are searched for together."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, cuts: list[tuple[int, int]]):
+        self.start, stop = cuts[0][0], cuts[-1][1]
+        self.n, self.parts = stop - self.start, [(a - self.start, b - self.start) for a, b in cuts]
+        self.starts = starts[self.start:stop + 1] - starts[self.start]
+        self.words, places, self.counts = np.unique(words[starts[self.start]:starts[stop]], return_inverse=True, return_counts=True)
+        self.places = places.astype(np.int32)
+
+
 class Shard:
-    """An index ready for searching, given the mean length of all documents and the queries' words."""
+    """An index ready for searching, given the mean length of all documents and the queries' words.
+    Only postings of these words are kept: by word, in rows of ``ROW`` of them, and by document."""
 
     def __init__(self, row: dict, mean: float, vocabulary: np.ndarray, weights: np.ndarray):
         read = lambda c: np.frombuffer(row[c], dtype="<i8").astype(np.int64)
-        self.n, self.ids, lengths, terms = row["docs"], read("ids"), read("lengths"), read("terms")
-        self.sizes = _unpacked(row["counts"], len(terms)).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.postings = _unpacked(row["postings"], int(self.starts[-1])).astype(np.int32)
-        # the place of each of the queries' words, -1 where the shard has it not
-        self.at = np.searchsorted(terms, vocabulary)
-        self.at[self.at == len(terms)] = 0
-        self.at[terms[self.at] != vocabulary if len(terms) else slice(None)] = -1
-        known = self.at >= 0
-        weight = np.zeros(len(terms))
-        weight[self.at[known]] = weights[known]
-        tf = _unpacked(row["tfs"], int(self.starts[-1])).astype(np.float64)
-        self.part = (K1 * (1 - B + B * lengths / max(mean, 1e-9)))[self.postings]
-        self.part += tf
-        tf *= K1 + 1
-        np.divide(tf, self.part, out=self.part)
-        del tf
-        self.part *= np.repeat(weight, self.sizes)
-        frequent = np.flatnonzero((self.sizes * FREQUENT >= max(self.n, FREQUENT)) & (weight > 0))
-        frequent = frequent[np.argsort(-self.sizes[frequent], kind="stable")][:max(1, CELLS // max(1, self.n))]
-        self.column = np.full(len(terms), -1, dtype=np.int64)
-        self.column[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((self.n, len(frequent)))
-        for c, t in enumerate(frequent):
-            some = slice(self.starts[t], self.starts[t + 1])
-            self.dense[self.postings[some], c] = self.part[some]
-        self.rough = np.ascontiguousarray(self.dense.T, dtype=np.float32)
-        self.edges = np.arange(0, self.n, BLOCK)
-        self.most = np.maximum.reduceat(self.dense, self.edges, axis=0).T
-        self.block = np.arange(self.n) // BLOCK
-
-    def search(self, words: np.ndarray, starts: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, document, score) of all that can be among the best ``k`` of one of these queries, each
-        of them the ``words`` from one of ``starts`` to the next; k others already reach its ``least``."""
-        n = len(starts) - 1
-        at, query = self.at[words], np.repeat(np.arange(n), np.diff(starts))
+        n, ids, lengths, terms = row["docs"], read("ids"), read("lengths"), read("terms")
+        sizes = _unpacked(row["counts"], len(terms)).astype(np.int64)
+        total = int(sizes.sum())
+        # the place of each of the queries' words among those that the shard has, -1 where it has it not
+        known = np.searchsorted(vocabulary, terms)
+        known[known == len(vocabulary)] = 0
+        asked = vocabulary[known] == terms if len(vocabulary) else np.zeros(len(terms), dtype=bool)
+        known = known[asked]
+        self.at = np.full(len(vocabulary), -1, dtype=np.int32)
+        self.at[known] = np.arange(len(known))
+        kept = np.repeat(asked, sizes)
+        self.sizes, self.weights = sizes[asked], weights[known]
+        # documents of a block have places ``blocks`` apart: its largest of a row is one step for all blocks
+        self.blocks = -(-n // BLOCK)
+        self.n = self.blocks * BLOCK
+        place = np.arange(n)
+        place = place % BLOCK * self.blocks + place // BLOCK
+        self.ids, self.norms = np.zeros(self.n, dtype=np.int64), np.zeros(self.n)
+        self.ids[place] = ids
+        self.norms[place] = K1 * (1 - B + B * lengths / max(mean, 1e-9))
+        doc = place.astype(np.uint16 if self.n < 1 << 16 else np.int32)[_unpacked(row["postings"], total)[kept]]
+        tf = _unpacked(row["tfs"], total)[kept]
+        del kept, asked, sizes, terms
+        # a last row that is not full has contributions of 0 to a place after the documents'
+        self.rows = -(-self.sizes // ROW)
+        self.first = np.cumsum(self.rows) - self.rows
+        where = _spans(self.first * ROW, self.sizes)
+        self.docs = np.full(int(self.rows.sum()) * ROW, self.n, dtype=doc.dtype)
+        self.docs[where] = doc
+        self.parts = np.zeros(len(self.docs), dtype=np.float32)
+        part = self.norms.astype(np.float32)[doc]
+        part += tf
+        np.divide(tf, part, out=part, dtype=np.float32)
+        part *= np.repeat((self.weights * (K1 + 1)).astype(np.float32), self.sizes)
+        self.parts[where] = part
+        self.docs, self.parts = self.docs.reshape(-1, ROW), self.parts.reshape(-1, ROW)
+        del where, part
+        by = np.argsort(doc, kind="stable")
+        self.words, self.tfs = np.repeat(np.arange(len(known), dtype=np.int32), self.sizes)[by], tf[by]
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
+        # the contributions of one document, 0 for words that the shard has not
+        self.values = np.zeros(len(known) + 1)
+
+    def facing(self, asked: Asked) -> tuple[np.ndarray, ...]:
+        """For the words of some queries: the first row and the number of rows of each that has no column,
+        the column of each that has one (others -1), the columns' contributions as a matrix with a row for
+        each, its largest of each block, and the most that a document of a block has in all."""
+        at = self.at[asked.words]
         known = at >= 0
-        at, query = at[known], query[known]
-        column = self.column[at]
-        rare = column < 0
-        first, sizes = self.starts[at[rare]], self.sizes[at[rare]]
-        cuts = np.searchsorted(query[rare], np.arange(n + 1)).tolist()
-        sums = np.zeros((n, self.n))
-        for q in range(n):
-            size = sizes[cuts[q]:cuts[q + 1]]
-            where = np.repeat(first[cuts[q]:cuts[q + 1]] - (np.cumsum(size) - size), size)
-            where += np.arange(len(where))
-            sums[q] = np.bincount(self.postings.take(where, mode="clip"), self.part.take(where, mode="clip"), minlength=self.n)
-        asked = np.zeros((n, self.dense.shape[1]))
-        asked[query[~rare], column[~rare]] = 1
+        first, rows = np.zeros((2, len(at)), dtype=np.int64)
+        first[known], rows[known] = self.first[at[known]], self.rows[at[known]]
+        worth = np.zeros(len(at), dtype=np.int64)
+        worth[known] = asked.counts[known] * self.sizes[at[known]]
+        some = np.flatnonzero(worth * FREQUENT ** 2 >= asked.n * max(1, self.n))
+        some = some[np.argsort(-worth[some], kind="stable")][:max(1, CELLS // max(1, self.n))]
+        column = np.full(len(at), -1, dtype=np.int32)
+        column[some] = np.arange(len(some))
+        matrix = np.zeros((len(some), self.n + 1), dtype=np.float32)
+        where = _spans(first[some], rows[some])
+        matrix[np.repeat(np.arange(len(some)), rows[some])[:, None], self.docs[where]] = self.parts[where]
+        rows[some] = 0
+        return first, rows, column, matrix, self._by_block(matrix).max(axis=1), self._by_block(matrix.sum(axis=0)[None]).max(axis=1)
+
+    def _by_block(self, numbers: np.ndarray) -> np.ndarray:
+        return numbers[:, :self.n].reshape(len(numbers), BLOCK, self.blocks)
+
+    def search(self, words: np.ndarray, starts: np.ndarray, k: int, least: np.ndarray, facing: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(query, document) of all that can be among the best ``k`` of one of these queries, each
+        of them the ``words`` (places in what they are ``facing``) from one of ``starts`` to the next; k
+        others already reach its ``least``."""
+        n = len(starts) - 1
+        first, rows, column, matrix, most, mass = facing
+        many = rows[words]
+        where, ends = _spans(first[words], many), np.concatenate([[0], np.cumsum(many)])[starts].tolist()
+        sums = np.zeros((n, self.n + 1), dtype=np.float32)
+        for q, (a, b) in enumerate(zip(ends, ends[1:])):
+            some = where[a:b]
+            sums[q] = np.bincount(self.docs.take(some, axis=0, mode="clip").ravel(), self.parts.take(some, axis=0, mode="clip").ravel(), minlength=self.n + 1)
+        del where
+        asked, columns = np.zeros((n, len(matrix)), dtype=np.float32), column[words]
+        some = np.flatnonzero(columns >= 0)
+        asked[np.searchsorted(starts, some, side="right") - 1, columns[some]] = 1
         # blocks of documents that no query's bound reaches are left out where they are many
-        reach = np.maximum.reduceat(sums, self.edges, axis=1) + asked @ self.most + 1e-7
-        near = (reach >= np.maximum(least, 1e-7)[:, None]).any(axis=0)
-        docs = np.flatnonzero(near[self.block])
-        if 4 * len(docs) < self.n:
-            rough, sums = asked.astype(np.float32) @ self.rough[:, docs], sums[:, docs]
+        reach = self._by_block(sums).max(axis=1)
+        reach += np.minimum(asked @ most, mass)
+        near = np.flatnonzero((reach >= _at_least(least)[:, None]).any(axis=0))
+        if 4 * len(near) < 3 * self.blocks:
+            docs = (np.arange(BLOCK)[:, None] * self.blocks + near).ravel()
+            rough = _products(asked, self._by_block(matrix).take(near, axis=2).reshape(len(matrix), len(docs)))
+            rough += self._by_block(sums).take(near, axis=2).reshape(n, len(docs))
         else:
-            rough, docs = asked.astype(np.float32) @ self.rough, np.arange(self.n)
-        # scores to about 7 digits: what can be among the best is scored to all digits
-        rough = rough + sums
+            docs = np.arange(self.n)
+            rough = _products(asked, matrix[:, :self.n])
+            rough += sums[:, :self.n]
+        del sums
+        # scores to about 6 digits: what can be among the best is scored to all digits
         none = np.flatnonzero(least <= 0)
         if len(none) and len(docs) > k:
             least = least.copy()
             least[none] = np.partition(rough[none], -k, axis=1)[:, -k]
-        found, near = np.nonzero(rough >= np.maximum(least * (1 - SLACK) - 1e-6, 1e-9)[:, None])
-        docs = docs[near]
-        scores = sums[found, near]
-        for a in range(0, len(found), AT_ONCE):
-            some = slice(a, a + AT_ONCE)
-            scores[some] += np.einsum("ij,ij->i", self.dense[docs[some]], asked[found[some]])
-        scores = np.round(scores, 8)
-        some = (scores > 0) & (scores >= least[found] * (1 - SLACK) - 1e-6)
-        return found[some], docs[some], scores[some]
+        found = np.flatnonzero(rough >= _at_least(least)[:, None])
+        return found // len(docs), docs[found % len(docs)]
+
+    def scores(self, words: np.ndarray, starts: np.ndarray, found: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What documents ``docs`` score for queries ``found``, to 8 places; each query has the ``words``
+        from one of ``starts`` to the next."""
+        scores, sizes = np.empty(len(found)), np.diff(starts)
+        # a document for at most AT_ONCE queries at a time
+        order = np.argsort(docs, kind="stable")
+        heads = np.flatnonzero(np.diff(docs[order], prepend=-1))
+        heads = np.flatnonzero((np.arange(len(docs)) - np.repeat(heads, np.diff(heads, append=len(docs)))) % AT_ONCE == 0).tolist()
+        for a, b in zip(heads, [*heads[1:], len(docs)]):
+            doc, mine = docs[order[a]], found[order[a:b]]
+            its, tf = (x[self.edges[doc]:self.edges[doc + 1]] for x in (self.words, self.tfs))
+            self.values[its] = tf * (K1 + 1) / (tf + self.norms[doc]) * self.weights[its]
+            many = sizes[mine]
+            scores[order[a:b]] = np.add.reduceat(self.values.take(self.at[words[_spans(starts[mine], many)]], mode="wrap"), np.cumsum(many) - many)
+            self.values[its] = 0
+        return np.round(scores, 8)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, found: np.ndarray, more: np.ndarray, theirs: np.ndarray) -> None:
     """Puts what was ``found`` for the queries (ids ``more``, scores ``theirs``) into their rows of the
     best ``ids`` and ``scores``, best first; score 0: none."""
-    rows, places = np.nonzero(scores > 0)
-    rows, more, theirs = np.concatenate([rows, found]), np.concatenate([ids[rows, places], more]), np.concatenate([scores[rows, places], theirs])
+    some = np.flatnonzero((theirs > 0) & (theirs >= scores[found, -1]))
+    found, more, theirs = found[some], more[some], theirs[some]
+    own = np.unique(found)
+    rows, places = np.nonzero(scores[own] > 0)
+    rows, more, theirs = np.concatenate([own[rows], found]), np.concatenate([ids[own[rows], places], more]), np.concatenate([scores[own[rows], places], theirs])
     order = np.lexsort((more, -theirs, rows))
     rows, more, theirs = rows[order], more[order], theirs[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(ids)))[rows]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, own)[np.searchsorted(own, rows)]
     top = rank < ids.shape[1]
     ids[rows[top], rank[top]], scores[rows[top], rank[top]] = more[top], theirs[top]
 
@@ -224,19 +339,28 @@ def _searcher(block, mean: float, k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, starts, words, vocabulary, weights = block.value
-        # some queries at a time: those that begin within WORDS_AT_ONCE words
+        # some queries at a time: those that begin within WORDS_AT_ONCE words; a matrix serves some of these
         cuts = np.flatnonzero(np.diff(starts[:-1] // WORDS_AT_ONCE, prepend=-1))
-        cuts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(qids)]))
+        cuts = [(c, min(b, c + QUERIES_AT_ONCE)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(qids)]) for c in range(a, b, QUERIES_AT_ONCE)]
+        cuts = [cuts[i:i + MATRIX_FOR] for i in range(0, len(cuts), MATRIX_FOR)]
+        asked = [Asked(words, starts, some) for some in cuts]
         ids, scores = np.zeros((len(qids), k), dtype=np.int64), np.zeros((len(qids), k))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {"docs": batch.column("docs")[i].as_py(), **{c: batch.column(c)[i].as_buffer() for c in ARRAYS}}
                 shard = Shard(row, mean, vocabulary, weights)
-                for a, b in cuts:
-                    some = words[starts[a]:starts[b]]
-                    found, docs, theirs = shard.search(some, starts[a:b + 1] - starts[a], k, scores[a:b, -1])
-                    if len(found):
-                        _best(ids[a:b], scores[a:b], found, shard.ids[docs], theirs)
+                found, pairs = [], 0
+                for some in asked:
+                    facing = shard.facing(some)
+                    for a, b in some.parts:
+                        of, docs = shard.search(some.places[some.starts[a]:some.starts[b]], some.starts[a:b + 1] - some.starts[a], k, scores[some.start + a:some.start + b, -1], facing)
+                        found.append((of + (some.start + a), docs))
+                        pairs += len(of)
+                        if pairs >= FOUND_AT_ONCE or some is asked[-1] and b == some.n:
+                            of, docs = map(np.concatenate, zip(*found))
+                            found, pairs = [], 0
+                            _best(ids, scores, of, shard.ids[docs], shard.scores(words, starts, of, docs))
+                    del facing
                 del shard, row
         rows, places = np.nonzero(scores > 0)
         if len(rows):
@@ -263,7 +387,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for start, stop in runs(batch.column(1), max(1, shard_bytes // 4)):
                 while start < stop:
                     n = min(stop - start, shard_docs - shard.docs)
-                    shard.add(ids[start:start + n], batch.column(1).slice(start, n).to_pylist())
+                    shard.add(ids[start:start + n], batch.column(1).slice(start, n))
                     start += n
                     if shard.bytes >= shard_bytes or shard.docs >= shard_docs:
                         yield shard.batch()
@@ -302,14 +426,44 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.select("terms", "counts").mapInArrow(per_batch, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _alike(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """An order of queries (``sizes`` words each, of ``n``) that puts like ones together: by their nearest
+    of ``KINDS`` means of the commonest words that they have, then by their number of words."""
+    common = np.argsort(-np.bincount(words, minlength=n), kind="stable")[:COMMON]
+    column = np.full(n, -1, dtype=np.int32)
+    column[common] = np.arange(len(common))
+    column, query = column[words], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    has = np.zeros((len(sizes), len(common)), dtype=np.float32)
+    has[query[column >= 0], column[column >= 0]] = 1
+    hits = has.sum(axis=1)
+    has /= np.sqrt(np.maximum(hits, 1))[:, None]
+    kind = np.zeros(len(sizes), dtype=np.int64)
+    # the first means: queries that have many of the words, each least like those before
+    least, means = np.where(hits * 2 > np.median(hits) if len(hits) else 0, 0, 2).astype(np.float32), []
+    for _ in range(KINDS if len(sizes) else 0):
+        means.append(has[np.argmin(least)])
+        least = np.maximum(least, has @ means[-1])
+    for _ in range(KIND_ROUNDS if means else 0):
+        kind = np.argmax(has @ np.array(means).T, axis=1)
+        means = [has[kind == i].sum(axis=0) for i in range(KINDS)]
+        means = [m / max(float(np.sqrt(m @ m)), 1e-9) for m in means]
+    return np.lexsort((sizes, kind))
+
+
 def _block(asked: pa.Table, n: int) -> tuple[np.ndarray, ...]:
     """(query ids, where each one's words start, words as places in the vocabulary, vocabulary by
-    hash, weights of its words) of a block of queries."""
+    hash, weights of its words) of a block of queries, like ones together."""
     lists, dfs = asked.column("terms").combine_chunks(), asked.column("dfs").combine_chunks()
-    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     vocabulary, first, words = np.unique(lists.flatten().to_numpy(), return_index=True, return_inverse=True)
     df = dfs.flatten().to_numpy()[first].astype(np.float64)
-    return asked.column("qid").to_numpy(), starts, words.astype(np.int32), vocabulary, np.log1p((n - df + 0.5) / (df + 0.5))
+    order = _alike(words, sizes, len(vocabulary))
+    sizes = sizes[order]
+    where = np.repeat(starts[order] - (np.cumsum(sizes) - sizes), sizes)
+    where += np.arange(len(where))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    return asked.column("qid").to_numpy()[order], starts, words[where].astype(np.int32), vocabulary, np.log1p((n - df + 0.5) / (df + 0.5))
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
