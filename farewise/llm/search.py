@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import land, lean, pick, union_all
+from farewise.llm.common import give_back, land, lean, pick, union_all
 from farewise.llm.ranked import joined, runs
 
 K = 10
@@ -53,11 +53,11 @@ BLOCK = 8
 # Postings that are read together.
 ROW = 8
 # The most numbers in a matrix, about the words of the queries searched for at a time, and the most queries.
-CELLS = 1 << 23
-WORDS_AT_ONCE = 1 << 17
-QUERIES_AT_ONCE = 512
+CELLS = 3 << 21
+WORDS_AT_ONCE = 1 << 16
+QUERIES_AT_ONCE = 256
 # Such groups of queries that share a matrix.
-MATRIX_FOR = 4
+MATRIX_FOR = 8
 # Queries are sorted into so many kinds by so many of their commonest words, in so many rounds.
 KINDS, COMMON, KIND_ROUNDS = 8, 256, 4
 # What scores in single precision may be off by, for their size.
@@ -209,15 +209,15 @@ class Shard:
         self.at = np.full(len(vocabulary), -1, dtype=np.int32)
         self.at[known] = np.arange(len(known))
         kept = np.repeat(asked, sizes)
-        self.sizes, self.weights = sizes[asked], weights[known]
+        self.sizes = sizes[asked]
         # documents of a block have places ``blocks`` apart: its largest of a row is one step for all blocks
         self.blocks = -(-n // BLOCK)
         self.n = self.blocks * BLOCK
         place = np.arange(n)
         place = place % BLOCK * self.blocks + place // BLOCK
-        self.ids, self.norms = np.zeros(self.n, dtype=np.int64), np.zeros(self.n)
+        self.ids, norms = np.zeros(self.n, dtype=np.int64), np.zeros(self.n)
         self.ids[place] = ids
-        self.norms[place] = K1 * (1 - B + B * lengths / max(mean, 1e-9))
+        norms[place] = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         doc = place.astype(np.uint16 if self.n < 1 << 16 else np.int32)[_unpacked(row["postings"], total)[kept]]
         tf = _unpacked(row["tfs"], total)[kept]
         del kept, asked, sizes, terms
@@ -228,15 +228,16 @@ class Shard:
         self.docs = np.full(int(self.rows.sum()) * ROW, self.n, dtype=doc.dtype)
         self.docs[where] = doc
         self.parts = np.zeros(len(self.docs), dtype=np.float32)
-        part = self.norms.astype(np.float32)[doc]
+        part = norms.astype(np.float32)[doc]
         part += tf
         np.divide(tf, part, out=part, dtype=np.float32)
-        part *= np.repeat((self.weights * (K1 + 1)).astype(np.float32), self.sizes)
+        part *= np.repeat((weights[known] * (K1 + 1)).astype(np.float32), self.sizes)
         self.parts[where] = part
         self.docs, self.parts = self.docs.reshape(-1, ROW), self.parts.reshape(-1, ROW)
         del where, part
         by = np.argsort(doc, kind="stable")
-        self.words, self.tfs = np.repeat(np.arange(len(known), dtype=np.int32), self.sizes)[by], tf[by]
+        self.words = np.repeat(np.arange(len(known), dtype=np.int32), self.sizes)[by]
+        self.tfs, self.norms, self.weights = tf[by], norms, weights[known]
         self.edges = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
         # the contributions of one document, 0 for words that the shard has not
         self.values = np.zeros(len(known) + 1)
@@ -275,15 +276,15 @@ class Shard:
         sums = np.zeros((n, self.n + 1), dtype=np.float32)
         for q, (a, b) in enumerate(zip(ends, ends[1:])):
             some = where[a:b]
-            sums[q] = np.bincount(self.docs.take(some, axis=0, mode="clip").ravel(), self.parts.take(some, axis=0, mode="clip").ravel(), minlength=self.n + 1)
+            np.add.at(sums[q], self.docs.take(some, axis=0, mode="clip").ravel().astype(np.intp), self.parts.take(some, axis=0, mode="clip").ravel())
         del where
         asked, columns = np.zeros((n, len(matrix)), dtype=np.float32), column[words]
         some = np.flatnonzero(columns >= 0)
         asked[np.searchsorted(starts, some, side="right") - 1, columns[some]] = 1
-        # blocks of documents that no query's bound reaches are left out where they are many
-        reach = self._by_block(sums).max(axis=1)
-        reach += np.minimum(asked @ most, mass)
-        near = np.flatnonzero((reach >= _at_least(least)[:, None]).any(axis=0))
+        # blocks of documents that no query's bounds reach are left out where they are many
+        reach, wanted = self._by_block(sums).max(axis=1), _at_least(least)[:, None]
+        near = np.flatnonzero((reach + mass >= wanted).any(axis=0))
+        near = near[(reach[:, near] + np.minimum(asked @ most[:, near], mass[0, near]) >= wanted).any(axis=0)]
         if 4 * len(near) < 3 * self.blocks:
             docs = (np.arange(BLOCK)[:, None] * self.blocks + near).ravel()
             rough = _products(asked, self._by_block(matrix).take(near, axis=2).reshape(len(matrix), len(docs)))
@@ -297,7 +298,8 @@ class Shard:
         none = np.flatnonzero(least <= 0)
         if len(none) and len(docs) > k:
             least = least.copy()
-            least[none] = np.partition(rough[none], -k, axis=1)[:, -k]
+            for some in np.array_split(none, -(-len(none) // 32)):
+                least[some] = np.partition(rough[some], -k, axis=1)[:, -k]
         found = np.flatnonzero(rough >= _at_least(least)[:, None])
         return found // len(docs), docs[found % len(docs)]
 
@@ -338,17 +340,20 @@ def _searcher(block, mean: float, k: int):
     """Index rows of a partition to the best ``k`` of each of the block's queries."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, starts, words, vocabulary, weights = block.value
+        qids, number, starts, words, vocabulary, weights = block.value
         # some queries at a time: those that begin within WORDS_AT_ONCE words; a matrix serves some of these
         cuts = np.flatnonzero(np.diff(starts[:-1] // WORDS_AT_ONCE, prepend=-1))
-        cuts = [(c, min(b, c + QUERIES_AT_ONCE)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(qids)]) for c in range(a, b, QUERIES_AT_ONCE)]
+        cuts = [(c, min(b, c + QUERIES_AT_ONCE)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts) - 1]) for c in range(a, b, QUERIES_AT_ONCE)]
         cuts = [cuts[i:i + MATRIX_FOR] for i in range(0, len(cuts), MATRIX_FOR)]
         asked = [Asked(words, starts, some) for some in cuts]
-        ids, scores = np.zeros((len(qids), k), dtype=np.int64), np.zeros((len(qids), k))
+        give_back()
+        ids, scores = np.zeros((len(starts) - 1, k), dtype=np.int64), np.zeros((len(starts) - 1, k))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {"docs": batch.column("docs")[i].as_py(), **{c: batch.column(c)[i].as_buffer() for c in ARRAYS}}
                 shard = Shard(row, mean, vocabulary, weights)
+                del row
+                give_back()
                 found, pairs = [], 0
                 for some in asked:
                     facing = shard.facing(some)
@@ -361,12 +366,13 @@ def _searcher(block, mean: float, k: int):
                             found, pairs = [], 0
                             _best(ids, scores, of, shard.ids[docs], shard.scores(words, starts, of, docs))
                     del facing
-                del shard, row
-        rows, places = np.nonzero(scores > 0)
+                del shard
+                give_back()
+        rows, places = np.nonzero(scores[number] > 0)
         if len(rows):
-            found = ids[rows, places]
+            found = ids[number[rows], places]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[rows]), pa.array(found, mask=found == NO_ID), pa.array(scores[rows, places])],
+                [pa.array(qids[rows]), pa.array(found, mask=found == NO_ID), pa.array(scores[number[rows], places])],
                 names=["qid", "doc_id", "score"],
             )
 
@@ -428,7 +434,8 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 def _alike(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """An order of queries (``sizes`` words each, of ``n``) that puts like ones together: by their nearest
-    of ``KINDS`` means of the commonest words that they have, then by their number of words."""
+    of ``KINDS`` means of the commonest words that they have, then by their number of words; those
+    with the same words come together."""
     common = np.argsort(-np.bincount(words, minlength=n), kind="stable")[:COMMON]
     column = np.full(n, -1, dtype=np.int32)
     column[common] = np.arange(len(common))
@@ -447,23 +454,30 @@ def _alike(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
         kind = np.argmax(has @ np.array(means).T, axis=1)
         means = [has[kind == i].sum(axis=0) for i in range(KINDS)]
         means = [m / max(float(np.sqrt(m @ m)), 1e-9) for m in means]
-    return np.lexsort((sizes, kind))
+    mixed = np.random.default_rng(SEED).integers(1 << 63, size=n, dtype=np.int64)[words] if len(words) else words
+    return np.lexsort((np.add.reduceat(mixed, np.cumsum(sizes) - sizes) if len(sizes) else sizes, sizes, kind))
 
 
 def _block(asked: pa.Table, n: int) -> tuple[np.ndarray, ...]:
-    """(query ids, where each one's words start, words as places in the vocabulary, vocabulary by
-    hash, weights of its words) of a block of queries, like ones together."""
+    """(query ids, the number of each one's words, where the words of each number start, words as places
+    in the vocabulary, vocabulary by hash, weights of its words) of a block of queries, like ones together."""
     lists, dfs = asked.column("terms").combine_chunks(), asked.column("dfs").combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     vocabulary, first, words = np.unique(lists.flatten().to_numpy(), return_index=True, return_inverse=True)
     df = dfs.flatten().to_numpy()[first].astype(np.float64)
-    order = _alike(words, sizes, len(vocabulary))
-    sizes = sizes[order]
-    where = np.repeat(starts[order] - (np.cumsum(sizes) - sizes), sizes)
-    where += np.arange(len(where))
+    order, found = _alike(words, sizes, len(vocabulary)), asked.column("qid").to_numpy()
+    weights = np.log1p((n - df + 0.5) / (df + 0.5))
+    sizes, first, words = sizes[order], starts[:-1][order], words.astype(np.int32)
+    # of queries with the same words, which come one after the other, the first is searched for
+    same = np.zeros(len(order), dtype=bool)
+    like = np.flatnonzero(np.diff(sizes, prepend=-1) == 0)
+    if len(like):
+        equal = words[_spans(first[like], sizes[like])] == words[_spans(first[like - 1], sizes[like])]
+        same[like] = np.logical_and.reduceat(equal, np.cumsum(sizes[like]) - sizes[like])
+    sizes, first = sizes[~same], first[~same]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    return asked.column("qid").to_numpy()[order], starts, words[where].astype(np.int32), vocabulary, np.log1p((n - df + 0.5) / (df + 0.5))
+    return found[order], np.cumsum(~same) - 1, starts, words[_spans(first, sizes)], vocabulary, weights
 
 
 def top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,

@@ -229,20 +229,22 @@ def test_search_puts_like_queries_together_and_multiplies_few_documents_for_them
     rnd = random.Random(11)
     kinds = [[f"{kind}{j}" for j in range(60)] for kind in "abc"]
     texts = [" ".join(rnd.choices(kinds[i % 3], k=rnd.randint(20, 60))) for i in range(900)]
+    texts[30:60] = texts[:30]
     builder = search.Builder()
     builder.add(np.arange(900), pa.array([t.encode() for t in texts]))
     index = builder.batch()
     bags = [sorted(set(t.split())) for t in texts[:240]]
     df = Counter(w for t in texts for w in set(t.split()))
     hashes = {w: xxh64_intdigest(w, search.SEED) for w in df}
-    number = [[h - (1 << 64) if (h := hashes[w]) >= 1 << 63 else h for w in ws] for ws in bags]
+    hashed = [[h - (1 << 64) if (h := hashes[w]) >= 1 << 63 else h for w in ws] for ws in bags]
     block = search._block(pa.table({
-        "qid": pa.array(range(240), pa.int64()), "terms": pa.array(number, pa.list_(pa.int64())),
+        "qid": pa.array(range(240), pa.int64()), "terms": pa.array(hashed, pa.list_(pa.int64())),
         "dfs": pa.array([[df[w] for w in ws] for ws in bags], pa.list_(pa.int64())),
     }), 900)
-    qids, starts, words, vocabulary, _ = block
+    qids, number, starts, words, vocabulary, _ = block
+    assert len(starts) - 1 == number.max() + 1 == len({tuple(ws) for ws in bags}) == 210
     assert sorted(qids.tolist()) == list(range(240)) and np.count_nonzero(np.diff(qids % 3)) < search.KINDS
-    assert all(sorted(vocabulary[words[starts[i]:starts[i + 1]]].tolist()) == sorted(number[q]) for i, q in enumerate(qids.tolist()))
+    assert all(sorted(vocabulary[words[starts[i]:starts[i + 1]]].tolist()) == sorted(hashed[q]) for i, q in zip(number.tolist(), qids.tolist()))
     monkeypatch.setattr(search, "QUERIES_AT_ONCE", 20)
     cells, made = [], search._products
 
@@ -254,7 +256,7 @@ def test_search_puts_like_queries_together_and_multiplies_few_documents_for_them
     mean = sum(len(t.split()) for t in texts) / 900
     found = pa.Table.from_batches(search._searcher(SimpleNamespace(value=block), mean, 10)(iter([index, index]))).to_pylist()
     # blocks of documents of the other two kinds only are not multiplied
-    assert 0 < sum(cells) <= 2 * 240 * 900 * 2 / 3
+    assert 0 < sum(cells) <= 2 * 210 * 900 * 2 / 3
     best = {(i, j): s for i, r, j, s in brute_top([(i, t) for i, t in enumerate(texts)], [(i, t) for i, t in enumerate(texts[:240])], 5)}
     got = {(r["qid"], r["doc_id"]): round(r["score"], 5) for r in found}
     assert all(got[pair] == s for pair, s in best.items())
